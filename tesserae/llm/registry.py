@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, lm, minhash, packing, suffix, topk
+from tesserae.llm import chat, langid, lm, minhash, packing, quality, suffix, topk
 from tesserae.llm.common import table
 
 QUERIES: dict = {}
@@ -56,3 +56,18 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     logged = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     events = logged.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("target"), "role", "text")
     return chat.read_back(chat.render(chat.reconstruct(events)))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, _fold(4) != 2)
+    return langid.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
+    out = quality.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
