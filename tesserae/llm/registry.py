@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, langid, lm, minhash, packing, quality, suffix, topk
+from tesserae.llm import chat, decontam, langid, lm, minhash, packing, quality, suffix, topk
 from tesserae.llm.common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"), _fold(3) != 1)
     out = quality.score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
     return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
