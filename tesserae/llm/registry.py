@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, decontam, langid, lm, minhash, packing, quality, suffix, topk
+from tesserae.llm import chat, decontam, langid, lm, minhash, packing, quality, suffix, topk, wrapper
 from tesserae.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrapper.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
