@@ -269,18 +269,22 @@ def _apply(length: int) -> Callable:
                     kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
                 for x, v in zip(out, (i, len(raw), spans, kept), strict=True):
                     out[x].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
+            kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, kinds[x]) for x, v in out.items()), batch.column(4)], [*out, "row"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, spans, kept) for every row: the byte spans removed and the bytes that are left."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, spans, kept) for every row: the byte spans removed and the bytes that are left.
+
+    The columns ``carry`` come along, in a struct ``row``.
+    """
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram by 1 to 255")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    docs = docs.select("id", F.hash("text").alias("k"), "text")
-    anchors = docs.mapInArrow(_scan(length, gram), _PACKED)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*carry or [F.lit(0).alias("none")]).alias("row")).where("id is not null")
+    docs = docs.select("id", F.hash("text").alias("k"), "text", "row")
+    anchors = docs.select("id", "k", "text").mapInArrow(_scan(length, gram), _PACKED)
     by_h, by_run = Window.partitionBy("h"), Window.partitionBy("h", "wide")
     # a row stands for itself, or where its lowest bit is set for two or more
     recs = anchors.where("h is not null").withColumn("c", F.expr("1 + (pack & 1)"))
@@ -295,8 +299,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = cut(marks)
 
     def contexts(h: str, p: str) -> DataFrame:
+        # all columns of docs, so that the texts are shuffled once for this and for the last join
         open_ = docs.join(marks.where(F.size(h) > 0).select("id", "k", h, p), ["id", "k"])
-        return open_.select("id", "k", "text", h, p).mapInArrow(_contexts(length), "h long, id long, k int, pack long, bytes binary")
+        return open_.select("id", "k", "text", h, p, "row").mapInArrow(_contexts(length), "h long, id long, k int, pack long, bytes binary")
 
     found = contexts("h", "p").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), "id long, k int, run long")
     if not marks.where(F.size("hot_h") > 0).isEmpty():
@@ -304,6 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         twice = wins.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
         found = found.unionByName(wins.where("need").join(twice, ["h", "w"], "left_semi").select("id", "k", "run"))
     found = found.groupBy("id", "k").agg(F.collect_list("run").alias("found"))
-    whole = docs.join(marks.select("id", "k", "cov"), ["id", "k"], "left").join(found, ["id", "k"], "left").select("id", "text", "cov", "found")
-    out = whole.mapInArrow(_apply(length), "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    whole = docs.join(marks.select("id", "k", "cov"), ["id", "k"], "left").join(found, ["id", "k"], "left").select("id", "text", "cov", "found", "row")
+    kind = docs.schema["row"].dataType.simpleString()
+    out = whole.mapInArrow(_apply(length), f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {kind}")
+    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
