@@ -12,7 +12,7 @@ reached, which for long texts is after one round. With 20 bands of 4 positions a
 
 Groups of any size: equal sets meet by digest; in each bucket all others are compared with one hub, the
 member with the most companions; only buckets whose members then still lie in different groups are
-compared further, small ones by a join, large ones block against block on signatures.
+compared further, small ones by a join, large ones, each family of them once, block against block on full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tesserae.llm.graph import components
 BANDS, ROWS = 20, 4
 #: A pair whose signatures agree in fewer than (similarity - SLACK) of the positions is not verified; 6 standard deviations.
 SLACK = 0.24
-SMALL_BUCKET, BLOCK = 32, 512
+SMALL_BUCKET, BLOCK, SLICE = 32, 512, 8192
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> np.ndarray:
@@ -112,22 +112,50 @@ def _alike(agree: int) -> Callable:
     return run
 
 
-def _block_pairs(agree: int, percent: int) -> Callable:
+def _block_links(percent: int) -> Callable:
+    """Links between groups inside a block of documents, or across two; full sets, by products of incidence matrices.
+
+    Of the links that join the same two groups only enough to connect them are returned.
+    """
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("id")
-        p, q = key[1], key[2]
-        left, right = part[part.block == p], part[part.block == q]
-        sig = [np.frombuffer(b"".join(x.sig), dtype=np.uint16).reshape(len(x), -1) for x in (left, right)]
-        found = []
-        other = [right[c].to_numpy() for c in ("id", "n", "comp")]
-        for i, (ident, n, comp) in enumerate(zip(left.id.to_numpy(), left.n.to_numpy(), left.comp.to_numpy(), strict=True)):
-            near = (other[2] != comp) & (100 * np.minimum(n, other[1]) >= percent * np.maximum(n, other[1]))
-            if p == q:
-                near &= other[0] > ident
-            near = np.flatnonzero(near)
-            hit = near[(sig[1][near] == sig[0][i]).sum(axis=1) >= agree]
-            found += [(min(ident, x), max(ident, x)) for x in other[0][hit]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        part = part.drop_duplicates("id").sort_values("block", kind="stable").reset_index(drop=True)
+        ident, n, comp, block = (part[c].to_numpy() for c in ("id", "n", "comp", "block"))
+        cross = key[1] != key[2]
+        cut_at = int((block == block[0]).sum()) if cross else len(part)
+        links: list[tuple[int, int]] = []
+        if len(np.unique(comp)) > 1 and (not cross or cut_at < len(part)):
+            doc = np.repeat(np.arange(len(part)), n)
+            _, item, count = np.unique(np.concatenate(part["items"].to_list()), return_inverse=True, return_counts=True)
+            often = count[item] > 1
+            doc, item = doc[often], item[often]
+            order = np.argsort(item, kind="stable")
+            doc, item = doc[order], item[order]
+            lo, hi = (slice(0, cut_at), slice(cut_at, None)) if cross else (slice(None), slice(None))
+            common = np.zeros((len(ident[lo]), len(ident[hi])), dtype=np.float32)
+            _, item = np.unique(item, return_inverse=True)
+            width = int(item[-1]) + 1 if len(item) else 0
+            for at in range(0, width, SLICE):
+                use = slice(*np.searchsorted(item, (at, at + SLICE)))
+                m = np.zeros((len(part), min(SLICE, width - at)), dtype=np.float32)
+                m[doc[use], item[use] - at] = 1
+                common += m[lo] @ m[hi].T
+            union = n[lo][:, None] + n[hi][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (comp[lo][:, None] != comp[hi][None, :]))
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = parent.get(y, y)
+                    x = y
+                return x
+
+            for a, b in zip(i.tolist(), (j + (cut_at if cross else 0)).tolist(), strict=True):
+                x, y = root(int(comp[a])), root(int(comp[b]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append((int(min(ident[a], ident[b])), int(max(ident[a], ident[b]))))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -173,15 +201,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = cut(member.join(mixed, "key", "left_semi"))
     other = open_.where(f"size <= {SMALL_BUCKET}").select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
     small = open_.where(f"size <= {SMALL_BUCKET}").join(other, "key").where("id < id2 and comp <> comp2").where(ratio).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    large = open_.where(f"size > {SMALL_BUCKET}").join(sigs, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("id"), "blocks"))
-    large = large.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "block", "id", "n", "comp", "sig")
-    large = large.groupBy("key", "p", "q").applyInPandas(_block_pairs(agree, percent), "a long, b long").distinct()
-    rest = small.union(large).distinct().join(star, ["a", "b"], "left_anti")
+    # large buckets that share members form families; each document is in one family, however many buckets it shares
+    large = open_.where(f"size > {SMALL_BUCKET}")
+    lead = large.groupBy("key").agg(F.min("id").alias("b"))
+    family = components(large.join(lead, "key").select(F.col("id").alias("a"), "b").where("a <> b")).withColumnRenamed("component", "family")
+    member = cut(large.select("id", "n", "comp").distinct().join(family, "id"))
+    crowd = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = docs.join(member.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>")
+    dealt = member.join(crowd, "family").withColumn("block", F.pmod(F.hash("id"), "blocks")).join(sets, "id").withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("family", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "block", "id", "n", "comp", "items")
+    across = cut(dealt.groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long"))
+    rest = small.join(star, ["a", "b"], "left_anti")
     rest = cut(rest)
-    if not rest.isEmpty():
-        more = _verified(rest, docs, sigs, width, percent, agree)
-        if not more.isEmpty():
-            label = components(links.union(more))
+    more = across if rest.isEmpty() else across.union(_verified(rest, docs, sigs, width, percent, agree))
+    if not more.isEmpty():
+        label = components(links.union(more))
 
     group = classes.join(label, classes["rep"] == label["id"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("id", "n", "d1", "d2").join(group, ["d1", "d2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
