@@ -32,6 +32,8 @@ BANDS, ROWS = 20, 4
 #: A pair whose signatures agree in fewer than (similarity - SLACK) of the positions is not verified; 6 standard deviations.
 SLACK = 0.24
 SMALL_BUCKET, BLOCK, SLICE = 32, 512, 8192
+#: Ids of texts to be read again are broadcast up to this many (counted first), else the texts are shuffled to them.
+BROADCAST_IDS = 2_000_000
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> np.ndarray:
@@ -160,12 +162,18 @@ def _block_links(percent: int) -> Callable:
     return run
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    ids = cut(ids)
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
     a, b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = cut(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(agree), "a long, b long").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>"))
+    sets = cut(_texts_of(ids, docs).mapInArrow(_sets(width), "id long, items array<long>"))
     a, b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"i{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("ia", "ib")))
     return cut(both.where(F.expr(f"100 * common >= {percent} * (size(ia) + size(ib) - common)")).select("a", "b"))
@@ -207,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = components(large.join(lead, "key").select(F.col("id").alias("a"), "b").where("a <> b")).withColumnRenamed("component", "family")
     member = cut(large.select("id", "n", "comp").distinct().join(family, "id"))
     crowd = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sets = docs.join(member.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, items array<long>")
+    sets = _texts_of(member.select("id"), docs).mapInArrow(_sets(width), "id long, items array<long>")
     dealt = member.join(crowd, "family").withColumn("block", F.pmod(F.hash("id"), "blocks")).join(sets, "id").withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("family", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "block", "id", "n", "comp", "items")
     across = cut(dealt.groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long"))
