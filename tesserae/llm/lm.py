@@ -37,7 +37,7 @@ UNIGRAMS, BIGRAMS, GIVEN, ANSWER_1, ANSWER_2 = 1, 2, 3, 4, 5
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    head = "|".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
+    head = ";".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(2, "little") + head + b"".join(a.tobytes() for a in arrays))
 
 
@@ -45,7 +45,7 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
     at = 2 + int.from_bytes(raw[:2], "little")
     out = []
-    for part in raw[2:at].decode().split("|"):
+    for part in raw[2:at].decode().split(";"):
         kind, n = part.split(":")
         out.append(np.frombuffer(raw, dtype=kind, count=int(n), offset=at))
         at += out[-1].nbytes
@@ -78,9 +78,9 @@ class Tokens:
         return word, place, count
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted keys, histories, 48 bits of the words, place of each token, training counts)."""
-        key, first, place = np.unique(bigram_key(self.prev, self.h >> np.uint64(16)), return_index=True, return_inverse=True)
-        return key, self.prev[first], self.h[first] >> np.uint64(16), place, np.bincount(place[self.train], minlength=len(key))
+        """(sorted keys, histories, 40 bits of the words, place of each token, training counts)."""
+        key, first, place = np.unique(bigram_key(self.prev, self.h >> np.uint64(24)), return_index=True, return_inverse=True)
+        return key, self.prev[first], self.h[first] >> np.uint64(24), place, np.bincount(place[self.train], minlength=len(key))
 
 
 def bigram_key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def _count(buckets: int):
         del t
         for b, at in enumerate(_spread(k % np.uint64(buckets), buckets)):
             at = at[np.lexsort((w[at], history[at]))]
-            put(BIGRAMS, b, pack(np.diff(history[at], prepend=np.uint64(0)), (w[at] >> np.uint64(32)).astype(np.uint16), w[at].astype(np.uint32), count[at].astype(np.uint32)))
+            put(BIGRAMS, b, pack(np.diff(history[at], prepend=np.uint64(0)), (w[at] >> np.uint64(32)).astype(np.uint8), w[at].astype(np.uint32), count[at].astype(np.uint32)))
         return pa.Table.from_pydict(out, _ROW)
 
     return run
