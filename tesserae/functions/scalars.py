@@ -40,9 +40,9 @@ def site_regex(pattern: str) -> str:
 
 
 def bases(value: int | str) -> int:
-    """5000, "5k", "5.1kb", "5m", "5g" as a number of bases."""
-    if isinstance(value, int):
-        return value
+    """5000, "5000", "5k", "5.1kb", "5m", "5g" as a number of bases."""
+    if isinstance(value, int) or value.isdigit():
+        return int(value)
     m = re.match(r"(\d+(?:\.\d+)?)([kmg])b?", value, re.I)
     if not m:
         raise ValueError(f"no number of bases: {value}")

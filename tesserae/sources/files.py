@@ -15,26 +15,12 @@ from tesserae.operators.align import numbered
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(record_no, read_id, sequence, qual, quals) of FASTQ files of four lines a record.
 
-    The separator is the line break before a header whose third line is a plus; a record is one row of the reader,
-    so files are split between records.
+    Lines are numbered in file order and meet by record; a quality line may look like a header, so nothing else is safe.
     """
-    whole = spark.read.option("lineSep", "\n@").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    lines = F.split(F.regexp_replace(F.col("value"), r"^@|\r|\n+$", ""), "\n")
-    parts = whole.where(F.length("value") > 0).select("at", lines.alias("lines"))
-    # a quality line may begin with the separator: the piece then lacks lines, and belongs to the one before it
-    from pyspark.sql import Window
-
-    starts = parts.withColumn("starts", (F.size("lines") >= 2) & ~F.col("lines")[0].rlike(r"^$"))
-    order = Window.orderBy("at")
-    broken = parts.where(F.size("lines") < 4)
-    if broken.isEmpty():
-        rows = parts
-    else:
-        group = F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(order)
-        joined = starts.withColumn("g", group).groupBy("g").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "lines"))).alias("p"))
-        rows = joined.select("at", F.split(F.array_join(F.transform("p", lambda x: F.array_join(x["lines"], "\n")), "\n@"), "\n").alias("lines"))
-    out = rows.select("at", F.split(F.col("lines")[0], r"\s")[0].alias("read_id"), F.col("lines")[1].alias("sequence"), F.col("lines")[3].alias("qual"))
-    return numbered(out, "at", "record_no").select("record_no", "read_id", "sequence", "qual", quality_scores(F.col("qual")).alias("quals"))
+    lines = numbered(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")), "at", "line")
+    whole = lines.groupBy(F.floor(F.col("line") / 4).alias("record_no")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)])
+    read_id = F.split(F.substring("l0", 2, 1 << 30), r"\s")[0]
+    return whole.select("record_no", read_id.alias("read_id"), F.col("l1").alias("sequence"), F.col("l3").alias("qual"), quality_scores(F.col("l3")).alias("quals"))
 
 
 def quality_scores(qual: Column) -> Column:
@@ -51,7 +37,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tag(fields: Column, name: str) -> Column:
-    found = F.element_at(F.filter(F.slice(fields, 12, 1 << 20), lambda x: x.startswith(name)), 1)
+    found = F.try_element_at(F.filter(F.slice(fields, 12, 1 << 20), lambda x: x.startswith(name)), F.lit(1))
     return F.substring(found, 6, 1 << 20)
 
 
