@@ -44,7 +44,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> np.nda
     for j in range(size):
         if not len(h):
             break
-        r = mix(h + np.uint64(j + 1) * GOLD)
+        r = mix(h + np.uint64((j + 1) * int(GOLD) % 2**64))
         k = j + ((mix(r + GOLD) >> np.uint64(32)) * np.uint64(size - j) >> np.uint64(32)).astype(np.int64)
         rows = np.arange(len(h))
         if perm is None:
