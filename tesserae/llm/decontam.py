@@ -102,7 +102,7 @@ def _item_windows(items: DataFrame, window: int, shortest: int) -> DataFrame:
         part = part.withColumn("size", F.least(F.size("tok"), F.lit(window)))
         found = None
         for size in range(shortest, window + 1):
-            own = _with_keys(part.where(F.col("size") == size), size).select("item_id", "size", "tok", F.posexplode("keys").alias("at", "key"))
+            own = _with_keys(part.where(F.col("size") == size), size).select("item_id", "size", "tok", F.posexplode_outer("keys").alias("at", "key"))
             found = own if found is None else found.unionByName(own)
         few = F.size(F.filter(F.slice("tok", F.col("at") + 1, F.col("size")), _is_slot)) * 2 <= F.col("size")
         found = found.where(few).select("size", "key", "item_id")
@@ -120,7 +120,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     hits = None
     for size, n in sorted(sizes.items()) or [(window, 0)]:
         own = keys.where(F.col("size") == size).select("key", "item_id")
-        seen = _with_keys(coded, size).select("id", F.posexplode("keys").alias("at", "key"))
+        # outer: else Spark infers a filter on the windows' number and evaluates all of the above once more for it
+        seen = _with_keys(coded, size).select("id", F.posexplode_outer("keys").alias("at", "key"))
         part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "item_id", "at", (F.col("at") + size).alias("to"))
         hits = part if hits is None else hits.unionByName(part)
     out = hits.groupBy("id", "item_id").agg(F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max("to").cast("long").alias("last_token"))
