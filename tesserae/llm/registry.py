@@ -82,3 +82,48 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wrapper.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_minhash_dedup"] = rf"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) end) as x from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+both_ as (select a, b from links union all select b, a from links),
+reach as (select a, b from both_ union select r.a, e.b from reach r join both_ e on r.b = e.a),
+low as (select a, min(b) as b from reach group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(low.b, w.doc_id)) as component_id, w.doc_id <= coalesce(low.b, w.doc_id) as kept
+from w left join n on n.doc_id = w.doc_id left join low on low.a = w.doc_id"""
+
+ORACLES["op2_pivot_topk"] = """with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as q from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, rank, vec_id, score from r where rank <= 5"""
+
+_ESCAPED = r"regexp_replace(coalesce(text, ''), '([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\\\2\3', 'g')"
+
+ORACLES["op7_chat_format"] = f"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) x(t, r)),
+f as (select *, length({_ESCAPED}) + case role when 'user' then 13 when 'assistant' then 7 when 'system' then 15 else 20 + length(role) end as chars from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id"""
+
+_MARKED = "regexp_replace(regexp_replace({0}, '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g'), '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g')"
+_TOKENS = "regexp_extract_all(lower(" + _MARKED + "), '[\\p{{L}}\\p{{M}}\ue000]+|[0-9]+(?:[.,][0-9]+)*')"
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_WINDOWS = """{0}_m as (select id, list_transform(tok, lambda x, i: case when x in ({1}) and i > 1 and left(tok[i - 1], 1) between '0' and '9' then '\ue001' || x else x end) as tok from {0}_t),
+{0}_w as (select id, size, i - 1 as place, tok[i:i + size - 1] as win from (select id, tok, size, unnest(range(1, len(tok) - size + 2)) as i from {0}_m, {2})),
+{0}_k as (select id, size, place, list_transform(win, lambda x: case when left(x, 1) in ('\ue000', '\ue001') then left(x, 1) when left(x, 1) between '0' and '9' then '#' else x end) as template,
+  list_filter(win, lambda x: left(x, 1) in ('\ue000', '\ue001') or left(x, 1) between '0' and '9') as slots, list_transform(slots, lambda s: list_position(win, s)) as pattern from {0}_w)"""
+
+ORACLES["op3_decontaminate"] = (
+    "with i_t as (select item_id as id, unnest(["
+    + ", ".join([_TOKENS.format("text"), _TOKENS.format("'a ' || text") + "[2:]", _TOKENS.format("lower(text)")])
+    + f"]) as tok from benchmark where item_id is not null and text is not null),\n{_WINDOWS.format('i', _UNITS, '(select unnest(range(5, 9)) as size) z where size = least(len(tok), 8)')},\n"
+    + "keys as (select size, template, pattern, min(id) as item_id from i_k where 2 * len(slots) <= size group by all), sizes as (select distinct size from keys),\n"
+    + f"d_t as (select doc_id as id, {_TOKENS.format('text')} as tok from documents where doc_id is not null and text is not null),\n{_WINDOWS.format('d', _UNITS, 'sizes')}\n"
+    + "select id as doc_id, item_id, count(*) as n_windows, min(place) as first_token, max(place + size) as last_token from d_k join keys using (size, template, pattern) group by id, item_id"
+)
