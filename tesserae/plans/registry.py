@@ -104,9 +104,20 @@ def F2_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir).select("align_idx", "filter_reason", "pass_filter", "fragment_id")
 
 
-@query()
+_STEP = "least(4 + 2 * {0}, 24 + {0})"
+_PATHED = (
+    _CASCADE.replace("with ", "with recursive ", 1)
+    + f""", left_ as (select *, row_number() over (partition by read_idx order by read_end, align_idx) as pos, count(*) over (partition by read_idx) as n_left from filtered where filter_reason = 'pass'),
+many as (select * from left_ where n_left > 1),
+ways as (select read_idx, pos, read_end, read_length, {_STEP.format("read_start")} - align_score as cost, [align_idx] as path from many
+  union all select w.read_idx, r.pos, r.read_end, r.read_length, w.cost + {_STEP.format("abs(r.read_start - w.read_end)")} - r.align_score, list_append(w.path, r.align_idx) from ways w join many r on r.read_idx = w.read_idx and r.pos > w.pos),
+path_ as (select read_idx, arg_min(path, (cost + {_STEP.format("(read_length - read_end)")}, path)) as path from ways group by read_idx)"""
+)
+
+
+@query(_PATHED + " select align_idx, case when filter_reason = 'pass' and path is not null and not list_contains(path, align_idx) then 'not_on_shortest_path' else filter_reason end as filter_reason, fragment_id, overlap_length from filtered left join path_ using (read_idx)")
 def F7_assign_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assigned(spark, sf_dir, path_filter=True)
+    return _assigned(spark, sf_dir, path_filter=True).select("align_idx", "filter_reason", "fragment_id", "overlap_length")
 
 
 _PATH = f"""with recursive alignments as ({b.ALIGN_SQL}),
@@ -189,6 +200,54 @@ def F9_quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.no_self_ligation(kept).select("read_name", "align1_align_idx", "align2_align_idx")
 
 
+_GENOME = f", genome as (select chrom, seq from (select event_type as chrom, row_number() over (order by event_type) - 1 as doc_id from (select distinct event_type from events) t) c join ({b.SEQ_SQL}) s using (doc_id))"
+_PLACED = (
+    _CONTACTS
+    + _GENOME
+    + """, c as (select *, greatest(a.mid, 50) as pos1, greatest(b.mid, 50) as pos2, read_name || ':' || lpad(cast(row_number() over (partition by read_name order by a.align_idx, b.align_idx) as varchar), 4, '0') as pair_id from contacts where a.fragment_id <> b.fragment_id),
+e as (select c.*, substr(g.seq, pos1 - 49, 50) as s1, substr(h.seq, pos2 - 49, 50) as s2 from c join genome g on g.chrom = c.a.chrom join genome h on h.chrom = c.b.chrom)"""
+)
+_RC = "translate(reverse({0}), 'ACGT', 'TGCA')"
+
+
+def _genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.sequences(spark, sf_dir).select("chrom_idx", "seq").join(b.chroms(spark, sf_dir), "chrom_idx").select("chrom", "seq")
+
+
+@query(_PLACED + f" select pair_id, case when a.strand then s1 else {_RC.format('s1')} end as seq1, case when b.strand then s2 else {_RC.format('s2')} end as seq2 from e")
+def K13_paired_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.paired_reads(_contacts(spark, sf_dir), _genome(spark, sf_dir), 50)
+
+
+@query(
+    _PLACED
+    + f""" select concat_ws(' ', a.strand::int, a.chrom, pos1, a.fragment_id, b.strand::int, b.chrom, pos2, b.fragment_id, '60 50M', case when a.strand then {_RC.format('s1')} else s1 end,
+  '60 50M', case when b.strand then {_RC.format('s2')} else s2 end, pair_id || ':1', pair_id || ':2') as value from e"""
+)
+def K14_merged_no_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.merged_no_dups(_contacts(spark, sf_dir), _genome(spark, sf_dir), 50)
+
+
+@query(_CASCADE + " select concat_ws(':', read_name, read_idx, align_idx) as qname from filtered where filter_reason = 'pass'")
+def J11_select_passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _assigned(spark, sf_dir)
+    records = b.alignments(spark, sf_dir).select(scalars.joined_name(F.col("read_name"), F.col("read_idx"), F.col("align_idx")).alias("qname"))
+    return align.select_passing(records, rows)
+
+
+@query("select event_id, case when f & 4 > 0 then 'unmapped' when f & 256 > 0 then 'secondary' when f & 2048 > 0 then 'supplementary' else 'primary' end as align_type from (select event_id, (event_id % 2) * 4 + (event_id % 3 // 2) * 256 + (event_id % 5 // 4) * 2048 as f from events)")
+def X22_align_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i = F.col("event_id")
+    flag = ((i % 2) * 4 + F.floor(i % 3 / 2) * 256 + F.floor(i % 5 / 4) * 2048).cast("int")
+    return e.select("event_id", scalars.align_type(flag).alias("align_type"))
+
+
+@query(_BASE + _SIZES + " select cast(sum(size) as bigint) as genome_size from sizes")
+def A24_genome_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.chromsizes(spark, sf_dir).agg(F.sum("size").alias("genome_size"))
+
+
 @query(_CONCAT + " select * from concat_")
 def A9_concatemers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.concatemers(_contacts(spark, sf_dir))
@@ -339,6 +398,17 @@ def G2_downsample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.nearest_totals(own, [100_000, 400_000], 5).select("target", "total")
 
 
+@query(
+    """with k as (select cast(doc_id as varchar) as read_name, n_chars as read_length, md5(doc_id || ':5') as h from documents), t as (select *, sum(read_length) over (order by h) as total from k),
+g(target) as (values (100000), (400000)), e as (select target, arg_min(h, abs(total - target)) as h from t, g where target <= (select sum(read_length) from k) group by target)
+select cast(target as bigint) as target, read_name, read_length from k join e on k.h <= e.h"""
+)
+def G2_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = b.reads(spark, sf_dir).select(F.col("read_id").alias("read_name"), "read_length")
+    samples = contacts.downsample(own, [100_000, 400_000], tolerance=0.5, seed=5)
+    return contacts.merge([df.withColumn("target", F.lit(t).cast("long")) for t, df in samples.items()])
+
+
 @query("select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 1")
 def U1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
