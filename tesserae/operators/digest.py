@@ -25,22 +25,27 @@ ENZYMES = {
 def _scan(pattern: str, offset: int) -> Callable:
     found = re.compile(pattern)
 
+    def ends(seq: str) -> list[int]:
+        n = len(seq)
+        return sorted({0, n, *(p for m in found.finditer(seq.upper()) if 0 < (p := m.start() + offset) < n)}) if n else []
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([[m.start() + offset for m in found.finditer((s or "").upper())] for s in column.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([ends(s or "") for s in column.to_pylist()], pa.list_(pa.int64()))
 
     return run
 
 
-def positions(seq: Column, cut_on: str | int, digest_type: str = "enzyme") -> Column:
-    """Array of cut positions: an enzyme's cuts, a motif's match starts, or every so many bases.
+def endpoints(seq: Column, cut_on: str | int, digest_type: str = "enzyme") -> Column:
+    """Ascending array from 0 to the sequence's length, with the cuts between: an enzyme's cuts, a motif's match starts, or every so many bases.
 
-    A chromosome is one string, scanned once by a compiled expression in an Arrow function.
+    A chromosome is one string, scanned once by a compiled expression in an Arrow function; an empty one has no ends.
     """
     if digest_type == "bin":
         width = bases(cut_on)
         n = F.length(seq).cast("long")
-        return F.when(n >= width, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(width).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        zero = F.lit(0).cast("long")
+        return F.when(n >= width, F.concat(F.sequence(zero, n - 1, F.lit(width).cast("long")), F.array(n))).when(n > 0, F.array(zero, n)).otherwise(F.array().cast("array<bigint>"))
     if digest_type == "regex":
         pattern, offset = site_regex(str(cut_on)), 0
     elif digest_type == "enzyme":
@@ -54,10 +59,8 @@ def positions(seq: Column, cut_on: str | int, digest_type: str = "enzyme") -> Co
     return F.arrow_udf(_scan(pattern, offset), "array<long>")(seq)
 
 
-def intervals(cuts: Column, length: Column) -> Column:
-    """Array of (start, end) between cuts, from 0 to the sequence's length."""
-    zero = F.array(F.lit(0).cast("long"))
-    ends = F.array_distinct(F.array_sort(F.concat(zero, F.filter(cuts, lambda x: (x > 0) & (x < length)), F.array(length.cast("long")))))
+def intervals(ends: Column) -> Column:
+    """Array of (start, end) between neighbouring ends."""
     return F.zip_with(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), F.slice(ends, 2, F.size(ends)), lambda s, e: F.struct(s.alias("start"), e.alias("end")))
 
 
@@ -66,9 +69,9 @@ def fragments(contigs: DataFrame, cut_on: str | int, digest_type: str = "enzyme"
 
     Numbers within a chromosome come from its array, those before it from one row for each chromosome.
     """
-    cut = contigs.select("chrom", "chrom_idx", intervals(positions(F.col("seq"), cut_on, digest_type), F.length("seq")).alias("parts"))
-    rows = cut.select("chrom", "chrom_idx", F.posexplode("parts").alias("k", "part"))
-    count = rows.groupBy("chrom_idx").agg(F.count("*").alias("n"))
+    cut = contigs.select("chrom", "chrom_idx", endpoints(F.col("seq"), cut_on, digest_type).alias("ends"))
+    rows = cut.select("chrom", "chrom_idx", F.posexplode(intervals(F.col("ends"))).alias("k", "part"))
+    count = cut.select("chrom_idx", F.greatest(F.size("ends") - 1, F.lit(0)).alias("n"))
     before = Window.orderBy("chrom_idx").rowsBetween(Window.unboundedPreceding, -1)
     base = count.select(F.col("chrom_idx"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     out = rows.join(base, "chrom_idx")

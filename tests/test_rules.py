@@ -40,7 +40,7 @@ def test_digest(spark, cut_on, kind, expected):
 def test_digest_errors():
     for args in (("NoSuchI", "enzyme"), ("GATC", "magic")):
         with pytest.raises(ValueError):
-            digest.positions(F.col("seq"), *args)
+            digest.endpoints(F.col("seq"), *args)
 
 
 def test_interval_join_brute_force(spark):
