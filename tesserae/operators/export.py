@@ -14,7 +14,8 @@ def fragment_bins(fragments: DataFrame, chromsizes: DataFrame, resolution: int)
     """(fragment_id, bin_id) by fragment midpoint; fragments outside every bin are left out."""
     mid = midpoint(F.col("start"), F.col("end"))
     sized = bin_offsets(chromsizes, resolution).select("chrom", "size", "first_bin")
-    return fragments.join(sized, "chrom").select("fragment_id", bin_of(mid, F.col("size"), F.col("first_bin"), resolution).alias("bin_id")).where("bin_id is not null")
+    # a row for each chromosome
+    return fragments.join(F.broadcast(sized), "chrom").select("fragment_id", bin_of(mid, F.col("size"), F.col("first_bin"), resolution).alias("bin_id")).where("bin_id is not null")
 
 
 def pixels(contacts: DataFrame, fragment_bin: DataFrame, *, by_haplotype: bool = False) -> DataFrame:
