@@ -12,7 +12,7 @@ Neighbours that are together after ``length`` rounds are the repeated intervals.
 than ``HOT`` are resolved by counting window hashes instead, which splits over any number of tasks.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than ``length`` lose
-nothing; matches never cross texts; a repeated row is another occurrence of its own text; rows with a
+nothing; a text of 128 MB or more is an error; matches never cross texts; a repeated row is another occurrence of its own text; rows with a
 null id are left out; an empty table gives an empty result; other columns do not matter.
 """
 
@@ -31,6 +31,8 @@ from tesserae.llm.common import GOLD, cut, mix, powers, prefix_hash, signed, spa
 LENGTH, GRAM = 200, 32
 #: Bytes of records that are merged at a time, records in a shard, and records of an anchor beyond which windows are counted.
 BATCH, SHARDS, HOT = 1 << 19, 4, 20_000
+#: Bits of a position inside a chunk.
+_PLACE = 27
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -48,11 +50,13 @@ def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
+    if n >= 1 << _PLACE:
+        raise ValueError(f"a text of {n} bytes is too long; {1 << _PLACE} is the limit")
     prefix = prefix_hash(data)
     _, down = powers(n + 1)
     grams = mix((prefix[gram:] - prefix[: n - gram + 1]) * down[: n - gram + 1])
-    key = (grams >> np.uint64(27) << np.uint64(27)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_min(key, length - gram + 1) & np.uint64((1 << 27) - 1)).astype(np.int64)
+    key = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(grams), dtype=np.uint64)
+    anchor = (sliding_min(key, length - gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     start = np.arange(n - length + 1)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: n - length + 1]
     inside = start + length <= offs[doc + 1]
