@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of whole texts that are hashed at a time; a longer text is hashed by itself.
+CHUNK_BYTES = 1 << 18
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(2**40, 2**62)) * 2 + 1

@@ -31,7 +31,7 @@ from tesserae.llm.graph import components
 BANDS, ROWS = 20, 4
 #: A pair whose signatures agree in fewer than (similarity - SLACK) of the positions is not verified; 6 standard deviations.
 SLACK = 0.24
-SMALL_BUCKET, BLOCK, SLICE = 32, 512, 8192
+SMALL_BUCKET, BLOCK, SLICE = 32, 512, 4096
 #: Ids of texts to be read again are broadcast up to this many (counted first), else the texts are shuffled to them.
 BROADCAST_IDS = 2_000_000
 
