@@ -20,6 +20,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 2_000_000
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: fewer of them in an Arrow batch keep executors and their workers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = cut(ids.select("doc_id").where("doc_id is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
@@ -28,12 +33,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier, learned from all labels, rejects."""
+    _small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return quality.score(docs.select(*COLUMNS), model).where("score >= 0.5").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates: five words, similarity 0.8; repeated rows go too."""
+    _small_batches(spark)
     found = cut(minhash.near_duplicates(docs, width=5, percent=80, bands=28))
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
@@ -42,6 +49,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out passages of 200 bytes or more that occur elsewhere; documents with nothing else go."""
+    _small_batches(spark)
     out = suffix.remove_repeats(docs, carry=("lang", "source"))
     text = F.expr("make_valid_utf8(cast(kept as string))")
     out = out.where((F.col("n_bytes") == 0) | (F.length(F.trim(F.translate(text, "\t\n\r", "   "))) > 0))
@@ -50,10 +58,12 @@ def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold windows of benchmark items."""
+    _small_batches(spark)
     return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return packing.pack(docs)
 
 

@@ -35,7 +35,7 @@ from tesserae.llm.common import cut, prefix_hash, span_hash, texts, words
 CAPACITY, SEPARATOR = 1024, 0
 #: Pieces shorter than this are a class of their exact length; a class may leave at most this many tokens of a sequence empty.
 SMALL, WASTE = 32, 4
-CHUNK, CACHE = 4 << 20, 600_000
+CHUNK, CACHE = 1 << 20, 400_000
 #: Bytes of Unicode white space beyond ASCII, with some other characters of the same first bytes.
 ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 #: Fixed value: the split pattern of the vocabulary.
@@ -85,11 +85,10 @@ class Units:
             at = first[new]
             got = [self.encode(raw[s:e].decode()) for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
             n = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
+            where = place[new]  # both are sorted
+            self.at = np.insert(self.at, where, len(self.ids) + np.cumsum(n) - n)
+            self.n, self.hash = np.insert(self.n, where, n), np.insert(self.hash, where, u[new])
             self.ids = np.concatenate((self.ids, np.fromiter((x for g in got for x in g), dtype=np.uint32, count=int(n.sum()))))
-            self.n, self.hash = np.concatenate((self.n, n)), np.concatenate((self.hash, u[new]))
-            order = np.argsort(self.hash, kind="stable")
-            self.hash, self.at, self.n = self.hash[order], self.at[order], self.n[order]
             place = np.searchsorted(self.hash, u)
         return self.at[place][back], self.n[place][back]
 
