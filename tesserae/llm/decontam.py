@@ -7,7 +7,8 @@ into one key, so one hash join finds the windows that are a benchmark item's up
 parameters: values may differ, but equal ones must stay equal and different ones different.
 
 Items enter in three readings: as written, with their first word taken for a name (it may stand inside a sentence of
-the document), and in lower case. Windows with more slots than words are left out, they match tables of numbers. Items
+the document), and in lower case. Documents that hold names enter twice, as written and without them: a passage in capitals,
+where every word looks like a name, meets the lower case of its item. A place found in both readings counts once. Windows with more slots than words are left out, they match tables of numbers. Items
 with fewer tokens than a window are matched as a whole, if they have at least ``SHORTEST``.
 
 A window that several items share is reported for the smallest item id, so a document has one row for each item
@@ -41,6 +42,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, _NAME, _N + "$0")), F.lit(_TOKEN), F.lit(0))
 
 
+def _caseless(tok: str) -> Column:
+    """The tokens of the text in lower case: names are words."""
+    return F.transform(tok, lambda x: F.translate(x, _N, ""))
+
+
 def _number(x: Column) -> Column:
     return F.substring(x, 1, 1).between("0", "9")
 
@@ -116,13 +122,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     keys = cut(_item_windows(items, window, shortest))
     sizes = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most a few sizes
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    coded = _coded(docs.select("id", tokens(F.col("text")).alias("tok")))
+    docs = docs.select("id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("tok"))
+    both = F.when(F.exists("tok", lambda x: F.substring(x, 1, 1) == _N), F.array("tok", _caseless("tok"))).otherwise(F.array("tok"))
+    # outer: else Spark infers a filter on the arrays' size and evaluates all of the above once more for it
+    coded = _coded(docs.select("id", "row", F.posexplode_outer(both).alias("reading", "tok")))
     hits = None
     for size, n in sorted(sizes.items()) or [(window, 0)]:
         own = keys.where(F.col("size") == size).select("key", "item_id")
-        # outer: else Spark infers a filter on the windows' number and evaluates all of the above once more for it
-        seen = _with_keys(coded, size).select("id", F.posexplode_outer("keys").alias("at", "key"))
-        part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "item_id", "at", (F.col("at") + size).alias("to"))
+        seen = _with_keys(coded, size).select("id", "row", "reading", F.posexplode_outer("keys").alias("at", "key"))
+        part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "row", "reading", "item_id", "at", (F.col("at") + size).alias("to"))
         hits = part if hits is None else hits.unionByName(part)
-    out = hits.groupBy("id", "item_id").agg(F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max("to").cast("long").alias("last_token"))
+    once = hits.groupBy("id", "row", "item_id", "at", "to").agg(F.greatest(*[F.count(F.when(F.col("reading") == k, 1)) for k in (0, 1)]).alias("n"))
+    out = once.groupBy("id", "item_id").agg(F.sum("n").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max("to").cast("long").alias("last_token"))
     return out.withColumnRenamed("id", id_col)

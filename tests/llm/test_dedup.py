@@ -167,6 +167,16 @@ def test_slots_must_be_consistent(spark):
     assert {r.doc_id for r in decontam.contaminated(docs_of(spark, rows), items).collect()} == {1}
 
 
+def test_passages_in_capitals_are_found(spark):
+    """Every word after a blank looks like a name; what both readings find counts once, repeated rows as often as they occur."""
+    items = spark.createDataFrame([(i, t, 0) for i, t in ITEMS], "item_id long, text string, doc_id long")
+    text = ITEMS[1][1]
+    rows = [(1, f"intro {text} and so on"), (2, f"intro {text} and so on".upper()), (3, text.title()), (4, ITEMS[0][1].upper()), (5, "tell me what Alice paid when Bob gave Alice nine coins today again")]
+    found = {(r.doc_id, r.item_id): (r.n_windows, r.first_token, r.last_token) for r in decontam.contaminated(docs_of(spark, rows + rows[1:2]), items).collect()}
+    n = len(text.split())
+    assert found == {(1, 2): (n - 7, 1, n + 1), (2, 2): (2 * (n - 7), 1, n + 1), (3, 2): (n - 7, 0, n), (4, 1): (10, 0, 17), (5, 3): (6, 0, 13)}
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
