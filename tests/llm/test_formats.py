@@ -66,6 +66,23 @@ def test_pages_without_landmarks(spark):
     assert wrapper.extract(data.limit(0)).count() == 0
 
 
+def test_pages_of_several_templates(spark):
+    """A main element on one page decides nothing on others; copies of an article are one page; more than eight texts count exactly."""
+    plain = lambda t: f"<html><body><div><a href='/'>Home</a> <a href='/x'>Shop</a></div><div><h2>{t}</h2><p>Body of {t}.</div><div>All rights reserved</div></body>"
+    rows = [(i, "http://two.example/a", plain(f"Story {i}")) for i in range(4)]
+    rows += [(i, "http://two.example/b", f"<body><nav>Top</nav><article><p>Piece {i}</article><p>Outside</body>") for i in range(4, 7)]
+    rows += [(i, None, f"<div><p>Loose {i}</div>") for i in range(10, 14)] + [(14, "x", "<article>Lone</article><p>by</p>")]
+    rows += [(i, "http://copies.example/c", plain("Copied")) for i in range(20, 26)] + [(i, "http://copies.example/d", plain(f"Own {i}")) for i in range(26, 30)]
+    many = lambda i: f"<table><tr><td>Text {i}</td></tr></table><ul><li>{'Often' if i % 5 < 3 else f'Rare {i}'}</li></ul>"
+    rows += [(i, "http://many.example/", many(i)) for i in range(100, 160)]
+    found = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert [found[i] for i in range(4)] == [f"Story {i}\n\nBody of Story {i}." for i in range(4)]
+    assert [found[i] for i in range(4, 7)] == [f"Piece {i}" for i in range(4, 7)]
+    assert [found[i] for i in range(10, 15)] == [*(f"Loose {i}" for i in range(10, 14)), "Lone"]
+    assert [found[i] for i in range(20, 30)] == ["Copied\n\nBody of Copied."] * 6 + [f"Own {i}\n\nBody of Own {i}." for i in range(26, 30)]
+    assert [found[i] for i in range(100, 160)] == [f"Text {i}" for i in range(100, 160)]
+
+
 def test_alignment_makes_optional_and_repeated():
     slot = lambda p: {"path": p, "pages": 1, "chars": 5, "linked": 0, "optional": False, "texts": {p: 1}}
     out = wrapper.align([slot("a"), slot("b"), slot("d")], [slot("a"), slot("c"), slot("d")])
