@@ -2,14 +2,14 @@
 
 Documents are dealt to blocks of about ``BLOCK_BYTES``. A block counts its unigrams and bigrams once and
 sends them, sorted and packed, to buckets; bigram buckets add them up and answer each block with the
-bigrams worth keeping, unigram buckets answer with word counts and what each history gave to its kept
+totals of its bigrams, unigram buckets answer with word counts and what each history gave to its kept
 bigrams. From the answers the block builds the slice of the automaton that its texts can reach: a state
 for each history with kept bigrams, arcs for those, and one failure arc to the root, weighted so that every
 state's probabilities sum to one:
 
     P(w | v) = [c(v, w) kept] (c(v, w) - D) / c(v) + L(v) P(w),   L(v) = 1 - sum of (c - D) / c(v) over kept w
 
-P(w) is the additive unigram estimate (c + 0.5) / (N + 0.5 (V + 1)). Bigrams seen once are not kept.
+P(w) is the additive unigram estimate (c + 0.5) / (N + 0.5 (V + 1)). All bigrams of training are kept (``MIN_COUNT`` is 1), the discount leaves those seen once a quarter.
 
 Defined cases: a null or empty text is the end token alone; rows with a null id are left out; a repeated row
 counts, and returns, as often as it occurs; without training rows N and V are 0; an empty table gives an empty
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import GOLD, mix, texts, word_hashes
 
 BLOCK_BYTES = 16 << 20
-DISCOUNT, MIN_COUNT = 0.75, 2
+DISCOUNT, MIN_COUNT = 0.75, 1
 END, BOS = np.uint64(0xE0D), np.uint64(0xB05)
 _ROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _ROW_SQL = "key long, kind int, block long, payload binary"

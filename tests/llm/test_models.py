@@ -78,6 +78,17 @@ def test_language_model(spark):
     assert (none.train_tokens, none.n_known) == (0, 0)
 
 
+def test_bigrams_seen_once_count(spark):
+    data = spark.createDataFrame([(0, "a b"), (1, "a c"), (2, "b"), (3, "a b"), (4, "c b")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in lm.score(data, F.col("doc_id") < 3).collect()}
+    # a 2, b 2, c 1, end 3: 8 tokens of 4 kinds; every text is (start, its words, end)
+    p = {"a": 2.5 / 10.5, "b": 2.5 / 10.5, "c": 1.5 / 10.5, "end": 3.5 / 10.5}
+    start_a, a_b, b_end = 1.25 / 3 + 1.5 / 3 * p["a"], 0.25 / 2 + 1.5 / 2 * p["b"], 1.25 / 2 + 0.75 / 2 * p["end"]
+    start_c, c_b = 1.5 / 3 * p["c"], 0.75 * p["b"]
+    assert found[3] == pytest.approx(math.log10(start_a * a_b * b_end), abs=1e-9)
+    assert found[4] == pytest.approx(math.log10(start_c * c_b * b_end), abs=1e-9)
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
