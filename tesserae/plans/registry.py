@@ -412,7 +412,8 @@ def G2_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 1")
 def U1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    return contacts.merge([orders.where(F.col("o_orderkey") % 3 == k) for k in (0, 1)])
+    part = F.pmod(F.coalesce("o_orderkey", F.lit(0)), F.lit(3))
+    return contacts.merge([orders.where(part == k) for k in (0, 1, 2)])
 
 
 @query("select sum(count) as reads, sum(bases) as bases, sum(passing) as passing, sum(pb) as passing_bases from (select count(*) as count, sum(n_chars)::bigint as bases, count_if(n_chars >= 500 and n_chars < 5000 and doc_id % 20 >= 6 and doc_id % 20 < 12) as passing, (sum(n_chars) filter (n_chars >= 500 and n_chars < 5000 and doc_id % 20 >= 6 and doc_id % 20 < 12))::bigint as pb from documents)")

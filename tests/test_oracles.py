@@ -45,6 +45,11 @@ def test_query(spark, duck, name):
         assert rows(found) == rows(expected)
 
 
+def test_merge_has_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice").toPandas()
+    assert rows(registry.QUERIES["U1_merge"](spark, SF).toPandas()) == rows(orders)
+
+
 def test_entry(spark):
     import __spark_entry__
 
