@@ -6,14 +6,16 @@ tokens has a placeholder for each slot; next to it stands the pattern of which s
 into one key, so one hash join finds the windows that are a benchmark item's up to a consistent change of its
 parameters: values may differ, but equal ones must stay equal and different ones different.
 
-Items enter in three readings: as written, with their first word taken for a name (it may stand inside a sentence of
-the document), and in lower case. Documents that hold names enter twice, as written and without them: a passage in capitals,
-where every word looks like a name, meets the lower case of its item. A place found in both readings counts once. Windows with more slots than words are left out, they match tables of numbers. Items
-with fewer tokens than a window are matched as a whole, if they have at least ``SHORTEST``.
+Items and documents enter in several readings: as written, in lower case, and with every capitalised word taken for a
+name, also where it begins a sentence; items also with their first word alone taken for a name (it may stand inside a
+sentence of the document). So a passage in capitals, where every word looks like a name, meets the lower case of its
+item. A place found in several readings counts once. Windows with more slots than words would match tables of numbers;
+they go by their literal values in lower case. Items with fewer tokens than a window are matched as a whole, if they have
+at least ``SHORTEST``.
 
-A window that several items share is reported for the smallest item id, so a document has one row for each item
-found and rows never multiply by copies of items. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows
-(counted first), beyond that they are shuffled.
+Documents meet the distinct windows; what is found is joined to all items that have the window, so a document has one row
+for each item found. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows (counted first), beyond that
+they are shuffled.
 
 Defined cases: null or empty texts and items match nothing; rows with null ids are left out on either side; a repeated
 row adds to its document's counts; an empty table on either side gives an empty result; other columns do not matter.
@@ -31,20 +33,28 @@ BROADCAST_ROWS = 1_000_000
 #: Units of measurement that are slots after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw v a c f k usd eur gbp dollars euros cents percent meters metres miles feet inches grams kilograms pounds liters litres seconds minutes hours days weeks months years degrees".split()
 
-#: Private-use characters that mark a name and a unit.
-_N, _U = "\ue000", "\ue001"
+#: Private-use characters that mark a name, a unit and a capitalised word that begins a sentence.
+_N, _U, _S = "\ue000", "\ue001", "\ue002"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},]\s.)"
-_TOKEN = r"[\p{L}\p{M}" + _N + r"]++|[0-9]++(?:[.,][0-9]++)*+"
+_START = r"(?<![\p{L}\p{M}" + _N + r"])\p{Lu}"
+_TOKEN = r"[\p{L}\p{M}" + _N + _S + r"]++|[0-9]++(?:[.,][0-9]++)*+"
 
 
 def tokens(text: Column) -> Column:
-    """Words in lower case, names behind a mark, and numbers."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, _NAME, _N + "$0")), F.lit(_TOKEN), F.lit(0))
+    """Words in lower case, names and other capitalised words behind marks, and numbers."""
+    marked = F.regexp_replace(F.regexp_replace(text, _NAME, _N + "$0"), _START, _S + "$0")
+    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
-def _caseless(tok: str) -> Column:
-    """The tokens of the text in lower case: names are words."""
-    return F.transform(tok, lambda x: F.translate(x, _N, ""))
+def _without(tok: Column | str, marks: str) -> Column:
+    return F.transform(tok, lambda x: F.translate(x, marks, ""))
+
+
+def _readings(tok: str) -> list[Column]:
+    """As written, in lower case, with all capitalised words as names; null where one equals the first."""
+    names, starts = F.exists(tok, lambda x: F.substring(x, 1, 1) == _N), F.exists(tok, lambda x: F.substring(x, 1, 1) == _S)
+    as_written = F.when(starts, _without(tok, _S)).otherwise(F.col(tok))
+    return [as_written, F.when(names, _without(tok, _N + _S)), F.when(starts, F.transform(tok, lambda x: F.translate(x, _S, _N)))]
 
 
 def _number(x: Column) -> Column:
@@ -87,7 +97,8 @@ def _with_keys(df: DataFrame, size: int) -> DataFrame:
     def keyed(x: Column, i: Column) -> Column:
         own = F.slice("tok", i + 1, size)
         slots = F.filter(own, _is_slot)
-        return F.when(F.size(slots) > 0, F.xxhash64(x, F.transform(slots, lambda s: F.array_position(own, s)))).otherwise(x)
+        same = F.xxhash64(x, F.transform(slots, lambda s: F.array_position(own, s)))
+        return F.when(F.size(slots) == 0, x).when(F.size(slots) * 2 <= size, same).otherwise(F.xxhash64(F.lit("="), _without(own, _N + _U)))
 
     return df.withColumn("keys", F.when(F.col("has_slots"), F.transform("keys", keyed)).otherwise(F.col("keys")))
 
@@ -99,39 +110,36 @@ def _coded(df: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame, window: int, shortest: int) -> DataFrame:
-    """(size, key, item_id): the smallest item of every window."""
-    text = F.col("text")
-    read = [tokens(text), F.slice(tokens(F.concat(F.lit("a "), text)), 2, 1 << 30), tokens(F.lower(text))]
+    """(size, key, item_id): every window of every item, once."""
+    first = F.slice(tokens(F.concat(F.lit("a "), F.col("text"))), 2, 1 << 30)
+    items = items.select("item_id", tokens(F.col("text")).alias("tok"), _without(first, _S).alias("first"))
     out = None
-    for tok in read:
+    for tok in [*_readings("tok"), F.col("first")]:
         part = _coded(items.select("item_id", tok.alias("tok"))).where(F.size("tok") >= shortest)
         part = part.withColumn("size", F.least(F.size("tok"), F.lit(window)))
-        found = None
         for size in range(shortest, window + 1):
-            own = _with_keys(part.where(F.col("size") == size), size).select("item_id", "size", "tok", F.posexplode_outer("keys").alias("at", "key"))
-            found = own if found is None else found.unionByName(own)
-        few = F.size(F.filter(F.slice("tok", F.col("at") + 1, F.col("size")), _is_slot)) * 2 <= F.col("size")
-        found = found.where(few).select("size", "key", "item_id")
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("size", "key").agg(F.min("item_id").alias("item_id"))
+            own = _with_keys(part.where(F.col("size") == size), size).select("item_id", "size", F.explode_outer("keys").alias("key"))
+            out = own if out is None else out.unionByName(own)
+    return out.select("size", "key", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """(id, item_id, n_windows, first_token, last_token) for every document and item found in it."""
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     keys = cut(_item_windows(items, window, shortest))
-    sizes = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most a few sizes
+    sizes = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.count_distinct("key").alias("n")).collect()}  # at most a few sizes
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     docs = docs.select("id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("tok"))
-    both = F.when(F.exists("tok", lambda x: F.substring(x, 1, 1) == _N), F.array("tok", _caseless("tok"))).otherwise(F.array("tok"))
     # outer: else Spark infers a filter on the arrays' size and evaluates all of the above once more for it
-    coded = _coded(docs.select("id", "row", F.posexplode_outer(both).alias("reading", "tok")))
+    coded = _coded(docs.select("id", "row", F.posexplode_outer(F.array(*_readings("tok"))).alias("reading", "tok")))
     hits = None
     for size, n in sorted(sizes.items()) or [(window, 0)]:
-        own = keys.where(F.col("size") == size).select("key", "item_id")
+        own = keys.where(F.col("size") == size).select("key").distinct()
         seen = _with_keys(coded, size).select("id", "row", "reading", F.posexplode_outer("keys").alias("at", "key"))
-        part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "row", "reading", "item_id", "at", (F.col("at") + size).alias("to"))
+        part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "row", "reading", "at", F.lit(size).alias("size"), "key")
         hits = part if hits is None else hits.unionByName(part)
-    once = hits.groupBy("id", "row", "item_id", "at", "to").agg(F.greatest(*[F.count(F.when(F.col("reading") == k, 1)) for k in (0, 1)]).alias("n"))
-    out = once.groupBy("id", "item_id").agg(F.sum("n").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max("to").cast("long").alias("last_token"))
+    places = hits.groupBy("id", "row", "reading", "at", "size", "key").agg(F.count("*").alias("n")).join(keys, ["size", "key"])
+    # a repeated row has a place as often as it occurs, in each reading that finds it
+    once = places.groupBy("id", "row", "item_id", "at", "size").agg(F.max("n").alias("n"))
+    out = once.groupBy("id", "item_id").agg(F.sum("n").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max(F.col("at") + F.col("size")).cast("long").alias("last_token"))
     return out.withColumnRenamed("id", id_col)

@@ -177,6 +177,15 @@ def test_passages_in_capitals_are_found(spark):
     assert found == {(1, 2): (n - 7, 1, n + 1), (2, 2): (2 * (n - 7), 1, n + 1), (3, 2): (n - 7, 0, n), (4, 1): (10, 0, 17), (5, 3): (6, 0, 13)}
 
 
+def test_windows_of_slots_and_of_several_items(spark):
+    """Windows of numbers go by their values, names may begin a sentence, a shared window is found for all its items."""
+    numbers, shared = "12 + 30 = 42, 17 * 3 = 51, 9 - 4 = 5", "one two three four five six seven eight"
+    items = spark.createDataFrame([(1, numbers), (2, "Tom has 12 red apples"), (3, f"{shared} nine"), (4, shared), (5, "Marie Curie Won Nobel Prizes In Physics And Chemistry")], "item_id long, text string")
+    rows = [(1, f"Sums: {numbers}."), (2, numbers.replace("4", "6")), (3, "See. Ben has 30 red apples."), (4, f"zero {shared} ten"), (5, "so Marie Curie Won Nobel Prizes In Physics And Chemistry"), (6, "Ben had 30 red apples.")]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), items).collect()}
+    assert found == {(1, 1), (3, 2), (4, 3), (4, 4), (5, 5)}
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
