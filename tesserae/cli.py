@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import bases
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, metadata, reads, summary
 from tesserae.operators.intervals import bins
+from tesserae.operators.ranges import numbered
 from tesserae.sources import files
 
 
@@ -27,12 +28,20 @@ def session(args: argparse.Namespace) -> SparkSession:
     return spark
 
 
-def one_text_file(lines: DataFrame, path: str, order: list[str] | None = None, header: list[str] | None = None) -> str:
-    """Text in one local file, streamed partition by partition, for tools that cannot read a folder."""
+def text_file(lines: DataFrame, path: str, order: list[str] | None = None, header: DataFrame | list[str] | None = None, parts: bool = False) -> str:
+    """Text in the order of ``order``: sorted and written by all tasks as numbered parts, ``part-header`` first.
+
+    With ``parts`` they stay a folder; else they are put together on storage, byte for byte, for tools that need one file.
+    """
+    spark = lines.sparkSession
     lines = lines.orderBy(*order) if order else lines
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(x + "\n" for x in header or ())
-        f.writelines(r.value + "\n" for r in lines.select("value").toLocalIterator(prefetchPartitions=True))
+    folder = path if parts else f"{path}.parts"
+    lines.select("value").write.text(folder)
+    if header is not None:
+        head = header if isinstance(header, DataFrame) else spark.createDataFrame([(x,) for x in header], "value string")
+        metadata.write_text(f"{folder}/part-header", "".join(r.value + "\n" for r in head.select("value").collect()))  # a header's few lines
+    if not parts:
+        metadata.join_parts(folder, path)
     return path
 
 
@@ -43,27 +52,26 @@ def _tsv(df: DataFrame, sep: str = "\t") -> DataFrame:
 def prepare_genome(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = metadata.output_paths("refgenome", a.prefix)
     contigs = files.fasta(spark, a.fasta)
-    one_text_file(contigs.orderBy("chrom_idx").select(F.concat(F.lit(">"), "chrom", F.lit("\n"), "seq").alias("value")), paths["fasta"])
+    text_file(contigs.select("chrom_idx", F.concat(F.lit(">"), "chrom", F.lit("\n"), "seq").alias("value")), paths["fasta"], ["chrom_idx"], parts=a.parts)
+    text_file(_tsv(digest.fasta_index(contigs)), paths["fai"], ["offset"], parts=a.parts)
     sizes = digest.chrom_sizes(contigs).orderBy("chrom_idx").select("chrom", "size").collect()  # a row for each chromosome
-    with open(paths["chromsizes"], "w") as f, open(paths["metadata"], "w") as g:
-        g.write("chrom,length\n")
-        for r in sizes:
-            f.write(f"{r.chrom}\t{r['size']}\n")
-            g.write(f"{r.chrom},{r['size']}\n")
+    metadata.write_text(paths["chromsizes"], "".join(f"{r.chrom}\t{r['size']}\n" for r in sizes))
+    metadata.write_text(paths["metadata"], "chrom,length\n" + "".join(f"{r.chrom},{r['size']}\n" for r in sizes))
     metadata.write_catalog("refgenome", paths, {"genome_id": a.genome_id or os.path.basename(a.prefix), "genome_size": sum(r["size"] for r in sizes)})
 
 
 def virtual_digest(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = metadata.output_paths("virtual_digest", a.prefix)
     contigs = files.fasta(spark, a.fasta)
-    digest.fragments(contigs, a.cut_on, a.digest_type).write.parquet(paths["fragments"])
+    order = contigs.select("chrom", "chrom_idx")
+    digest.fragments(contigs, a.cut_on, a.digest_type).join(order, "chrom").sort("chrom_idx", "start").drop("chrom_idx").write.parquet(paths["fragments"])
     table = spark.read.parquet(paths["fragments"])
-    digest.digest_stats(table, contigs.select("chrom")).toPandas().to_csv(paths["digest_stats"], index=False)  # a row for each chromosome
+    metadata.write_text(paths["digest_stats"], digest.digest_stats(table, contigs.select("chrom")).toPandas().to_csv(index=False))  # a row for each chromosome
     metadata.write_catalog("virtual_digest", paths, {"digest_type": a.digest_type, "digest_param": a.cut_on})
 
 
 def hicref(spark: SparkSession, a: argparse.Namespace) -> None:
-    one_text_file(digest.hicref(spark.read.parquet(a.fragments)).select(F.col("line").alias("value")), a.output)
+    text_file(digest.hicref(spark.read.parquet(a.fragments)).select(F.col("line").alias("value")), a.output, ["value"], parts=a.parts)
 
 
 def prepare_reads(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -72,42 +80,50 @@ def prepare_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     flagged = reads.read_metadata(files.fastq(spark, a.fastq), min_read_length=a.min_read_length, max_read_length=a.max_read_length, min_qscore=a.min_qscore, max_qscore=a.max_qscore).persist()
     reads.metadata_columns(flagged).write.parquet(paths["read_metadata"])
     reads.pass_rate(flagged)
-    reads.read_summary(flagged).toPandas().to_csv(paths["summary"], index=False)
+    metadata.write_text(paths["summary"], reads.read_summary(flagged).toPandas().to_csv(index=False))  # three rows
     record = F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "qual").alias("value")
     passed = flagged.where("pass_filter").withColumn("chunk", F.floor(F.col("record_no") / a.batch_size))
-    chunks = [r.chunk for r in passed.select("chunk").distinct().orderBy("chunk").collect()]  # a row for each output file
-    number = F.create_map(*[F.lit(x) for i, c in enumerate(chunks) for x in (c, i + 1)])
-    passed.withColumn("batch", number[F.col("chunk")]).select("batch", record).repartition("batch").write.option("compression", "gzip").partitionBy("batch").text(paths["batches"])
+    number = numbered(passed.select("chunk").distinct(), "chunk", "batch").withColumn("batch", F.col("batch") + 1)  # a row for each output file
+    batches = passed.join(number, "chunk").select("batch", "record_no", record).repartition("batch").sortWithinPartitions("batch", "record_no").drop("record_no")
+    batches.write.option("compression", "gzip").partitionBy("batch").text(paths["batches"])
     if not (failed := flagged.where("not pass_filter")).isEmpty():
         failed.select(record).write.option("compression", "gzip").text(paths["fail"])
-    metadata.write_catalog("reads", paths, {"batches": len(chunks)})
+    metadata.write_catalog("reads", paths, {"batches": number.count(), **_json(a.user_metadata)})
+    flagged.unpersist()
+
+
+def _json(text: str | None) -> dict:
+    found = json.loads(text) if text else {}
+    if not isinstance(found, dict):
+        raise ValueError("user metadata must be a JSON object")
+    return found
 
 
 def reformat_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     out = files.sam_lines(align.reformat(files.sam(spark, a.input), set_bx=a.set_bx_flag))
-    one_text_file(out, a.output, ["line_no"], [r.value for r in files.sam_header(spark, a.input).collect()])
+    text_file(out, a.output, ["line_no"], files.sam_header(spark, a.input), a.parts)
 
 
 def create_table(spark: SparkSession, a: argparse.Namespace) -> None:
     table = align.create_table(files.sam(spark, a.input))
     if a.alignment_haplotypes:
         table = haplotype.apply_tags(table, files.haplotags(spark, a.alignment_haplotypes))
-    table.write.parquet(a.output)
+    table.sort("read_name", "align_idx").write.parquet(a.output)
     align.type_summary(spark.read.parquet(a.output)).show()
 
 
 def assign_fragments(spark: SparkSession, a: argparse.Namespace) -> None:
-    assign.assign_fragments(spark.read.parquet(a.alignments), spark.read.parquet(a.fragments), mapping_quality_cutoff=a.mapping_quality_cutoff, min_overlap_length=a.min_overlap_length, containment=a.containment_cutoff).write.parquet(a.output)
+    assign.assign_fragments(spark.read.parquet(a.alignments), spark.read.parquet(a.fragments), mapping_quality_cutoff=a.mapping_quality_cutoff, min_overlap_length=a.min_overlap_length, containment=a.containment_cutoff).sort("read_idx", "align_idx").write.parquet(a.output)
     align.value_counts(spark.read.parquet(a.output), "filter_reason").show()
 
 
 def filter_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     kept = align.select_passing(files.sam(spark, a.input), spark.read.parquet(a.table), clean_read_name=a.clean_read_name)
-    one_text_file(files.sam_lines(kept), a.output, ["line_no"], [r.value for r in files.sam_header(spark, a.input).collect()])
+    text_file(files.sam_lines(kept), a.output, ["line_no"], files.sam_header(spark, a.input), a.parts)
 
 
 def consensus(spark: SparkSession, a: argparse.Namespace) -> None:
-    haplotype.consensus(spark.read.parquet(a.table), a.threshold).write.parquet(a.output)
+    haplotype.consensus(spark.read.parquet(a.table), a.threshold).sort("read_name", "align_idx").write.parquet(a.output)
 
 
 def to_contacts(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -115,8 +131,14 @@ def to_contacts(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def merge(spark: SparkSession, a: argparse.Namespace) -> None:
-    paths = files.file_names(spark, a.inputs, fofn=a.fofn)
-    contacts.merge([spark.read.parquet(p) for p in paths]).write.parquet(a.output)
+    """The destination comes last, or first; it is the one that is not there yet. A file of file names has its tables checked."""
+    first, last = (metadata.exists(p) for p in (a.paths[0], a.paths[-1]))
+    output, inputs = (a.paths[-1], a.paths[:-1]) if first and not last else (a.paths[0], a.paths[1:])
+    paths = files.file_names(spark, inputs, fofn=a.fofn)
+    rows = files.row_counts(spark, paths)
+    if empty := sorted(p for p, n in rows.items() if not n):
+        print("no contacts in: " + ", ".join(empty), file=sys.stderr)
+    contacts.merge([files.parquet(spark, p) for p in paths]).write.parquet(output)
 
 
 def downsample(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -129,8 +151,8 @@ def downsample(spark: SparkSession, a: argparse.Namespace) -> None:
 def summarize(spark: SparkSession, a: argparse.Namespace) -> None:
     summary.concatemers(spark.read.parquet(a.contacts)).write.parquet(a.concatemers)
     own = spark.read.parquet(a.concatemers)
-    report = summary.long_summary(own, files.read_summary_csv(spark, a.read_summary), json.loads(a.user_metadata) if a.user_metadata else None)
-    report.toPandas().to_csv(a.output, index=False)  # a few dozen rows
+    report = summary.long_summary(own, files.read_summary_csv(spark, a.read_summary), _json(a.user_metadata))
+    metadata.write_text(a.output, report.toPandas().to_csv(index=False))  # a few dozen rows
 
 
 FORMATS = {"cooler": ("fragments", "chromsizes"), "salsa_bed": (), "pairs": ("chromsizes",), "paired_end_fastq": ("fasta",), "merged_no_dups": ("fasta",)}
@@ -142,16 +164,17 @@ def export_contacts(spark: SparkSession, a: argparse.Namespace) -> None:
         raise ValueError(f"{a.format} needs: {', '.join('--' + x for x in missing)}")
     own = contacts.quality_filter(spark.read.parquet(a.contacts), min_mapping_quality=a.min_mapping_quality, min_align_base_qscore=a.min_align_base_qscore)
     if a.format == "salsa_bed":
-        one_text_file(_tsv(export.salsa_rows(own)), f"{a.prefix}.salsa.bed")
+        text_file(_tsv(export.salsa_rows(own)), f"{a.prefix}.salsa.bed", ["read_pair_id"], parts=a.parts)
     elif a.format == "pairs":
         sizes = [(r.chrom, r["size"]) for r in files.chromsizes(spark, a.chromsizes).orderBy("chrom_idx").collect()]
-        one_text_file(_tsv(export.pairs_rows(own)), f"{a.prefix}.pairs", header=export.pairs_header(sizes))
+        text_file(_tsv(export.pairs_rows(own)), f"{a.prefix}.pairs", ["readID"], export.pairs_header(sizes), a.parts)
     elif a.format == "paired_end_fastq":
-        ends = export.paired_reads(own, files.fasta(spark, a.fasta), a.read_length)
+        ends = export.paired_reads(own, files.fasta(spark, a.fasta), a.read_length).persist()
         for n in (1, 2):
-            one_text_file(export.fastq_lines(ends.orderBy("pair_id"), n), f"{a.prefix}.{n}.fastq")
+            text_file(export.fastq_lines(ends, n), f"{a.prefix}.{n}.fastq", ["pair_id"], parts=a.parts)
+        ends.unpersist()
     elif a.format == "merged_no_dups":
-        one_text_file(export.merged_no_dups(own, files.fasta(spark, a.fasta), a.read_length), f"{a.prefix}.mnd.txt")
+        text_file(export.merged_no_dups(own, files.fasta(spark, a.fasta), a.read_length), f"{a.prefix}.mnd.txt", ["value"], parts=a.parts)
     else:
         sizes = files.chromsizes(spark, a.chromsizes)
         bins(sizes, bases(a.resolution)).write.parquet(f"{a.prefix}.cool/bins")
@@ -161,16 +184,24 @@ def export_contacts(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def parquet_to_csv(spark: SparkSession, a: argparse.Namespace) -> None:
-    writer = spark.read.parquet(a.input).coalesce(1).write.option("header", True)
+    """A folder of CSV parts, each with the header; one task for each part."""
+    writer = spark.read.parquet(a.input).write.option("header", True)
     (writer.option("compression", "gzip") if a.output.endswith(".gz") else writer).csv(a.output)
 
 
+#: Further names of options.
+ALIASES = {
+    "fragments": ["--fragment-table"], "resolution": ["--cooler-resolution"], "fasta": ["--reference-fasta"], "unit": ["--downsample-unit"], "seed": ["--random-seed"], "tolerance": ["--tol"],
+}
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tesserae")
     top.add_argument("--master", help="Spark master; else as configured")
     top.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE")
     top.add_argument("-v", "--verbose", action="store_true")
     top.add_argument("--quiet", action="store_true")
+    top.add_argument("--parts", action="store_true", help="leave text outputs as folders of numbered parts")
     groups = top.add_subparsers(dest="group", required=True)
     made: dict[str, argparse._SubParsersAction] = {}
 
@@ -181,19 +212,19 @@ def parser() -> argparse.ArgumentParser:
         for x in positional:
             p.add_argument(x)
         for x, default in options.items():
-            flag = "--" + x.replace("_", "-")
+            flags = ["--" + x.replace("_", "-"), *ALIASES.get(x, [])]
             if isinstance(default, bool):
-                p.add_argument(flag, dest=x, action="store_true", default=default)
+                p.add_argument(*flags, dest=x, action="store_true", default=default)
             elif isinstance(default, tuple):
-                p.add_argument(flag, dest=x, choices=default, default=default[0])
+                p.add_argument(*flags, dest=x, choices=default, default=default[0])
             else:
-                p.add_argument(flag, dest=x, type=type(default) if default is not None else str, default=default)
+                p.add_argument(*flags, dest=x, type=type(default) if default is not None else str, default=default)
         p.set_defaults(run=run)
 
     command("refgenome", "prepare", prepare_genome, "fasta", "prefix", genome_id=None)
     command("refgenome", "virtual-digest", virtual_digest, "fasta", "cut_on", "prefix", digest_type=("enzyme", "regex", "bin"))
     command("refgenome", "fragments-to-hicref", hicref, "fragments", "output")
-    command("reads", "prepare", prepare_reads, "fastq", "prefix", batch_size=10_000, min_read_length=1, max_read_length=150_000, min_qscore=0.0, max_qscore=266.0)
+    command("reads", "prepare", prepare_reads, "fastq", "prefix", batch_size=10_000, min_read_length=1, max_read_length=150_000, min_qscore=0.0, max_qscore=266.0, user_metadata=None)
     command("alignments", "reformat-bam", reformat_bam, "input", "output", set_bx_flag=False)
     command("alignments", "create-table", create_table, "input", "output", alignment_haplotypes=None)
     command("alignments", "assign-fragments", assign_fragments, "alignments", "fragments", "output", mapping_quality_cutoff=1, min_overlap_length=10, containment_cutoff=99.0)
@@ -202,8 +233,8 @@ def parser() -> argparse.ArgumentParser:
     command("alignments", "to-contacts", to_contacts, "table", "output")
     command("contacts", "summarize", summarize, "contacts", "read_summary", "concatemers", "output", user_metadata=None)
     command("contacts", "export", export_contacts, "contacts", "format", "prefix", fragments=None, chromsizes=None, fasta=None, resolution="1000", by_haplotype=False, min_mapping_quality=0, min_align_base_qscore=0, read_length=50)
-    command("contacts", "merge", merge, "output", fofn=False)
-    made["contacts"].choices["merge"].add_argument("inputs", nargs="+")
+    command("contacts", "merge", merge, fofn=False)
+    made["contacts"].choices["merge"].add_argument("paths", nargs="+", metavar="table")
     command("contacts", "downsample", downsample, "contacts", "prefix", unit=("Gb", "Mb", "Kb"), tolerance=0.1, seed=0, max_attempts=100)
     made["contacts"].choices["downsample"].add_argument("increments", nargs="+")
     command("utils", "parquet-to-csv", parquet_to_csv, "input", "output")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranges import numbered
 from tesserae.functions.scalars import align_type, joined_name, mean_qscore, name_parts
 from tesserae.schemas import ALIGNMENTS, conform
 
@@ -22,16 +23,6 @@ def reformat(records: DataFrame, *, set_bx: bool = False) -> DataFrame:
     return out.withColumn("qname", name)
 
 
-def numbered(rows: DataFrame, by: str, name: str, *, parts: int = 64) -> DataFrame:
-    """Numbers rows from 0 in the order of ``by``: range partitions count for themselves and add what lies before them."""
-    ranged = rows.repartitionByRange(parts, by).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    # one row for each range partition
-    return ranged.join(F.broadcast(base), ranged["_part"] == base["_p"]).withColumn(name, F.col("_base") + F.col("_k") - 1).drop("_part", "_p", "_base", "_k")
-
-
 def create_table(records: DataFrame) -> DataFrame:
     """ALIGNMENTS of reformatted SAM records (see sources.sam); an aligned record needs a score and base qualities."""
     name, read_idx, align_idx = name_parts(F.col("qname"))

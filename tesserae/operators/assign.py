@@ -82,9 +82,16 @@ def filter_alignments(rows: DataFrame, *, mapping_quality_cutoff: int = 1, min_o
     if not path_filter:
         rows = rows.withColumn("filter_reason", F.coalesce("filter_reason", F.lit("pass")))
         return rows.withColumn("pass_filter", F.col("filter_reason") == "pass")
-    paths = path_of_reads(rows.where("filter_reason is null"), aligner).select("read_idx", "path")
+    # the windows have dealt the rows by read already, so gathering a read's rows moves nothing
+    names = [c for c in rows.columns if c != "read_idx"]
+    reads = rows.groupBy("read_idx").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    left = F.filter("rows", lambda r: r.filter_reason.isNull())
+    parts = F.transform(left, lambda r: F.named_struct(*[x for c in ("read_end", "align_idx", "read_start", "align_score") for x in (F.lit(c), r[c].cast("long"))]))
+    reads = reads.select("read_idx", "rows", parts.alias("left"), F.array_max(F.transform(left, lambda r: r.read_length.cast("long"))).alias("n"))
+    reads = reads.select("read_idx", "rows", F.when(F.size("left") > 1, on_shortest_path(F.col("left"), F.col("n"), aligner)).alias("best"))
+    rows = reads.select("read_idx", F.col("best.path").alias("path"), F.explode("rows").alias("r")).select("read_idx", "path", "r.*")
     off = F.col("filter_reason").isNull() & F.col("path").isNotNull() & ~F.array_contains(F.coalesce("path", F.array().cast("array<bigint>")), F.col("align_idx").cast("long"))
-    rows = rows.join(paths, "read_idx", "left").withColumn("filter_reason", F.coalesce("filter_reason", F.when(off, "not_on_shortest_path"), F.lit("pass"))).drop("path")
+    rows = rows.withColumn("filter_reason", F.coalesce("filter_reason", F.when(off, "not_on_shortest_path"), F.lit("pass"))).drop("path")
     return rows.withColumn("pass_filter", F.col("filter_reason") == "pass")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import midpoint
+from tesserae.operators.ranges import running_total
 from tesserae.schemas import CONTACTS, SIDE, conform
 
 _SIDE = [x.split(" ")[0] for x in SIDE]
@@ -28,8 +29,8 @@ def to_contacts(rows: DataFrame, *, with_second_phase_qual: bool = False) -> Dat
     part = F.struct("read_start", "align_idx", "read_end", *[c for c in _SIDE if c != "align_idx"])
     reads = rows.where("pass_filter").groupBy("read_name").agg(F.array_sort(F.collect_list(part)).alias("rows"), F.first("read_length").alias("read_length"), F.first("read_idx").alias("read_idx"))
     reads = reads.where(F.size("rows") > 1)
-    left = reads.select("read_name", "read_length", "read_idx", "rows", F.posexplode("rows").alias("i", "x"))
-    pairs = left.select("read_name", "read_length", "read_idx", "x", F.posexplode(F.slice("rows", F.col("i") + 2, F.size("rows"))).alias("gap", "y"))
+    later = F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, F.size("rows")), lambda y, gap: F.struct(x.alias("x"), y.alias("y"), gap.alias("gap"))))
+    pairs = reads.select("read_name", "read_length", "read_idx", F.explode(F.flatten(later)).alias("p")).select("read_name", "read_length", "read_idx", "p.*")
     swap = F.col("x.fragment_id") > F.col("y.fragment_id")
     ordered = pairs.withColumn("a", F.when(swap, F.col("y")).otherwise(F.col("x"))).withColumn("b", F.when(swap, F.col("x")).otherwise(F.col("y")))
     cis = F.col("a.chrom") == F.col("b.chrom")
@@ -74,19 +75,6 @@ def contact_order(contacts: DataFrame, name: str = "contact_idx") -> DataFrame:
     return contacts.withColumn(name, (F.row_number().over(own) - 1).cast("long"))
 
 
-def running_total(rows: DataFrame, order: list[str], value: str, name: str, *, parts: int = 64) -> DataFrame:
-    """Adds the running sum of ``value`` over all rows in ``order`` without bringing them to one task.
-
-    Rows are range-partitioned, summed within partitions, and shifted by what the partitions before hold.
-    """
-    ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_own", F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_sum")).select("_p", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    # one row for each range partition
-    return ranged.join(F.broadcast(base), ranged["_part"] == base["_p"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_p", "_own", "_base")
-
-
 def nearest_totals(reads: DataFrame, targets: list[int], seed: int) -> DataFrame:
     """(target, total, end_key) where the running sum of shuffled lengths comes nearest each target, the first on ties."""
     keyed = reads.withColumn("shuffle_key", F.md5(F.concat(F.col("read_name"), F.lit(f":{seed}"))))

@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import bases, replace_degenerate, revcomp_text, site_regex
+from tesserae.operators.ranges import running_total
 
 #: Recognition sites of common restriction enzymes, and where they cut the upper strand.
 ENZYMES = {
@@ -67,15 +68,14 @@ def intervals(ends: Column) -> Column:
 def fragments(contigs: DataFrame, cut_on: str | int, digest_type: str = "enzyme") -> DataFrame:
     """FRAGMENTS of contigs (chrom, chrom_idx, seq), numbered from 1 over chromosomes in order.
 
-    Numbers within a chromosome come from its array, those before it from one row for each chromosome.
+    Numbers within a chromosome come from its array, those before it from the running sum of the arrays' sizes. The
+    ends are materialised once, so every sequence is scanned once.
     """
-    cut = contigs.select("chrom", "chrom_idx", endpoints(F.col("seq"), cut_on, digest_type).alias("ends"))
-    rows = cut.select("chrom", "chrom_idx", F.posexplode(intervals(F.col("ends"))).alias("k", "part"))
-    count = cut.select("chrom_idx", F.greatest(F.size("ends") - 1, F.lit(0)).alias("n"))
-    before = Window.orderBy("chrom_idx").rowsBetween(Window.unboundedPreceding, -1)
-    base = count.select(F.col("chrom_idx"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    out = rows.join(base, "chrom_idx")
-    return out.select("chrom", "part.start", "part.end", (F.col("base") + F.col("k") + 1).alias("fragment_id"), (F.col("part.end") - F.col("part.start")).alias("fragment_length"))
+    ends = contigs.select("chrom", "chrom_idx", endpoints(F.col("seq"), cut_on, digest_type).alias("ends")).persist()
+    count = ends.select("chrom_idx", F.greatest(F.size("ends") - 1, F.lit(0)).cast("long").alias("n"))
+    base = running_total(count, ["chrom_idx"], "n", "total").select("chrom_idx", (F.col("total") - F.col("n")).alias("base"))
+    own = ends.join(base, "chrom_idx").select("chrom", "base", F.posexplode(intervals(F.col("ends"))).alias("k", "part"))
+    return own.select("chrom", "part.start", "part.end", (F.col("base") + F.col("k") + 1).alias("fragment_id"), (F.col("part.end") - F.col("part.start")).alias("fragment_length"))
 
 
 def digest_stats(fragment_table: DataFrame, chroms: DataFrame | None = None) -> DataFrame:
@@ -97,3 +97,11 @@ def hicref(fragment_table: DataFrame) -> DataFrame:
 
 def chrom_sizes(contigs: DataFrame) -> DataFrame:
     return contigs.select("chrom", "chrom_idx", F.length("seq").cast("long").alias("size"))
+
+
+def fasta_index(contigs: DataFrame) -> DataFrame:
+    """(name, length, offset, line_bases, line_width): where each sequence begins in a file that has it in one line after its name."""
+    own = contigs.select("chrom_idx", "chrom", F.length("seq").cast("long").alias("n"), (F.octet_length("chrom") + 2).cast("long").alias("head"))
+    sized = own.withColumn("bytes", F.col("head") + F.col("n") + 1)
+    placed = running_total(sized, ["chrom_idx"], "bytes", "to")
+    return placed.select(F.col("chrom").alias("name"), F.col("n").alias("length"), (F.col("to") - F.col("n") - 1).alias("offset"), F.col("n").alias("line_bases"), (F.col("n") + 1).alias("line_width"))

@@ -22,9 +22,9 @@ def apply_tags(alignments: DataFrame, tags: DataFrame | None) -> DataFrame:
 def majority(rows: DataFrame, keys: list[str], vote: str) -> DataFrame:
     """(keys, winner, votes, proportion): the commonest value of each group, the smallest on ties."""
     counts = rows.groupBy(*keys, vote).agg(F.count("*").alias("n"))
-    best = counts.groupBy(*keys).agg(F.sum("n").alias("all"), F.max_by(F.col(vote), F.col("n")).alias("_any"), F.max("n").alias("votes"), F.collect_list(F.struct("n", vote)).alias("_votes"))
-    winner = F.array_min(F.transform(F.filter("_votes", lambda v: v.n == F.col("votes")), lambda v: v[vote]))
-    return best.select(*keys, winner.alias("winner"), "votes", (F.col("votes") / F.col("all")).alias("proportion"))
+    first = F.min(F.struct((-F.col("n")).alias("minus"), F.col(vote).alias("winner"))).alias("b")
+    best = counts.groupBy(*keys).agg(F.sum("n").alias("all"), first)
+    return best.select(*keys, "b.winner", (-F.col("b.minus")).alias("votes"), (-F.col("b.minus") / F.col("all")).alias("proportion"))
 
 
 def consensus(rows: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -67,10 +67,12 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("chrom", F.col("cut").alias("start"), "end", (F.col("chrom_idx") * F.col("n") + F.col("p_partkey") + 1).alias("fragment_id"), (F.col("end") - F.col("cut")).alias("fragment_length"))
 
 
-def chromsizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom, chrom_idx, size)."""
-    size = fragments(spark, sf_dir).groupBy("chrom").agg(F.max("end").alias("size"))
-    return size.join(chroms(spark, sf_dir), "chrom").select("chrom", "chrom_idx", "size")
+def chromsizes(spark: SparkSession, sf_dir: str, made: DataFrame | None = None) -> DataFrame:
+    """(chrom, chrom_idx, size), a row for each event type; chromosomes are in the order of their names."""
+    from pyspark.sql import Window
+
+    size = (made or fragments(spark, sf_dir)).groupBy("chrom").agg(F.max("end").alias("size"))
+    return size.select("chrom", (F.row_number().over(Window.orderBy("chrom")) - 1).cast("long").alias("chrom_idx"), "size")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,12 +80,12 @@ _CONCAT = (
 )
 
 
-def _assigned(spark: SparkSession, sf_dir: str, *, path_filter: bool = False) -> DataFrame:
-    return assign.assign_fragments(b.alignments(spark, sf_dir), b.fragments(spark, sf_dir), width=200, path_filter=path_filter)
+def _assigned(spark: SparkSession, sf_dir: str, fragments: DataFrame | None = None, *, path_filter: bool = False) -> DataFrame:
+    return assign.assign_fragments(b.alignments(spark, sf_dir), fragments or b.fragments(spark, sf_dir), width=200, path_filter=path_filter)
 
 
-def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contacts.to_contacts(_assigned(spark, sf_dir))
+def _contacts(spark: SparkSession, sf_dir: str, fragments: DataFrame | None = None) -> DataFrame:
+    return contacts.to_contacts(_assigned(spark, sf_dir, fragments))
 
 
 @query(_OVER + ' select align_idx, fragment_id, overlap_length, is_contained from hits')
@@ -147,8 +147,9 @@ from contacts c join fbin p on c.a.fragment_id = p.fragment_id join fbin q on c.
 
 
 def _pixels(spark: SparkSession, sf_dir: str, **options: bool) -> DataFrame:
-    bins = export.fragment_bins(b.fragments(spark, sf_dir), b.chromsizes(spark, sf_dir), RESOLUTION)
-    return export.pixels(_contacts(spark, sf_dir), bins, **options)
+    fragments = b.fragments(spark, sf_dir).persist()  # read by the overlaps, the bins and the sizes
+    bins = export.fragment_bins(fragments, b.chromsizes(spark, sf_dir, fragments), RESOLUTION)
+    return export.pixels(_contacts(spark, sf_dir, fragments), bins, **options)
 
 
 @query(_PIXELS.format(key=""))
@@ -270,10 +271,39 @@ def A17_contact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.contact_sums(summary.concatemers(_contacts(spark, sf_dir))).withColumn("perc", F.round("perc", 6))
 
 
-@query()
+_READS_OK = "select n_chars as read_length, n_chars >= 500 and n_chars < 5000 and doc_id % 20 >= 6 and doc_id % 20 < 12 as pass_filter from documents"
+_LENGTHS = "select count(*) as n, cast(sum(read_length) as bigint) as b, min(read_length) filter (run > total / 2) as n50 from (select read_length, sum(read_length) over (order by read_length) as run, sum(read_length) over () as total from {0})"
+
+
+def _share(section: str, unit: str, column: str) -> str:
+    """Three counts of a section and their shares of the first."""
+    rows = []
+    for name, v in (("all", f"w.{column}"), ("concatemer", f"o.{column}"), ("fail_filter", f"w.{column} - o.{column}")):
+        rows += [f"select '{section}', '', '{unit}', '{name}', cast({v} as double) from w, o", f"select '{section}', '', 'perc', '{name}', 100.0::double * ({v}) / w.{column} from w, o"]
+    return " union all ".join(rows)
+
+
+_LONG = (
+    _CONCAT
+    + f", r as ({_READS_OK}), w as ({_LENGTHS.format('r')}), o as ({_LENGTHS.format('concat_')}), c as (select cast(sum(total_contacts) as double) as n from concat_), sums as ({_SUMS}), "
+    + "bins(bin, lo, hi) as (values " + ", ".join(str(x) for x in summary.ORDER_BINS) + "), orders as (select bin, count(read_name) as count, 100.0::double * count(read_name) / (select count(*) from concat_) as perc from bins left join concat_ on read_order > lo and read_order <= hi group by bin), "
+    + "t(section, level_0, level_1, level_2, number) as (" + " union all ".join([
+        _share("reads", "count", "n"), _share("bases", "bases", "b"),
+        "select 'read_length', '', 'N50', 'all', cast(n50 as double) from w", "select 'read_length', '', 'N50', 'concatemer', cast(n50 as double) from o",
+        "select 'contacts', subset, 'count', kind, cast(count as double) from sums", "select 'contacts', subset, 'perc', kind, perc from sums",
+        "select 'density', '', 'contacts_per_gb', 'all', 1e9 * c.n / w.b from c, w", "select 'density', '', 'contacts_per_gb', 'concatemer', 1e9 * c.n / o.b from c, o",
+        "select 'concatemer_order', '', 'count', bin, cast(count as double) from orders", "select 'concatemer_order', '', 'perc', bin, perc from orders",
+    ]) + ") select section, level_0, level_1, level_2, cast(null as varchar) as label, round(number, 4) as number from t union all select 'user_metadata', '', '', 'sample', 'events', null"
+)
+
+
+@query(_LONG)
 def A19_long_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's text values as numbers, so that they compare whatever their digits; a value that is none is a label."""
     metadata = reads.with_pass_flag(b.reads(spark, sf_dir), min_read_length=500, max_read_length=5000, min_qscore=6, max_qscore=12)
-    return summary.long_summary(summary.concatemers(_contacts(spark, sf_dir)), reads.read_summary(metadata), {"sample": "events"})
+    out = summary.long_summary(summary.concatemers(_contacts(spark, sf_dir)), reads.read_summary(metadata), {"sample": "events"})
+    number = F.expr("try_cast(value as double)")
+    return out.select("section", "level_0", "level_1", "level_2", F.when(number.isNull(), F.col("value")).alias("label"), F.round(number, 4).alias("number"))
 
 
 _READS = "with reads as (select cast(doc_id as varchar) as read_id, n_chars as read_length, cast(doc_id % 20 as float) as qscore, n_chars >= 500 and n_chars < 5000 and doc_id % 20 >= 6 and doc_id % 20 < 12 as pass_filter from documents)"

@@ -6,21 +6,87 @@ file system that Spark reaches. Records of several lines are put together by byt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tesserae.operators.align import numbered
-
+from collections.abc import Iterator
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(record_no, read_id, sequence, qual, quals) of FASTQ files of four lines a record.
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-    Lines are numbered in file order and meet by record; a quality line may look like a header, so nothing else is safe.
+from tesserae.operators.ranges import numbered
+
+#: Splits of input files whose places are broadcast, counted first; beyond it lines are sorted into their splits.
+SPLITS = 500_000
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, n, head, tail) of every split in a task: its number of lines, its first three and its last three."""
+    at, n, head, tail, out = None, 0, [], [], []
+    for batch in batches:
+        for key, line in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), batch.column("value").to_pylist(), strict=True):
+            if key != at:
+                if at is not None:
+                    out.append((*at, n, head, tail))
+                at, n, head, tail = key, 0, [], []
+            n += 1
+            if len(head) < 3:
+                head.append(line)
+            tail = [*tail[-2:], line]
+    if at is not None:
+        out.append((*at, n, head, tail))
+    kinds = {"file": pa.string(), "block": pa.int64(), "n": pa.int64(), "head": pa.list_(pa.string()), "tail": pa.list_(pa.string())}
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+
+_RECORD = pa.schema([("record_no", pa.int64()), ("l0", pa.string()), ("l1", pa.string()), ("l3", pa.string())])
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records whose four lines lie in one split; lines come in file order with the number of the split's first line."""
+    at, line, held = None, 0, []
+    for batch in batches:
+        out: list[tuple] = []
+        for file, block, base, first, value in zip(*(batch.column(x).to_pylist() for x in ("file", "block", "base", "first", "value")), strict=True):
+            if (file, block) != at:
+                at, line, held = (file, block), base, []
+            if line % 4 == 0:
+                held = []
+            held.append(value)
+            if line % 4 == 3 and len(held) == 4:
+                out.append((first + line // 4, held[0], held[1], held[3]))
+            line += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_RECORD)], schema=_RECORD)
+
+
+def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record_no, read_id, sequence, qual, quals) of FASTQ files of four lines a record, files in the order of their names.
+
+    A line's place in its record follows from the number of lines before it, since a quality line may look like a header.
+    One scan counts the lines of every split and keeps its outermost ones; a second puts records together inside the
+    splits, without a shuffle. Only records that lie across splits, one for each border, are gathered by their number.
     """
-    lines = numbered(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at")), "at", "line")
-    whole = lines.groupBy(F.floor(F.col("line") / 4).alias("record_no")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    edges = lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>").persist()
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = edges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    whole = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    first = edges.groupBy("file").agg((F.floor((F.sum("n") + 3) / 4)).alias("m")).select("file", F.coalesce(F.sum("m").over(whole), F.lit(0)).alias("first"))
+    splits = base.join(first, "file")
+    known = splits.select("file", "block", "base", "first")
+    if splits.count() <= SPLITS:
+        placed = lines.join(F.broadcast(known), ["file", "block"])  # streams the lines, so their order stays
+    else:
+        own = lines.withColumn("at", F.monotonically_increasing_id())
+        placed = own.repartition("file", "block").sortWithinPartitions("file", "block", "at").join(known, ["file", "block"]).sortWithinPartitions("file", "block", "at")
+    inside = placed.select("file", "block", "base", "first", "value").mapInArrow(_records, "record_no long, l0 string, l1 string, l3 string")
+    number = lambda k, back: F.col("base") + (F.col("n") - F.size("tail") if back else 0) + k
+    both = splits.select("base", "n", "first", F.posexplode("head").alias("k", "value"), F.lit(False).alias("back")).select("base", "n", "first", number(F.col("k"), False).alias("line"), "value")
+    last = splits.select("base", "n", "first", "tail", F.posexplode("tail").alias("k", "value")).select("base", "n", "first", number(F.col("k"), True).alias("line"), "value")
+    start = F.col("line") - F.col("line") % 4
+    across = both.union(last).where((start < F.col("base")) | (start + 4 > F.col("base") + F.col("n"))).distinct()
+    joined = across.groupBy((F.col("first") + F.floor(F.col("line") / 4)).alias("record_no")).agg(*[F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)])
+    out = inside.union(joined.where("l0 is not null"))
     read_id = F.split(F.substring("l0", 2, 1 << 30), r"\s")[0]
-    return whole.select("record_no", read_id.alias("read_id"), F.col("l1").alias("sequence"), F.col("l3").alias("qual"), quality_scores(F.col("l3")).alias("quals"))
+    return out.select("record_no", read_id.alias("read_id"), F.col("l1").alias("sequence"), F.col("l3").alias("qual"), quality_scores(F.col("l3")).alias("quals"))
 
 
 def quality_scores(qual: Column) -> Column:
@@ -116,6 +182,11 @@ def parquet(spark: SparkSession, paths: str | list[str], columns: list[str] | No
     return df.select(*columns) if columns else df
 
 
+def row_counts(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Rows of every table; Spark answers from the files' footers."""
+    return {p: spark.read.parquet(p).count() for p in paths}
+
+
 def file_names(spark: SparkSession, paths: list[str], *, fofn: bool = False) -> list[str]:
     """Input paths; with ``fofn`` they list paths. All that are missing are named at once."""
     if fofn:
