@@ -439,7 +439,7 @@ def G2_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts.merge([df.withColumn("target", F.lit(t).cast("long")) for t, df in samples.items()])
 
 
-@query("select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_totalprice from orders where o_orderkey % 3 = 1")
+@query("select o_orderkey, o_totalprice from orders")
 def U1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
     part = F.pmod(F.coalesce("o_orderkey", F.lit(0)), F.lit(3))
