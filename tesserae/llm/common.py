@@ -1,31 +1,38 @@
 """Shared helpers: cut lineage in shared storage, and vectorised hashing of words in Arrow batches.
 
-Hashes are 64-bit: a word is a polynomial over random byte values modulo 2**64, then mixed; a whole
-chunk of documents is hashed with a handful of numpy passes, without a Python loop over words.
+A span of bytes is a polynomial over its bytes modulo the prime 2**61 - 1, so no structure of a text makes two spans
+meet: two that differ agree for at most as many bases as they have bytes, of 2**61. A whole chunk of documents is hashed with a
+handful of numpy passes, without a Python loop over words.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of whole texts that are hashed at a time; a longer text is hashed by itself.
 CHUNK_BYTES = 1 << 18
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(2**40, 2**62)) * 2 + 1
-_INV = pow(_BASE, -1, 2**64)
+#: A text longer than this is hashed in pieces that end at white space.
+PIECE_BYTES = 4 << 20
+_P, _M31, _M30 = np.uint64(2**61 - 1), np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+_BASE = 0x0B53_9D1E_6A7C_F285 % (2**61 - 1)
+_INV = pow(_BASE, -1, 2**61 - 1)
+#: Powers of the base are kept for this many positions; those beyond are products.
+_STEP, _BLOCK = 1 << 18, 1 << 14
+#: Sums of a span are exact up to so many bytes.
+_EXACT = 1 << 24
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII white space: the complement of the word characters [^\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,27 +60,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INV)):
-            step = np.full(n, base, dtype=np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _M31, b >> np.uint64(31), b & _M31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * (a1 * b1) + (mid >> np.uint64(30)) + ((mid & _M30) << np.uint64(31)) + a0 * b0)
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int) -> np.ndarray:
+    """The first powers of a base."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < _STEP:
+        out = np.concatenate((out, times(out, np.array([pow(base, len(out), 2**61 - 1)], dtype=np.uint64))))
+    return out
+
+
+def _power(base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at modulo the prime."""
+    if not len(at) or (top := int(at.max())) < _STEP:
+        return _powers(base)[at]
+    steps = np.array([pow(base, k * _STEP, 2**61 - 1) for k in range(top // _STEP + 1)], dtype=np.uint64)
+    return times(_powers(base)[at % _STEP], steps[at // _STEP])
+
+
+@lru_cache(maxsize=32)
+def _halves(at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower halves of the base's powers from ``at`` on."""
+    up = _power(_BASE, np.arange(at, at + _BLOCK))
+    return up >> np.uint64(31), up & _M31
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """c such that the bytes i..j hash to span_hash(c, i, j)."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    """Sums from which span_hash takes the hash of any span: of the bytes times the upper and the lower half of the base's powers."""
+    out = np.empty((2, len(data) + 1), dtype=np.uint64)
+    out[:, 0] = 0
+    for at in range(0, len(data), _BLOCK):
+        x = data[at : at + _BLOCK].astype(np.uint64)
+        x += np.uint64(1)
+        for k, half in enumerate(_halves(at)):
+            t = x * half[: len(x)]
+            t[0] += out[k, at]
+            np.cumsum(t, out=out[k, at + 1 : at + 1 + len(x)])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * GOLD)
+    """Hashes of the bytes start..end."""
+
+    def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        hi, lo = prefix[0][b], prefix[1][b]
+        hi -= prefix[0][a]
+        lo -= prefix[1][a]
+        # neither is reduced fully: the sum stays below 2**63
+        hi = (hi & _P) + (hi >> np.uint64(61))
+        lo = (lo & _P) + (lo >> np.uint64(61))
+        return _reduced(((hi & _M30) << np.uint64(31)) + (hi >> np.uint64(30)) + lo)
+
+    out = value(start, np.minimum(end, start + _EXACT))
+    for i in np.flatnonzero(end - start > _EXACT):
+        for a in range(int(start[i]) + _EXACT, int(end[i]), _EXACT):
+            out[i] = _reduced(out[i : i + 1] + value(np.array([a]), np.array([min(a + _EXACT, int(end[i]))])))[0]
+    return mix(times(out, _power(_INV, np.asarray(start))) + (end - start).astype(np.uint64) * GOLD)
+
+
+def rows_at_a_time(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes in the column ``text``, or of one row."""
+    for batch in batches:
+        column = batch.column(text)
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def texts(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -117,9 +184,21 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every lower-cased word."""
-    start, end, doc = words(data, offs)
-    return span_hash(prefix_hash(LOWER[data]), start, end), doc
+    """(hash, document) of every lower-cased word; a long text is read piece by piece."""
+    if len(data) <= PIECE_BYTES or len(offs) != 2:
+        start, end, doc = words(data, offs)
+        return span_hash(prefix_hash(LOWER[data]), start, end), doc
+    out, at = [], 0
+    while at < len(data):
+        to = min(at + PIECE_BYTES, len(data))
+        while to < len(data) and not SPACE[data[to]]:
+            to += int(np.argmax(SPACE[data[to : to + PIECE_BYTES]])) or min(PIECE_BYTES, len(data) - to)
+        piece = data[at:to]
+        start, end, _ = words(piece, np.array([0, len(piece)]))
+        out.append(span_hash(prefix_hash(LOWER[piece]), start, end))
+        at = to
+    h = np.concatenate(out)
+    return h, np.zeros(len(h), dtype=np.int64)
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import GOLD, cut, mix, shingle_hashes, signed, texts
+from tesserae.llm.common import GOLD, cut, mix, rows_at_a_time, shingle_hashes, signed, texts
 from tesserae.llm.graph import components
 
 BANDS, ROWS = 20, 4
@@ -70,7 +70,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> np.nda
 def _features(width: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = bands * rows
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             for at, to, data, offs in texts(batch.column(1)):
                 n = to - at
                 h, doc = shingle_hashes(data, offs, width)
@@ -94,7 +94,7 @@ def _features(width: int, bands: int, rows: int) -> Callable:
 
 def _sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             for at, to, data, offs in texts(batch.column(1)):
                 h, doc = shingle_hashes(data, offs, width)
                 order = np.argsort(doc, kind="stable")

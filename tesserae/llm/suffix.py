@@ -1,38 +1,46 @@
 """Removal of every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
-Suffixes are never sorted over the whole corpus. Each window of ``length`` bytes has one anchor, the
-leftmost smallest gram hash in it, so equal windows have equal anchors at equal offsets, and only
-windows of one anchor need comparing. An anchor's record is the run of windows that it stands for.
-Records whose anchor occurs once are unique; records whose whole run of bytes occurs twice are repeated;
-what is left, records at the edges of repeated passages, is resolved exactly: their bytes go to the
-anchor's bucket, every bucket is cut into shards, each shard gets its Burrows-Wheeler transform, and the
-transforms are merged by iterative interleave refinement (Holt and McMillan): in round k the interleave
-orders all suffixes by k symbols, and the round in which two neighbours part is their common prefix.
-Neighbours that are together after ``length`` rounds are the repeated intervals. Anchors with more records
-than ``HOT`` are resolved by counting window hashes instead, which splits over any number of tasks.
+The suffixes compared are those that begin near anchors. Each window of ``length`` bytes has one anchor, the leftmost
+smallest gram hash in it, so equal windows have equal anchors at equal offsets, and only windows of one anchor need
+comparing. An anchor's record is the run of windows that it stands for. Records whose anchor occurs once are unique;
+records whose whole run of bytes occurs twice, by a hash modulo a prime of 61 bits and by length and offset, are repeated.
+What is left, records at the edges of repeated passages, is resolved byte by byte: their bytes go to the anchor's bucket, the rows of a bucket
+are dealt to shards, aligned at the anchor and sorted, and the sorted shards are merged by iterative interleave refinement
+(Holt and McMillan), which is how Burrows-Wheeler transforms of shards are merged: round k stably moves the rows of each
+class by their k-th symbol, and the round in which two neighbours part is their common prefix. No transform of the whole text
+is built; only anchored rows are refined, once to the right of the anchor and once to its left. Rows that are together after ``length``
+symbols are the repeated intervals. Anchors with more open records than ``hot`` are resolved by counting window hashes,
+which splits over any number of tasks.
+
+Anchors that have very many rows are seen in a sample of the documents. Their rows are counted by map-side combined
+aggregates and joined back; a window over one anchor sorts the rows of the others only. The sample routes rows and
+decides nothing.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than ``length`` lose
-nothing; a text of 128 MB or more is an error; matches never cross texts; a repeated row is another occurrence of its own text; rows with a
+nothing; a text of any length is scanned in pieces that overlap by ``length`` - 1 bytes; matches never cross texts; a repeated row is another occurrence of its own text; rows with a
 null id are left out; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import GOLD, cut, mix, powers, prefix_hash, signed, span_hash, texts
+from tesserae.llm.common import GOLD, cut, mix, prefix_hash, rows_at_a_time, signed, span_hash, texts
 
 LENGTH, GRAM = 200, 32
 #: Bytes of records that are merged at a time, records in a shard, and records of an anchor beyond which windows are counted.
-BATCH, SHARDS, HOT = 1 << 19, 4, 20_000
-#: Bits of a position inside a chunk.
-_PLACE = 27
+BATCH, SHARDS, HOT = 1 << 19, 4, 2000
+#: Rows of an anchor, as a sample of one document in ``SAMPLE`` lets expect, from which they are not sorted in one window; so many anchors at most.
+HEAVY, SAMPLE, HEAVY_ANCHORS = 100_000, 64, 20_000
+#: Bytes of a long text that are scanned at a time, and bits of a position inside them.
+PIECE, _PLACE = 4 << 20, 27
+_ODD = 0x9C5F_2B1D_7E43_A86B
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -45,16 +53,35 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+@lru_cache(maxsize=1)
+def _gram_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse modulo 2**64."""
+    out = []
+    for base in (_ODD, pow(_ODD, -1, 2**64)):
+        step = np.full(n, base, dtype=np.uint64)
+        step[0] = 1
+        out.append(np.multiply.accumulate(step))
+    return out[0], out[1]
+
+
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams. They place anchors and decide nothing, so the cheap ring modulo 2**64 will do."""
+    n = len(data)
+    up, down = _gram_powers(1 << max(18, (n + 1).bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_VALUE[data] * up[:n], out=sums[1:])
+    return mix((sums[gram:] - sums[: n - gram + 1]) * down[: n - gram + 1])
+
+
 def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, hash of the run's bytes, document, first window, last window, anchor) of every anchor, as chunk positions."""
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
-    if n >= 1 << _PLACE:
-        raise ValueError(f"a text of {n} bytes is too long; {1 << _PLACE} is the limit")
-    prefix = prefix_hash(data)
-    _, down = powers(n + 1)
-    grams = mix((prefix[gram:] - prefix[: n - gram + 1]) * down[: n - gram + 1])
+    grams = gram_hashes(data, gram)
     key = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_min(key, length - gram + 1) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     start = np.arange(n - length + 1)
@@ -66,10 +93,21 @@ def records(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     last[:-1] &= ~inside[1:] | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     at = anchor[lo]
-    wide = mix(span_hash(prefix, lo, hi + length) + (at - lo).astype(np.uint64) * GOLD)
+    wide = mix(span_hash(prefix_hash(data), lo, hi + length) + (at - lo).astype(np.uint64) * GOLD)
     return grams[at], wide, doc[lo], lo, hi, at
 
 
+def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, place of the bytes in their text) of runs of whole texts, and of the pieces of long ones."""
+    for at, _, data, offs in texts(column):
+        if len(data) <= PIECE:
+            yield at, data, offs, 0
+            continue
+        for s in range(0, len(data) - length + 1, PIECE):
+            piece = data[s : s + PIECE + length - 1]
+            yield at, piece, np.array([0, len(piece)]), s
+
+
 _PACKED = "id long, k int, h long, wide long, pack long"
 
 
@@ -80,10 +118,10 @@ def _scan(length: int, gram: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 2):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, _, data, offs in texts(batch.column(2)):
+            for at, data, offs, shift in _pieces(batch.column(2), length):
                 h, wide, doc, lo, hi, p = records(data, offs, length, gram)
                 order = np.argsort(wide, kind="stable")
                 same = wide[order][1:] == wide[order][:-1]
@@ -91,7 +129,7 @@ def _scan(length: int, gram: int) -> Callable:
                 repeat[order[1:][same]] = True
                 twin = repeat.copy()
                 twin[order[:-1][same]] = True
-                pack = (lo - offs[doc]) << 24 | (hi - lo) << 16 | (p - lo) << 8 | twin
+                pack = (lo - offs[doc] + shift) << 24 | (hi - lo) << 16 | (p - lo) << 8 | twin
                 null = pa.array(signed(h), mask=repeat)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + doc]), pa.array(keys[at + doc]), null, pa.array(signed(wide)), pa.array(pack)], ["id", "k", "h", "wide", "pack"])
 
@@ -103,7 +141,7 @@ def _contexts(length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "id", "k", "pack", "bytes"]
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 2):
             out: dict = {x: [] for x in names}
             size = 0
             for i, k, text, hs, packs in zip(*(batch.column(x).to_pylist() for x in range(5)), strict=True):
@@ -257,7 +295,7 @@ def _window_hashes(length: int) -> Callable:
 
 def _apply(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             out: dict = {"id": [], "n_bytes": [], "spans": [], "kept": []}
             for i, text, cov, found in zip(*(batch.column(x).to_pylist() for x in range(4)), strict=True):
                 raw = (text or "").encode()
@@ -279,7 +317,23 @@ def _apply(length: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def _by_windows(recs: DataFrame) -> DataFrame:
+    """Adds how often a record's run and its anchor occur (same, all, rows), and whether it is the first of its run; sorted by anchor."""
+    by_h, by_run = Window.partitionBy("h"), Window.partitionBy("h", "wide")
+    out = recs.withColumn("first", F.row_number().over(by_run.orderBy("id", "k", "pack")) == 1).withColumn("same", F.sum("c").over(by_run))
+    return out.withColumn("all", F.sum("c").over(by_h)).withColumn("rows", F.count("*").over(by_h)).select("id", "k", "h", "pack", "same", "all", "rows", "first")
+
+
+def _by_counts(recs: DataFrame) -> DataFrame:
+    """The same for anchors with very many rows, by aggregates with map-side combination; the joins back are split by Spark where a key is hot."""
+    head = F.struct("id", "k", "pack")
+    runs = recs.groupBy("h", "wide").agg(F.sum("c").alias("same"), F.count("*").alias("n"), F.min(head).alias("head"))
+    whole = runs.groupBy("h").agg(F.sum("same").alias("all"), F.sum("n").alias("rows"))  # a row for each heavy anchor
+    out = recs.join(runs.drop("n"), ["h", "wide"]).join(F.broadcast(whole), "h")
+    return out.select("id", "k", "h", "pack", "same", "all", "rows", (head == F.col("head")).alias("first"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, heavy: int = HEAVY, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, spans, kept) for every row: the byte spans removed and the bytes that are left.
 
     The columns ``carry`` come along, in a struct ``row``.
@@ -289,11 +343,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*carry or [F.lit(0).alias("none")]).alias("row")).where("id is not null")
     docs = docs.select("id", F.hash("text").alias("k"), "text", "row")
     anchors = docs.select("id", "k", "text").mapInArrow(_scan(length, gram), _PACKED)
-    by_h, by_run = Window.partitionBy("h"), Window.partitionBy("h", "wide")
     # a row stands for itself, or where its lowest bit is set for two or more
     recs = anchors.where("h is not null").withColumn("c", F.expr("1 + (pack & 1)"))
-    recs = recs.withColumn("rn", F.row_number().over(by_run.orderBy("id", "k", "pack"))).withColumn("same", F.sum("c").over(by_run)).withColumn("all", F.sum("c").over(by_h)).withColumn("rows", F.count("*").over(by_h))
-    recs = recs.where("all > 1").select("id", "k", "h", "pack", F.expr("same > 1").alias("repeated"), F.expr("all > same and (same = 1 or rn = 1)").alias("open"), (F.col("rows") > hot).alias("hot"))
+    seen = docs.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).select("id", "k", "text").mapInArrow(_scan(length, gram), _PACKED)
+    many = cut(seen.where("h is not null").groupBy("h").count().where(F.col("count") * sample >= heavy).orderBy(F.desc("count")).limit(HEAVY_ANCHORS).select("h"))
+    if many.isEmpty():
+        recs = _by_windows(recs)
+    else:  # at most HEAVY_ANCHORS hashes are broadcast
+        recs = _by_windows(recs.join(F.broadcast(many), "h", "left_anti")).unionByName(_by_counts(recs.join(F.broadcast(many), "h", "left_semi")))
+    recs = recs.where("all > 1").select("id", "k", "h", "pack", F.expr("same > 1").alias("repeated"), F.expr("all > same and (same = 1 or first)").alias("open"), (F.col("rows") > hot).alias("hot"))
     recs = recs.unionByName(anchors.where("h is null").select("id", "k", "h", "pack", F.lit(True).alias("repeated"), F.lit(False).alias("open"), F.lit(False).alias("hot")))
     need = F.expr("(pack & ~1L) | cast(repeated as int)")  # the lowest bit now says that the record is decided
     marks = recs.groupBy("id", "k").agg(
