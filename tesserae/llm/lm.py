@@ -1,18 +1,22 @@
 """N-gram scoring by a weighted backoff automaton whose model is as large as the corpus and never in one place.
 
-Documents are dealt to blocks of about ``BLOCK_BYTES``. A block counts its unigrams and bigrams once and
-sends them, sorted and packed, to buckets; bigram buckets add them up and answer each block with the
-totals of its bigrams, unigram buckets answer with word counts and what each history gave to its kept
-bigrams. From the answers the block builds the slice of the automaton that its texts can reach: a state
-for each history with kept bigrams, arcs for those, and one failure arc to the root, weighted so that every
-state's probabilities sum to one:
+Documents are dealt to blocks of about ``BLOCK_BYTES``. A block counts its n-grams of every order once and sends
+them, sorted and packed, to buckets of about ``BUCKET_BYTES`` of text; only buckets that a block has n-grams for get a row.
+Buckets add them up and answer each block with the totals of its own n-grams; word buckets also with what each word as a
+history gave to its bigrams. From the answers the block builds the slice of the automaton that its texts can reach: a state
+for each history of up to ``order`` - 1 tokens, arcs for the n-grams seen in training, and from every state one failure arc to the
+state of the history without its first token, down to the root. The weights of a state sum to one:
 
-    P(w | v) = [c(v, w) kept] (c(v, w) - D) / c(v) + L(v) P(w),   L(v) = 1 - sum of (c - D) / c(v) over kept w
+    order 1   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    order 2   P(w | v) = max(c(v, w) - D, 0) / c(v) + L(v) P(w),   L(v) = 1 - sum of (c(v, w) - D) / c(v) over seen w
+    above     P(w | h) = (c(h, w) + S P(w | h')) / (c(h) + S),     h' is h without its first token
 
-P(w) is the additive unigram estimate (c + 0.5) / (N + 0.5 (V + 1)). All bigrams of training are kept (``MIN_COUNT`` is 1), the discount leaves those seen once a quarter.
+All n-grams of training are kept (``MIN_COUNT`` is 1). Above order 2 the failure weight S / (c(h) + S) needs nothing but the
+state's count, so histories of several tokens, which are as many as the corpus is long, get no messages of their own. One
+traversal from left to right carries the states of all orders and adds up the logarithms.
 
 Defined cases: a null or empty text is the end token alone; rows with a null id are left out; a repeated row
-counts, and returns, as often as it occurs; without training rows N and V are 0; an empty table gives an empty
+counts, and returns, as often as it occurs; without training rows N and V are 0; a text of any length is one block's at most; an empty table gives an empty
 result; other columns do not matter.
 """
 
@@ -26,19 +30,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import GOLD, mix, texts, word_hashes
+from tesserae.llm.common import GOLD, cut, mix, texts, word_hashes
 
-BLOCK_BYTES = 16 << 20
-DISCOUNT, MIN_COUNT = 0.75, 1
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+DISCOUNT, MIN_COUNT, STRENGTH = 0.75, 1, 1.0
 END, BOS = np.uint64(0xE0D), np.uint64(0xB05)
 _ROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _ROW_SQL = "key long, kind int, block long, payload binary"
-UNIGRAMS, BIGRAMS, GIVEN, ANSWER_1, ANSWER_2 = 1, 2, 3, 4, 5
+#: Kinds of rows: n-grams go by their order, the answers to them ANSWER further on.
+GIVEN, TOTALS, ANSWER = 0, -1, 100
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte plane by byte plane: the upper bytes of small numbers are runs of zeros then."""
     head = ";".join(f"{a.dtype.str}:{len(a)}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(2, "little") + head + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(2, "little") + head + b"".join(planes))
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
@@ -47,8 +54,10 @@ def unpack(payload: bytes) -> list[np.ndarray]:
     out = []
     for part in raw[2:at].decode().split(";"):
         kind, n = part.split(":")
-        out.append(np.frombuffer(raw, dtype=kind, count=int(n), offset=at))
-        at += out[-1].nbytes
+        size = np.dtype(kind).itemsize * int(n)
+        planes = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(-1, int(n)) if size else np.zeros((1, 0), dtype=np.uint8)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size
     return out
 
 
@@ -77,6 +86,16 @@ class Tokens:
         count[place[-1]] = (self.train & (self.h == END)).sum()
         return word, place, count
 
+    def longer(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted keys, tokens that end an n-gram of this order, place of each among the keys, training counts); texts begin with one BOS."""
+        key = bigram_key(self.prev, self.h >> np.uint64(24))
+        at = np.arange(len(self.h)) - np.searchsorted(self.doc, self.doc)
+        for _ in range(order - 2):
+            key[1:] = mix(key[:-1] * GOLD + self.h[1:])
+        ends = np.flatnonzero(at >= order - 2)
+        key, place = np.unique(key[ends], return_inverse=True)
+        return key, ends, place, np.bincount(place[self.train[ends]], minlength=len(key))
+
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys, histories, 40 bits of the words, place of each token, training counts)."""
         key, first, place = np.unique(bigram_key(self.prev, self.h >> np.uint64(24)), return_index=True, return_inverse=True)
@@ -93,8 +112,8 @@ def _spread(bucket: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
 
 
-def _count(buckets: int):
-    """A block's counts, a row for each kind and bucket, empty ones as well."""
+def _count(buckets: int, order: int):
+    """A block's counts, a row for each order and bucket that it has n-grams for."""
 
     def run(key: tuple, block: pa.Table) -> pa.Table:
         t = Tokens(block.column("text"), block.column("train").to_numpy().astype(bool))
@@ -106,66 +125,70 @@ def _count(buckets: int):
 
         word, _, count = t.unigrams()
         for b, at in enumerate(_spread(word % np.uint64(buckets), buckets)):
-            put(UNIGRAMS, b, pack(np.diff(word[at], prepend=np.uint64(0)), count[at].astype(np.uint32)))
+            if len(at):
+                put(1, b, pack(np.diff(word[at], prepend=np.uint64(0)), count[at].astype(np.uint32)))
+        for n in range(3, order + 1):
+            k, _, _, count = t.longer(n)
+            for b, at in enumerate(_spread(k % np.uint64(buckets), buckets)):
+                if len(at):
+                    put(n, b, pack(np.diff(k[at], prepend=np.uint64(0)), count[at].astype(np.uint32)))
         k, history, w, _, count = t.bigrams()
         del t
         for b, at in enumerate(_spread(k % np.uint64(buckets), buckets)):
-            at = at[np.lexsort((w[at], history[at]))]
-            put(BIGRAMS, b, pack(np.diff(history[at], prepend=np.uint64(0)), (w[at] >> np.uint64(32)).astype(np.uint8), w[at].astype(np.uint32), count[at].astype(np.uint32)))
+            if len(at):
+                at = at[np.lexsort((w[at], history[at]))]
+                put(2, b, pack(np.diff(history[at], prepend=np.uint64(0)), (w[at] >> np.uint64(32)).astype(np.uint8), w[at].astype(np.uint32), count[at].astype(np.uint32)))
         return pa.Table.from_pydict(out, _ROW)
 
     return run
 
 
-def _add_bigrams(buckets: int):
-    """Kept bigrams to the blocks that have them, and what they take to their histories; unigrams pass."""
+def _add(buckets: int):
+    """Totals of n-grams to the blocks that have them, and what bigrams take to their histories; words pass."""
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         kind = part.column("kind").to_numpy()
-        mine = part.filter(pa.array(kind == BIGRAMS))
-        passed = part.filter(pa.array(kind != BIGRAMS))
-        history, word, count, sizes = [], [], [], []
-        for payload in mine.column("payload").to_pylist():
-            d, hi, lo, c = unpack(payload)
-            history.append(np.cumsum(d, dtype=np.uint64))
-            word.append(hi.astype(np.uint64) << np.uint64(32) | lo)
-            count.append(c)
-            sizes.append(len(c))
         out: dict = {x: [] for x in _ROW.names}
 
         def put(kind: int, to: int, block: int, payload: bytes) -> None:
             for x, v in zip(_ROW.names, (to, kind, block, payload), strict=True):
                 out[x].append(v)
 
-        if sizes:
-            h = np.concatenate(history)
-            k = bigram_key(h, np.concatenate(word))
-            del history, word
-            _, first, place = np.unique(k, return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate(count), minlength=len(first)).astype(np.int64)
+        for n in sorted(set(kind.tolist()) - {1}):
+            mine = part.filter(pa.array(kind == n))
+            asked = [unpack(x) for x in mine.column("payload").to_pylist()]
+            ends = np.cumsum([len(x[0]) for x in asked])
+            first = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])  # histories, or keys of longer n-grams
+            k = first if n > 2 else bigram_key(first, np.concatenate([x[1].astype(np.uint64) << np.uint64(32) | x[2] for x in asked]))
+            count = np.concatenate([x[-1] for x in asked])
+            del asked
+            _, at, place = np.unique(k, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=count, minlength=len(at)).astype(np.int64)
             total[total < MIN_COUNT] = 0
-            ends = np.cumsum(sizes)
-            for block, at, to in zip(mine.column("block").to_pylist(), ends - sizes, ends, strict=True):
-                order = np.argsort(k[at:to])  # the block has them by key
-                put(ANSWER_2, buckets + block, block, pack(total[place[at:to]][order].astype(np.uint32), np.array([key[0].as_py()])))
-            kept = np.flatnonzero(total)
-            v, at = np.unique(h[first[kept]], return_inverse=True)
-            taken = np.bincount(at, weights=total[kept] - DISCOUNT, minlength=len(v))
-            for b, at in enumerate(_spread(v % np.uint64(buckets), buckets)):
-                if len(at):
-                    put(GIVEN, b, -1, pack(v[at], taken[at]))
-        return pa.concat_tables([passed.cast(_ROW), pa.Table.from_pydict(out, _ROW)])
+            for block, lo, hi in zip(mine.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                own = total[place[lo:hi]] if n > 2 else total[place[lo:hi]][np.argsort(k[lo:hi])]  # the block has them by key
+                put(ANSWER + n, buckets + block, block, pack(own.astype(np.uint32), np.array([key[0].as_py()])))
+            if n == 2:
+                kept = np.flatnonzero(total)
+                v, at = np.unique(first[at[kept]], return_inverse=True)
+                taken = np.bincount(at, weights=total[kept] - DISCOUNT, minlength=len(v))
+                for b, at in enumerate(_spread(v % np.uint64(buckets), buckets)):
+                    if len(at):
+                        put(GIVEN, b, -1, pack(v[at], taken[at]))
+        return pa.concat_tables([part.filter(pa.array(kind == 1)).cast(_ROW), pa.Table.from_pydict(out, _ROW)])
 
     return run
 
 
-def _add_unigrams(buckets: int):
+def _add_words(buckets: int):
+    """Totals of words, what they gave as histories, and the bucket's share of N and V."""
+
     def run(key: tuple, part: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         if bucket >= buckets:
             return part.cast(_ROW)
         kind = part.column("kind").to_numpy()
-        mine = part.filter(pa.array(kind == UNIGRAMS))
+        mine = part.filter(pa.array(kind == 1))
         given = [unpack(x) for x in part.filter(pa.array(kind == GIVEN)).column("payload").to_pylist()]
         asked = [unpack(x) for x in mine.column("payload").to_pylist()]
         words = [np.cumsum(d, dtype=np.uint64) for d, _ in asked]
@@ -175,12 +198,12 @@ def _add_unigrams(buckets: int):
         for v, s in given:
             np.add.at(taken, np.searchsorted(word, v), s)
         real = word != BOS
-        totals = np.array([count[real].sum(), (count[real] > 0).sum()], dtype=np.int64)
         ends = np.cumsum([len(x) for x in words])
         out: dict = {x: [] for x in _ROW.names}
-        for block, at, to in zip(mine.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-            at = place[at:to]
-            for x, v in zip(_ROW.names, (buckets + block, ANSWER_1, block, pack(count[at], taken[at], np.array([bucket]), totals)), strict=True):
+        rows = [(buckets + block, ANSWER + 1, block, pack(count[place[lo:hi]], taken[place[lo:hi]], np.array([bucket]))) for block, lo, hi in zip(mine.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True)]
+        rows.append((int(count[real].sum()), TOTALS, int((count[real] > 0).sum()), b""))
+        for row in rows:
+            for x, v in zip(_ROW.names, row, strict=True):
                 out[x].append(v)
         return pa.Table.from_pydict(out, _ROW)
 
@@ -188,62 +211,82 @@ def _add_unigrams(buckets: int):
 
 
 class Automaton:
-    """A slice of the backoff automaton: states for words and histories, arcs for kept bigrams, failure arcs to the root."""
+    """A slice of the backoff automaton: states for words and histories, arcs for kept n-grams, failure arcs down to the root."""
 
     def __init__(self, unigram: np.ndarray, count: np.ndarray, taken: np.ndarray) -> None:
         self.root = unigram  # arcs that leave the root
         self.count = np.maximum(count, 1)
-        self.fail = np.where(count > 0, 1 - taken / self.count, 1.0)  # weight of each state's failure arc
+        self.fail = np.where(count > 0, 1 - taken / self.count, 1.0)  # weight of each one-word state's failure arc
 
-    def traverse(self, word: np.ndarray, state: np.ndarray, kept: np.ndarray) -> np.ndarray:
-        """Log10 weight of every step, left to right: the state before each token is the token before it.
+    def traverse(self, word: np.ndarray, state: np.ndarray, kept: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Log10 weight of every step, left to right: the state before each token is its history in the text.
 
-        ``kept`` is the count on the arc that matches the token, 0 where the step takes the failure arc.
+        ``kept`` is the count on the arc that matches the token, 0 where the step takes the failure arc; ``longer`` has for each
+        longer history the counts of its arc and of its state, 0 where there is no such state.
         """
-        arc = np.where(kept > 0, (kept - DISCOUNT) / self.count[state], 0.0)
-        return np.log10(arc + self.fail[state] * self.root[word])
+        weight = np.where(kept > 0, (kept - DISCOUNT) / self.count[state], 0.0) + self.fail[state] * self.root[word]
+        for arc, total in longer:
+            weight = (arc + STRENGTH * weight) / (total + STRENGTH)
+        return np.log10(weight)
+
+
+def _answered(answers: pa.Table, kind: np.ndarray, n: int, keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """What the buckets say of the block's keys, in the order of the keys."""
+    out: list[np.ndarray] = []
+    spread = _spread(keys % np.uint64(buckets), buckets)
+    for payload in answers.filter(pa.array(kind == ANSWER + n)).column("payload").to_pylist():
+        *values, bucket = unpack(payload)
+        out = out or [np.zeros(len(keys), dtype=np.result_type(v.dtype, np.int64)) for v in values]
+        for all_, v in zip(out, values, strict=True):
+            all_[spread[bucket[0]]] = v
+    return out
 
 
-def _score(buckets: int):
+def _score(buckets: int, order: int, n_train: int, n_words: int):
     def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(block.column("text"), block.column("train").to_numpy().astype(bool))
         kind = answers.column("kind").to_numpy()
         word, place, _ = t.unigrams()
-        count, taken, totals = np.zeros(len(word), dtype=np.int64), np.zeros(len(word)), np.zeros(2, dtype=np.int64)
-        spread = _spread(word % np.uint64(buckets), buckets)
-        for payload in answers.filter(pa.array(kind == ANSWER_1)).column("payload").to_pylist():
-            c, s, bucket, total = unpack(payload)
-            count[spread[bucket[0]]], taken[spread[bucket[0]]] = c, s
-            totals += total
+        if not len(t.h):
+            return pa.table({"id": block.column("id"), **{x: np.zeros(0, dtype=np.int64) for x in ("n_tokens", "n_known", "train_tokens")}, **{x: np.zeros(0) for x in ("base_score", "score")}})
+        count, taken = _answered(answers, kind, 1, word, buckets)
         k, _, _, at, _ = t.bigrams()
-        kept = np.zeros(len(k), dtype=np.int64)
-        spread = _spread(k % np.uint64(buckets), buckets)
-        for payload in answers.filter(pa.array(kind == ANSWER_2)).column("payload").to_pylist():
-            c, bucket = unpack(payload)
-            kept[spread[bucket[0]]] = c
-        base = (count + 0.5) / (totals[0] + 0.5 * (totals[1] + 1))
+        kept = _answered(answers, kind, 2, k, buckets)[0][at]
+        longer, below = [], kept
+        for n in range(3, order + 1):
+            k, ends, at, _ = t.longer(n)
+            arc, total = np.zeros(len(t.h), dtype=np.int64), np.zeros(len(t.h), dtype=np.int64)
+            if len(ends):
+                arc[ends], total[ends] = _answered(answers, kind, n, k, buckets)[0][at], below[ends - 1]
+            longer.append((arc, total))
+            below = arc
+        base = (count + 0.5) / (n_train + 0.5 * (n_words + 1))
         model = Automaton(base, count, taken)
         bos, place = place[-1], place[:-1]
         state = np.empty_like(place)
         state[1:] = place[:-1]
         starts = np.searchsorted(t.doc, np.arange(t.n_docs))
         state[starts] = bos
-        steps = model.traverse(place, state, kept[at])
+        steps = model.traverse(place, state, kept, longer)
         known = np.add.reduceat((count[place] > 0).astype(np.int64), starts)
         n = np.diff(np.append(starts, len(place)))
-        return pa.table({"id": block.column("id"), "n_tokens": n, "n_known": known, "train_tokens": np.full(t.n_docs, totals[0]), "base_score": np.add.reduceat(np.log10(base)[place], starts), "score": np.add.reduceat(steps, starts)})
+        return pa.table({"id": block.column("id"), "n_tokens": n, "n_known": known, "train_tokens": np.full(t.n_docs, n_train), "base_score": np.add.reduceat(np.log10(base)[place], starts), "score": np.add.reduceat(steps, starts)})
 
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES, least_blocks: int = 8) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = 2, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, least_blocks: int = 8) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row, learning from rows where ``train``."""
+    if order < 2:
+        raise ValueError("the order must be at least 2")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).where("id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(least_blocks, math.ceil(size / block_bytes))
+    blocks, buckets = (max(least_blocks, math.ceil(size / x)) for x in (block_bytes, bucket_bytes))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
-    counts = dealt.groupBy("block").applyInArrow(_count(blocks), _ROW_SQL)
-    summed = counts.groupBy("key").applyInArrow(_add_bigrams(blocks), _ROW_SQL)
-    answers = summed.groupBy("key").applyInArrow(_add_unigrams(blocks), _ROW_SQL)
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(blocks), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    counts = dealt.groupBy("block").applyInArrow(_count(buckets, order), _ROW_SQL)
+    summed = counts.groupBy("key").applyInArrow(_add(buckets), _ROW_SQL)
+    answers = cut(summed.groupBy("key").applyInArrow(_add_words(buckets), _ROW_SQL))
+    totals = answers.where(F.col("kind") == TOTALS).agg(F.sum("key").alias("n"), F.sum("block").alias("v")).first()
+    own = answers.where(F.col("kind") > ANSWER).groupBy("block")
+    out = dealt.groupBy("block").cogroup(own).applyInArrow(_score(buckets, order, totals.n or 0, totals.v or 0), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
