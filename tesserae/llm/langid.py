@@ -6,11 +6,12 @@ by how well it was learned, and takes the language with the smallest sum, so som
 A text whose two best languages are close is flagged.
 
 Codewords: all 2**(L-1) - 1 splits for up to seven languages, else random words of 15 log2(L) bits that are far apart.
-Learning uses at most ``PER_LANGUAGE`` rows of a language, those with the smallest hashes of their ids up to a
-threshold set from counts over all rows; every row is predicted on its whole text.
+Learning uses at most ``PER_LANGUAGE`` rows of a language, those with the smallest hashes of their ids. Rows are thinned by a
+threshold from counts over all rows before they are ranked, and turned into features of their whole texts by tasks, so only
+rows of ``WIDTH`` numbers reach the driver; every row is predicted on its whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with null language or id are not
-learned from; with one language all others are it; without any all are ``und``; repeated rows are predicted each; an
+learned from, nor are empty texts; of rows with one id and language those with the smaller hash of the text come first; with one language all others are it; without any all are ``und``; repeated rows are predicted each; an
 empty table gives an empty result; other columns do not matter.
 """
 
@@ -21,12 +22,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import LOWER, texts
+from tesserae.llm.common import LOWER, rows_at_a_time, texts
 
-PER_LANGUAGE, SAMPLE_BYTES = 800, 1 << 14
+PER_LANGUAGE = 800
 WIDTH = 4096
 AMBIGUOUS = 0.6
 #: Documents that are turned into rows of features at a time.
@@ -88,20 +89,30 @@ def _train(x: np.ndarray, y: np.ndarray, code: np.ndarray, rounds: int = 150, ra
     return w, np.maximum(2 * trust - 1, 0.05)
 
 
-def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    known = docs.where(train & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            column = batch.column(1)[start : start + ROWS]
+            for at, to, data, offs in texts(column):
+                x = features(data, offs)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[start + at : start + to], pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+
+
+def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Model:
+    known = docs.where(train).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null and text <> ''")
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
     code = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, code, np.zeros((WIDTH + 1, code.shape[1]), dtype=np.float32), np.ones(code.shape[1]))
-    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / counts[lang]))])
-    rank = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) / 1_000_003.0
-    rows = known.where(rank < rate[F.col(lang_col)]).where(F.octet_length(text_col).between(1, sample_bytes)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * per_language * len(languages)).collect()
-    if not rows:
-        return Model([], code, np.zeros((WIDTH + 1, code.shape[1]), dtype=np.float32), np.ones(code.shape[1]))
+    # four times what is wanted passes the threshold, so that chance leaves no language short
+    rate = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 4 * per_language / counts[lang]))])
+    share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(2**53))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    taken = known.where(share < rate[F.col("lang")]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    rows = taken.select("lang", "text").mapInArrow(_rows_of_features, "lang string, x binary").collect()
     rows.sort()
-    x = np.concatenate([features(d, o) for at in range(0, len(rows), ROWS) for _, _, d, o in texts(pa.array([r.text for r in rows[at : at + ROWS]]))])
+    x = np.frombuffer(b"".join(r.x for r in rows), dtype=np.float32).reshape(len(rows), WIDTH)
     y = np.array([languages.index(r.lang) for r in rows])
     w, trust = _train(x, y, code)
     return Model(languages, code, w, trust)
@@ -110,7 +121,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 def _predict(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], dtype=object)
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             for start in range(0, batch.num_rows, ROWS):
                 column = batch.column(1)[start : start + ROWS]
                 for at, to, data, offs in texts(column):

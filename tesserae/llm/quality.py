@@ -6,7 +6,7 @@ smaller of them, both over the text's size, go through a logistic calibration fi
 that the dictionaries have not seen.
 
 The fit uses at most ``SAMPLE`` labelled rows for each label, in the order of a hash of their id, of at most
-``SAMPLE_BYTES`` each; the labels are sampled before any text is read. Every row is scored on its whole text.
+``SAMPLE_BYTES`` each; only where a label has nothing but longer texts it uses pieces. The labels are sampled before any text is read. Every row is scored on its whole text.
 
 Defined cases: null and empty texts get the calibrated score of no evidence; rows with null ids are scored but never
 learned from; null labels are no labels, of conflicting labels the larger counts; with texts of one label only, or none,
@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import rows_at_a_time
+
 SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
 DICTIONARY, LEVEL = 112 << 10, 3
 _SMOOTH = 16
@@ -70,12 +72,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     known = labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     order = F.xxhash64("id")
     picked = {r.id: int(r.y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "id").limit(sample).collect()}
-    rows = docs.where(F.col(id_col).isin(list(picked)) & F.octet_length(text_col).between(1, sample_bytes)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).limit(2 * sample).collect() if picked else []
-    rows = sorted({(r.id, r.text) for r in rows})
+    text = F.col(text_col).cast("string")
+    own = docs.where(F.col(id_col).isin(list(picked)) & (F.octet_length(text) > 0))
+    fetched = lambda t, short: [(r.id, r.text) for r in own.where((F.octet_length(text) <= sample_bytes) | F.lit(not short)).select(F.col(id_col).alias("id"), t.alias("text")).limit(4 * sample).collect()]
+    rows = fetched(text, True) if picked else []
+    if {picked[i] for i, _ in rows} != set(picked.values()):  # a label has long texts only: pieces of at most four bytes a character
+        rows = fetched(F.substring(text, 1, sample_bytes // 4), False)
+    rows = sorted(set(rows))
     y = np.array([picked[i] for i, _ in rows])
     prior = float((sum(picked.values()) + 1) / (len(picked) + 2))
     texts = [t.encode() for _, t in rows]
-    half = np.arange(len(rows)) % 2 == 0  # one half makes the dictionaries, the other calibrates
+    half = np.zeros(len(rows), dtype=bool)  # one half of each label's texts makes the dictionaries, the other calibrates
+    for label in (0, 1):
+        half[np.flatnonzero(y == label)[::2]] = True
     parts = [[t for t, a, b in zip(texts, half, y, strict=True) if a and b == label] for label in (1, 0)]
     try:
         model = Model(*(zstandard.train_dictionary(DICTIONARY, p).as_bytes() for p in parts), [], prior)
@@ -93,7 +102,7 @@ def _predict(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model.weights else None
         w = np.array(model.weights)
-        for batch in batches:
+        for batch in rows_at_a_time(batches, 1):
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             p = np.full(len(texts), model.prior)
             if compressors:

@@ -135,3 +135,83 @@ def test_quality(spark):
     for few in (labels.limit(0), labels.where("quality = 1").limit(5)):
         plain = quality.fit(docs, few, F.lit(True))
         assert quality.score(odd, plain).first().score == plain.prior
+
+
+def test_most_candidates_are_excluded():
+    """On near-uniform vectors, where single distances exclude next to none; results stay those of all rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x = np.floor(256 * x / np.sqrt((x * x).sum(axis=1))[:, None])
+    ids, seen = np.arange(4000), []
+    pivots = topk.along_axes(x[:2000], topk.PIVOTS)
+    alone = np.abs(topk.distances(x[:20], pivots)[:, None, :] - topk.distances(x, pivots)[None]).max(axis=2)
+    exact = topk.distances(x[:20], x)
+    joint = topk.Frame(pivots)
+    bound = topk.Frame.bounds(joint.table(x[:20]), joint.table(x))
+    true = x[:20] @ x.T
+    assert (bound >= true - 1e-3).all() and (alone <= exact + 1e-2).all()
+    found = topk.eliminate(x[:20], ids[:20], x, ids, pivots, 5, seen=seen)
+    for i in range(20):
+        best = sorted((-int(x[i] @ x[j]), j) for j in range(4000) if j != i)[:5]
+        assert [(v, s) for q, v, s in found if q == i] == [(j, -s) for s, j in best]
+    assert sum(seen) < 0.25 * 20 * 4000
+
+
+def test_large_components_and_several_vectors(spark):
+    rows = [(0, [2.0**30, 1.0]), (1, [2.0**29, 3.0]), (2, [2.0**29, 4.0]), (3, [-(2.0**30), 0.0]), (4, [1.0, 1.0]), (4, [5.0, 1.0]), (4, [1.0, 1.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3, scale=1).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 2, 2**59 + 4), (2, 1, 2**59 + 3), (3, 4, 5 * 2**30 + 1)]
+
+
+def test_long_texts_are_learned_from(spark):
+    """Where all texts are long, languages and quality are learned from them all the same."""
+    rnd = random.Random(2)
+    words = {"xx": ["zu", "der", "und", "nicht"], "yy": ["the", "of", "and", "was"]}
+    text = lambda lang, n: " ".join(rnd.choice(words[lang]) + str(rnd.randrange(50)) for _ in range(n))
+    rows = [(i, text(lang, 7000), lang) for i in range(200) for lang in [("xx", "yy")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    new = spark.createDataFrame([(i, text(lang, 30), lang) for i, lang in enumerate(("xx", "yy") * 5)], docs.schema)
+    assert all(r.lang_pred == r.lang for r in langid.predict(new, model).join(new, "doc_id").collect())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    good = quality.fit(docs, labels, F.lit(True))
+    found = {r.row.doc_id: r.score for r in quality.score(docs, good).collect()}
+    assert good.weights and all((found[i] > 0.5) == (i % 2 == 1) for i in found)
+
+
+def test_languages_by_brute_force(spark):
+    """Margins, weighted losses and shares of a fitted model, text by text in Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 9 = 0")
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), F.col("doc_id") % 2 == 0)
+    for r in langid.predict(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode())
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        x = np.zeros(langid.WIDTH)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            x[((((a * 31 + b) * 257 + c) * 2654435761) % 2**32) >> 20] += 1
+        x = np.sqrt(x)
+        x /= max(np.sqrt((x * x).sum()), 1e-9)
+        margin = x @ model.weights[:-1] + model.weights[-1]
+        loss = [sum(t * math.log1p(math.exp(-max(-30, min(30, m * k)))) for t, m, k in zip(model.trust, margin, code)) for code in model.code]
+        share = [math.exp(min(loss) - v) for v in loss]
+        best = max(range(len(loss)), key=lambda i: share[i])
+        assert r.lang_pred == model.languages[best] and abs(r.score - share[best] / sum(share)) < 1e-3
+
+
+def test_quality_by_brute_force(spark):
+    """Both compressed sizes of every text by a compressor made anew, and the calibration by hand; repeated rows, an empty table."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs, labels, F.col("doc_id") % 3 != 1)
+    some = docs.where("doc_id % 7 = 0")
+    found = quality.score(some.union(some.limit(3)), model).select("row.doc_id", "row.text", "score").collect()
+    assert len(found) == some.count() + 3 and quality.score(docs.limit(0), model).count() == 0
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    for r in found[:40]:
+        t = (r.text or "").encode()
+        a, b, n = size(model.good, t), size(model.bad, t), len(t) + quality._SMOOTH
+        z = model.weights[0] + model.weights[1] * (b - a) / n + model.weights[2] * min(a, b) / n
+        assert abs(r.score - (1 / (1 + math.exp(-z)) if t else model.prior)) < 1e-3
