@@ -6,7 +6,7 @@
     delta       streamed text, appended to its target
     edit        the target's text from here on, deltas may follow
     regenerate  the target's text is thrown away, deltas follow
-    delete      the target is dropped, unless a later event starts it again
+    delete      the target is dropped; text that comes later for it is dropped too, unless an event starts it again
 
 A message's place is that of its target's first event, its role that of the last event that states one.
 
@@ -19,7 +19,8 @@ string and come back exactly. The loss mask of an assistant's segment is its tex
 memory for one segment, since digests need order but not the whole.
 
 Defined cases: null texts and roles are empty; null conversation ids form one conversation of that id in ``render``
-and are left out by ``read_back``; null sequence numbers come first; rows with equal sequence numbers are ordered by
+and are left out by ``read_back``; null sequence numbers come first; events of a target with equal sequence numbers are ordered by
+kind, then text; an event of a null or unknown kind adds its text as a delta does; rows with equal sequence numbers are ordered by
 role, then text, and repeated rows are repeated turns; an empty log gives empty results; other columns do not matter.
 """
 
@@ -54,7 +55,9 @@ def reconstruct(events: DataFrame) -> DataFrame:
     rest = rest.where("last is null or coalesce(seq, -4611686018427387904) >= last")
     part = F.struct("seq", "kind", F.when(F.col("kind").isin("regenerate", "delete"), "").otherwise(F.col("text")).alias("text"))
     folded = rest.groupBy("conv_id", "target").agg(F.min("first").alias("seq"), F.first("role").alias("role"), F.array_sort(F.collect_list(part)).alias("parts"))
-    folded = folded.where("not (size(parts) = 1 and parts[0].kind = 'delete')")
+    # of starts with one sequence number the last in order counts, and if that is a deletion nothing after it matters
+    start = F.coalesce(F.array_max(F.transform("parts", lambda p, i: F.when(p.kind.isin(*STARTS), i))), F.lit(0))
+    folded = folded.withColumn("parts", F.slice("parts", start + 1, F.size("parts"))).where("parts[0].kind <> 'delete'")
     return alone.unionByName(folded.select("conv_id", "seq", "role", F.array_join("parts.text", "").alias("text")))
 
 
