@@ -235,7 +235,7 @@ def _runs(ids: np.ndarray, keys: np.ndarray, pack: np.ndarray, rows: np.ndarray,
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (wins[1:] != wins[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(rows)) - 1
+    last = np.append(first[1:], len(rows))[: len(first)] - 1
     r = rows[first]
     return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r].astype(np.int32)), pa.array(((pack[r] >> 24) + wins[first]) << 8 | (wins[last] - wins[first]))], schema=_FOUND)
 
