@@ -293,7 +293,21 @@ def _window_hashes(length: int) -> Callable:
     return run
 
 
-def _apply(length: int) -> Callable:
+def _back(raw: bytes, at: int) -> int:
+    """The first byte of the character that the byte belongs to."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _on(raw: bytes, at: int) -> int:
+    """The first byte of the next character, if the byte lies inside one."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _apply(length: int, whole: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_at_a_time(batches, 1):
             out: dict = {"id": [], "n_bytes": [], "spans": [], "kept": []}
@@ -308,7 +322,10 @@ def _apply(length: int) -> Callable:
                     first = np.flatnonzero(new)
                     a, b = start[first], end[np.append(first[1:], len(runs)) - 1]
                     spans = [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)]
-                    kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
+                    a, b = a.tolist(), b.tolist()
+                    if whole:
+                        a, b = [_back(raw, x) for x in a], [_on(raw, x) for x in b]
+                    kept = b"".join(raw[x:y] for x, y in zip([0, *b], [*a, len(raw)], strict=True))
                 for x, v in zip(out, (i, len(raw), spans, kept), strict=True):
                     out[x].append(v)
             kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept": pa.binary()}
@@ -333,10 +350,11 @@ def _by_counts(recs: DataFrame) -> DataFrame:
     return out.select("id", "k", "h", "pack", "same", "all", "rows", (head == F.col("head")).alias("first"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, heavy: int = HEAVY, sample: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, heavy: int = HEAVY, sample: int = SAMPLE, whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_bytes, spans, kept) for every row: the byte spans removed and the bytes that are left.
 
-    The columns ``carry`` come along, in a struct ``row``.
+    The columns ``carry`` come along, in a struct ``row``. With ``whole_characters`` what is left is valid UTF-8: a character
+    of which a span takes a part goes with it.
     """
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram by 1 to 255")
@@ -373,5 +391,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.groupBy("id", "k").agg(F.collect_list("run").alias("found"))
     whole = docs.join(marks.select("id", "k", "cov"), ["id", "k"], "left").join(found, ["id", "k"], "left").select("id", "text", "cov", "found", "row")
     kind = docs.schema["row"].dataType.simpleString()
-    out = whole.mapInArrow(_apply(length), f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {kind}")
+    out = whole.mapInArrow(_apply(length, whole_characters), f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {kind}")
     return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)

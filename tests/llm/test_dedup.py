@@ -193,3 +193,15 @@ def test_empty_tables(spark):
     assert suffix.remove_repeats(none).count() == 0
     assert decontam.contaminated(none, items).count() == 0
     assert decontam.contaminated(docs_of(spark, [(1, "a b c d e f g h i j")]), items).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3, 500])
+def test_components_of_hubs(spark, hot):
+    """Hubs, chains of hubs, repeated and null edges, whatever number of edges is many."""
+    rnd = random.Random(hot)
+    edges = [(100, i) for i in range(101, 160)] + [(160 + i, 100) for i in range(20)] + [(300, 301), (301, 100), (500, 501), (501, 500), (7, 7)]
+    edges += [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)] + [(None, 3), (4, None)]
+    found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), hot=hot).collect()}
+    ends = [e for e in edges if None not in e]
+    assert found == closure({i for e in ends for i in e}, ends)
+    assert graph.components(spark.createDataFrame([], "a long, b long"), hot=hot).count() == 0
