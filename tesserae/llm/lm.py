@@ -8,12 +8,16 @@ for each history of up to ``order`` - 1 tokens, arcs for the n-grams seen in tra
 state of the history without its first token, down to the root. The weights of a state sum to one:
 
     order 1   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    order 2   P(w | v) = max(c(v, w) - D, 0) / c(v) + L(v) P(w),   L(v) = 1 - sum of (c(v, w) - D) / c(v) over seen w
     above     P(w | h) = (c(h, w) + S P(w | h')) / (c(h) + S),     h' is h without its first token
 
-All n-grams of training are kept (``MIN_COUNT`` is 1). Above order 2 the failure weight S / (c(h) + S) needs nothing but the
-state's count, so histories of several tokens, which are as many as the corpus is long, get no messages of their own. One
-traversal from left to right carries the states of all orders and adds up the logarithms.
+The failure weight S / (c(h) + S) needs nothing but the state's count, so histories, of which there are as many as the corpus is
+long, get no messages of their own. A model of order 2 alone uses absolute discounting instead, for which bigrams tell their
+histories what they take:
+
+    P(w | v) = max(c(v, w) - D, 0) / c(v) + L(v) P(w),   L(v) = 1 - sum of (c(v, w) - D) / c(v) over seen w
+
+All n-grams of training are kept (``MIN_COUNT`` is 1). They travel as sorted hashes with ``SPARE`` bits more than the corpus has bits of
+length, at most 64, so one n-gram in 2**SPARE may meet another at any size. One traversal from left to right carries the states of all orders and adds up the logarithms.
 
 Defined cases: a null or empty text is the end token alone; rows with a null id are left out; a repeated row
 counts, and returns, as often as it occurs; without training rows N and V are 0; a text of any length is one block's at most; an empty table gives an empty
@@ -30,10 +34,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import GOLD, cut, mix, texts, word_hashes
+from tesserae.llm.common import GOLD, mix, texts, word_hashes
 
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
-DISCOUNT, MIN_COUNT, STRENGTH = 0.75, 1, 1.0
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 12 << 20
+DISCOUNT, MIN_COUNT, SPARE = 0.75, 1, 24
+#: S of order 2, and of the orders above; the likelihood of held-out texts grew up to about these values.
+STRENGTH = (1000.0, 4.0)
 END, BOS = np.uint64(0xE0D), np.uint64(0xB05)
 _ROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _ROW_SQL = "key long, kind int, block long, payload binary"
@@ -86,14 +92,14 @@ class Tokens:
         count[place[-1]] = (self.train & (self.h == END)).sum()
         return word, place, count
 
-    def longer(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys, tokens that end an n-gram of this order, place of each among the keys, training counts); texts begin with one BOS."""
-        key = bigram_key(self.prev, self.h >> np.uint64(24))
+        key = mix(self.prev * GOLD + self.h)
         at = np.arange(len(self.h)) - np.searchsorted(self.doc, self.doc)
         for _ in range(order - 2):
             key[1:] = mix(key[:-1] * GOLD + self.h[1:])
         ends = np.flatnonzero(at >= order - 2)
-        key, place = np.unique(key[ends], return_inverse=True)
+        key, place = np.unique(key[ends] >> np.uint64(64 - bits), return_inverse=True)
         return key, ends, place, np.bincount(place[self.train[ends]], minlength=len(key))
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +118,7 @@ def _spread(bucket: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, n)))
 
 
-def _count(buckets: int, order: int):
+def _count(buckets: int, order: int, bits: int):
     """A block's counts, a row for each order and bucket that it has n-grams for."""
 
     def run(key: tuple, block: pa.Table) -> pa.Table:
@@ -123,15 +129,18 @@ def _count(buckets: int, order: int):
             for x, v in zip(_ROW.names, (bucket, kind, key[0].as_py(), payload), strict=True):
                 out[x].append(v)
 
-        word, _, count = t.unigrams()
-        for b, at in enumerate(_spread(word % np.uint64(buckets), buckets)):
-            if len(at):
-                put(1, b, pack(np.diff(word[at], prepend=np.uint64(0)), count[at].astype(np.uint32)))
-        for n in range(3, order + 1):
-            k, _, _, count = t.longer(n)
+        def put_keys(kind: int, k: np.ndarray, count: np.ndarray) -> None:
             for b, at in enumerate(_spread(k % np.uint64(buckets), buckets)):
                 if len(at):
-                    put(n, b, pack(np.diff(k[at], prepend=np.uint64(0)), count[at].astype(np.uint32)))
+                    put(kind, b, pack(np.diff(k[at] // np.uint64(buckets), prepend=np.uint64(0)), count[at].astype(np.uint32)))
+
+        word, _, count = t.unigrams()
+        put_keys(1, word, count)
+        if order > 2:
+            for n in range(2, order + 1):
+                k, _, _, count = t.grams(n, bits)
+                put_keys(n, k, count)
+            return pa.Table.from_pydict(out, _ROW)
         k, history, w, _, count = t.bigrams()
         del t
         for b, at in enumerate(_spread(k % np.uint64(buckets), buckets)):
@@ -143,6 +152,33 @@ def _count(buckets: int, order: int):
     return run
 
 
+def _sum(buckets: int):
+    """Totals of the n-grams of a bucket to the blocks that have them, and the bucket's share of N and V."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        kind = part.column("kind").to_numpy()
+        out: dict = {x: [] for x in _ROW.names}
+        rows = []
+        for n in sorted(set(kind.tolist())):
+            mine = part.filter(pa.array(kind == n))
+            asked = [unpack(x) for x in mine.column("payload").to_pylist()]
+            ends = np.cumsum([len(d) for d, _ in asked])
+            k, place = np.unique(np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in asked]), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(k)).astype(np.int64)
+            del asked
+            for block, lo, hi in zip(mine.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                rows.append((key[0].as_py(), ANSWER + n, block, pack(total[place[lo:hi]].astype(np.uint32), np.array([key[0].as_py()]))))
+            if n == 1:
+                real = k * np.uint64(buckets) + np.uint64(key[0].as_py()) != BOS
+                rows.append((int(total[real].sum()), TOTALS, int((total[real] > 0).sum()), b""))
+        for row in rows:
+            for x, v in zip(_ROW.names, row, strict=True):
+                out[x].append(v)
+        return pa.Table.from_pydict(out, _ROW)
+
+    return run
+
+
 def _add(buckets: int):
     """Totals of n-grams to the blocks that have them, and what bigrams take to their histories; words pass."""
 
@@ -154,27 +190,26 @@ def _add(buckets: int):
             for x, v in zip(_ROW.names, (to, kind, block, payload), strict=True):
                 out[x].append(v)
 
-        for n in sorted(set(kind.tolist()) - {1}):
-            mine = part.filter(pa.array(kind == n))
-            asked = [unpack(x) for x in mine.column("payload").to_pylist()]
+        mine = part.filter(pa.array(kind == 2))
+        asked = [unpack(x) for x in mine.column("payload").to_pylist()]
+        if asked:
             ends = np.cumsum([len(x[0]) for x in asked])
-            first = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])  # histories, or keys of longer n-grams
-            k = first if n > 2 else bigram_key(first, np.concatenate([x[1].astype(np.uint64) << np.uint64(32) | x[2] for x in asked]))
-            count = np.concatenate([x[-1] for x in asked])
+            history = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
+            k = bigram_key(history, np.concatenate([x[1].astype(np.uint64) << np.uint64(32) | x[2] for x in asked]))
+            count = np.concatenate([x[3] for x in asked])
             del asked
-            _, at, place = np.unique(k, return_index=True, return_inverse=True)
-            total = np.bincount(place, weights=count, minlength=len(at)).astype(np.int64)
+            _, first, place = np.unique(k, return_index=True, return_inverse=True)
+            total = np.bincount(place, weights=count, minlength=len(first)).astype(np.int64)
             total[total < MIN_COUNT] = 0
             for block, lo, hi in zip(mine.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
-                own = total[place[lo:hi]] if n > 2 else total[place[lo:hi]][np.argsort(k[lo:hi])]  # the block has them by key
-                put(ANSWER + n, buckets + block, block, pack(own.astype(np.uint32), np.array([key[0].as_py()])))
-            if n == 2:
-                kept = np.flatnonzero(total)
-                v, at = np.unique(first[at[kept]], return_inverse=True)
-                taken = np.bincount(at, weights=total[kept] - DISCOUNT, minlength=len(v))
-                for b, at in enumerate(_spread(v % np.uint64(buckets), buckets)):
-                    if len(at):
-                        put(GIVEN, b, -1, pack(v[at], taken[at]))
+                own = total[place[lo:hi]][np.argsort(k[lo:hi])]  # the block has them by key
+                put(ANSWER + 2, buckets + block, block, pack(own.astype(np.uint32), np.array([key[0].as_py()])))
+            kept = np.flatnonzero(total)
+            v, at = np.unique(history[first[kept]], return_inverse=True)
+            taken = np.bincount(at, weights=total[kept] - DISCOUNT, minlength=len(v))
+            for b, at in enumerate(_spread(v % np.uint64(buckets), buckets)):
+                if len(at):
+                    put(GIVEN, b, -1, pack(v[at], taken[at]))
         return pa.concat_tables([part.filter(pa.array(kind == 1)).cast(_ROW), pa.Table.from_pydict(out, _ROW)])
 
     return run
@@ -191,7 +226,7 @@ def _add_words(buckets: int):
         mine = part.filter(pa.array(kind == 1))
         given = [unpack(x) for x in part.filter(pa.array(kind == GIVEN)).column("payload").to_pylist()]
         asked = [unpack(x) for x in mine.column("payload").to_pylist()]
-        words = [np.cumsum(d, dtype=np.uint64) for d, _ in asked]
+        words = [np.cumsum(d, dtype=np.uint64) * np.uint64(buckets) + np.uint64(bucket) for d, _ in asked]
         word, place = np.unique(np.concatenate(words), return_inverse=True)
         count = np.bincount(place, weights=np.concatenate([c for _, c in asked]), minlength=len(word)).astype(np.int64)
         taken = np.zeros(len(word))
@@ -213,20 +248,26 @@ def _add_words(buckets: int):
 class Automaton:
     """A slice of the backoff automaton: states for words and histories, arcs for kept n-grams, failure arcs down to the root."""
 
-    def __init__(self, unigram: np.ndarray, count: np.ndarray, taken: np.ndarray) -> None:
+    def __init__(self, unigram: np.ndarray, count: np.ndarray, taken: np.ndarray | None) -> None:
         self.root = unigram  # arcs that leave the root
-        self.count = np.maximum(count, 1)
-        self.fail = np.where(count > 0, 1 - taken / self.count, 1.0)  # weight of each one-word state's failure arc
+        self.count = count  # of each one-word state
+        self.taken = taken  # what discounted bigrams leave to its arcs
 
-    def traverse(self, word: np.ndarray, state: np.ndarray, kept: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def traverse(self, word: np.ndarray, state: np.ndarray, arcs: list[np.ndarray], histories: list[np.ndarray]) -> np.ndarray:
         """Log10 weight of every step, left to right: the state before each token is its history in the text.
 
-        ``kept`` is the count on the arc that matches the token, 0 where the step takes the failure arc; ``longer`` has for each
-        longer history the counts of its arc and of its state, 0 where there is no such state.
+        ``arcs`` holds for orders 2 and on the count on the arc that matches the token, 0 where the step takes the failure
+        arc; ``histories`` for orders 3 and on the count of the state that the arc leaves, 0 where there is no such state.
         """
-        weight = np.where(kept > 0, (kept - DISCOUNT) / self.count[state], 0.0) + self.fail[state] * self.root[word]
-        for arc, total in longer:
-            weight = (arc + STRENGTH * weight) / (total + STRENGTH)
+        weight = self.root[word]
+        if self.taken is not None:
+            of = np.maximum(self.count, 1)
+            fail = np.where(self.count > 0, 1 - self.taken / of, 1.0)
+            weight = np.where(arcs[0] > 0, (arcs[0] - DISCOUNT) / of[state], 0.0) + fail[state] * weight
+        else:
+            for n, (arc, total) in enumerate(zip(arcs, [self.count[state], *histories], strict=True)):
+                s = STRENGTH[min(n, 1)]
+                weight = (arc + s * weight) / (total + s)
         return np.log10(weight)
 
 
@@ -242,32 +283,36 @@ def _answered(answers: pa.Table, kind: np.ndarray, n: int, keys: np.ndarray, buc
     return out
 
 
-def _score(buckets: int, order: int, n_train: int, n_words: int):
+def _score(buckets: int, order: int, bits: int):
     def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(block.column("text"), block.column("train").to_numpy().astype(bool))
-        kind = answers.column("kind").to_numpy()
-        word, place, _ = t.unigrams()
         if not len(t.h):
             return pa.table({"id": block.column("id"), **{x: np.zeros(0, dtype=np.int64) for x in ("n_tokens", "n_known", "train_tokens")}, **{x: np.zeros(0) for x in ("base_score", "score")}})
-        count, taken = _answered(answers, kind, 1, word, buckets)
-        k, _, _, at, _ = t.bigrams()
-        kept = _answered(answers, kind, 2, k, buckets)[0][at]
-        longer, below = [], kept
-        for n in range(3, order + 1):
-            k, ends, at, _ = t.longer(n)
+        kind = answers.column("kind").to_numpy()
+        n_train, n_words = (answers.column(x)[0].as_py() for x in ("n_train", "n_words"))
+        word, place, _ = t.unigrams()
+        count, *taken = _answered(answers, kind, 1, word, buckets)
+        arcs, histories = [], []
+        if order == 2:
+            k, _, _, at, _ = t.bigrams()
+            arcs.append(_answered(answers, kind, 2, k, buckets)[0][at])
+        for n in range(2, order + 1) if order > 2 else ():
+            k, ends, at, _ = t.grams(n, bits)
             arc, total = np.zeros(len(t.h), dtype=np.int64), np.zeros(len(t.h), dtype=np.int64)
             if len(ends):
-                arc[ends], total[ends] = _answered(answers, kind, n, k, buckets)[0][at], below[ends - 1]
-            longer.append((arc, total))
-            below = arc
+                arc[ends] = _answered(answers, kind, n, k, buckets)[0][at]
+                if n > 2:
+                    total[ends] = arcs[-1][ends - 1]
+            arcs.append(arc)
+            histories += [total] if n > 2 else []
         base = (count + 0.5) / (n_train + 0.5 * (n_words + 1))
-        model = Automaton(base, count, taken)
+        model = Automaton(base, count, taken[0] if taken else None)
         bos, place = place[-1], place[:-1]
         state = np.empty_like(place)
         state[1:] = place[:-1]
         starts = np.searchsorted(t.doc, np.arange(t.n_docs))
         state[starts] = bos
-        steps = model.traverse(place, state, kept, longer)
+        steps = model.traverse(place, state, arcs, histories)
         known = np.add.reduceat((count[place] > 0).astype(np.int64), starts)
         n = np.diff(np.append(starts, len(place)))
         return pa.table({"id": block.column("id"), "n_tokens": n, "n_known": known, "train_tokens": np.full(t.n_docs, n_train), "base_score": np.add.reduceat(np.log10(base)[place], starts), "score": np.add.reduceat(steps, starts)})
@@ -282,11 +327,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train")).where("id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = (max(least_blocks, math.ceil(size / x)) for x in (block_bytes, bucket_bytes))
+    bits = min(64, SPARE + size.bit_length())
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
-    counts = dealt.groupBy("block").applyInArrow(_count(buckets, order), _ROW_SQL)
-    summed = counts.groupBy("key").applyInArrow(_add(buckets), _ROW_SQL)
-    answers = cut(summed.groupBy("key").applyInArrow(_add_words(buckets), _ROW_SQL))
-    totals = answers.where(F.col("kind") == TOTALS).agg(F.sum("key").alias("n"), F.sum("block").alias("v")).first()
-    own = answers.where(F.col("kind") > ANSWER).groupBy("block")
-    out = dealt.groupBy("block").cogroup(own).applyInArrow(_score(buckets, order, totals.n or 0, totals.v or 0), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    counts = dealt.groupBy("block").applyInArrow(_count(buckets, order, bits), _ROW_SQL)
+    if order > 2:
+        answers = counts.groupBy("key").applyInArrow(_sum(buckets), _ROW_SQL)
+    else:
+        answers = counts.groupBy("key").applyInArrow(_add(buckets), _ROW_SQL).groupBy("key").applyInArrow(_add_words(buckets), _ROW_SQL)
+    # one row of two numbers
+    totals = answers.where(F.col("kind") == TOTALS).agg(F.struct(F.coalesce(F.sum("key"), F.lit(0)).alias("n"), F.coalesce(F.sum("block"), F.lit(0)).alias("v")).alias("t")).scalar()
+    own = answers.where(F.col("kind") > ANSWER).withColumn("t", totals).select("key", "kind", "block", "payload", F.col("t.n").alias("n_train"), F.col("t.v").alias("n_words"))
+    out = dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_score(buckets, order, bits), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

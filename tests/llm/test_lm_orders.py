@@ -32,8 +32,9 @@ def model(texts, order):
         if n == 1:
             return (counts[1][w] + 0.5) / (total + 0.5 * (kinds + 1))
         below, c, of = p(history[1:], w), counts[n][(*history, w)], heads[n][tuple(history)]
-        if n > 2:
-            return (c + lm.STRENGTH * below) / (of + lm.STRENGTH)
+        if order > 2:
+            s = lm.STRENGTH[0 if n == 2 else 1]
+            return (c + s * below) / (of + s)
         return below if not of else max(c - lm.DISCOUNT, 0) / of + lm.DISCOUNT * types[history[0]] / of * below
 
     def score(t):
@@ -75,7 +76,7 @@ def test_payloads_and_empty_buckets():
     for a, b in zip(arrays, lm.unpack(lm.pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
     block = pa.table({"text": ["a b"], "train": [True]})
-    out = lm._count(1000, 3)((pa.scalar(4),), block)
+    out = lm._count(1000, 3, 64)((pa.scalar(4),), block)
     assert out.num_rows <= 4 + 3 + 2 and set(out.column("kind").to_pylist()) == {1, 2, 3}
 
 
