@@ -126,3 +126,34 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = out.select("doc_id").distinct()
     assert kept.join(docs, "doc_id", "left_anti").count() == 0 and 0.6 * docs.count() < kept.count() < docs.count()
+
+
+def stripped(page):
+    """The page without anything that names its parts."""
+    page = re.sub(r"<(/?)(?:article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r'<div class="[^"]*">', "<div>", page)
+
+
+def test_pages_stripped_of_landmarks(spark):
+    """Hosts of several pages: the container that slot variation and weight choose is the one that the tags name."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host = F.regexp_extract("url", r"://([^/:]+)", 1)
+    several = pages.withColumn("h", host).groupBy("h").count().where("count >= 5").select("h")
+    own = pages.withColumn("h", host).join(several, "h").select("page_id", "url", "html").collect()
+    plain = spark.createDataFrame([(r.page_id, r.url, stripped(r.html)) for r in own], pages.schema)
+    assert not any(re.search(r"<(article|nav|footer)|class=", r.html) for r in plain.collect())
+    with_, without = ({r.page_id: r.text for r in wrapper.extract(x).collect()} for x in (spark.createDataFrame(own, pages.schema), plain))
+    same = sum(with_[i] == without[i] for i in with_)
+    print(f"{same} of {len(with_)} pages alike")
+    assert same >= 0.95 * len(with_) and len(with_) > 60
+
+
+def test_many_streams_of_a_host_are_split(spark, monkeypatch):
+    """Streams of a host are aligned in parts, and parts give what one part gives."""
+    page = lambda i: "<body><div><a href='/'>Home</a></div><div>" + "".join(f"<h{1 + (i >> k) % 3}>t{i} {k}</h{1 + (i >> k) % 3}><p>Text {i} of part {k}.</p>" for k in range(1 + i % 6)) + "</div><div>The end</div></body>"
+    rows = [(i, "http://one.example/", page(i)) for i in range(120)]
+    data = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in wrapper.extract(data).collect()}
+    monkeypatch.setattr(wrapper, "STREAMS", 5)
+    assert {r.page_id: r.text for r in wrapper.extract(data).collect()} == whole
+    assert all(whole[i].startswith(f"t{i} 0\n\nText {i} of part 0.") and "Home" not in whole[i] and "The end" not in whole[i] for i in range(120))
