@@ -14,7 +14,7 @@ from tesserae.functions.scalars import bases
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, metadata, reads, summary
 from tesserae.operators.intervals import bins
 from tesserae.operators.ranges import numbered
-from tesserae.sources import files
+from tesserae.sources import bam, files
 
 
 def session(args: argparse.Namespace) -> SparkSession:
@@ -99,9 +99,19 @@ def _json(text: str | None) -> dict:
     return found
 
 
+def _write_alignments(spark: SparkSession, records: DataFrame, a: argparse.Namespace, as_bam: bool) -> None:
+    """SAM text, or BAM if asked for or if the output's name says so."""
+    head, out = files.sam_header(spark, a.input), files.sam_lines(records)
+    if as_bam or a.output.endswith(".bam"):
+        bam.write(out, a.output, [r.value for r in head.collect()])
+    else:
+        text_file(out, a.output, ["line_no"], head, a.parts)
+
+
 def reformat_bam(spark: SparkSession, a: argparse.Namespace) -> None:
-    out = files.sam_lines(align.reformat(files.sam(spark, a.input), set_bx=a.set_bx_flag))
-    text_file(out, a.output, ["line_no"], files.sam_header(spark, a.input), a.parts)
+    if a.input_is_bam and not bam.is_bam(a.input):
+        raise ValueError(f"not a BAM file: {a.input}")
+    _write_alignments(spark, align.reformat(files.sam(spark, a.input), set_bx=a.set_bx_flag), a, a.output_is_bam)
 
 
 def create_table(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -119,7 +129,7 @@ def assign_fragments(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def filter_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     kept = align.select_passing(files.sam(spark, a.input), spark.read.parquet(a.table), clean_read_name=a.clean_read_name)
-    text_file(files.sam_lines(kept), a.output, ["line_no"], files.sam_header(spark, a.input), a.parts)
+    _write_alignments(spark, kept, a, bam.is_bam(a.input))
 
 
 def consensus(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -225,7 +235,7 @@ def parser() -> argparse.ArgumentParser:
     command("refgenome", "virtual-digest", virtual_digest, "fasta", "cut_on", "prefix", digest_type=("enzyme", "regex", "bin"))
     command("refgenome", "fragments-to-hicref", hicref, "fragments", "output")
     command("reads", "prepare", prepare_reads, "fastq", "prefix", batch_size=10_000, min_read_length=1, max_read_length=150_000, min_qscore=0.0, max_qscore=266.0, user_metadata=None)
-    command("alignments", "reformat-bam", reformat_bam, "input", "output", set_bx_flag=False)
+    command("alignments", "reformat-bam", reformat_bam, "input", "output", input_is_bam=False, output_is_bam=False, set_bx_flag=False)
     command("alignments", "create-table", create_table, "input", "output", alignment_haplotypes=None)
     command("alignments", "assign-fragments", assign_fragments, "alignments", "fragments", "output", mapping_quality_cutoff=1, min_overlap_length=10, containment_cutoff=99.0)
     command("alignments", "filter-bam", filter_bam, "input", "table", "output", clean_read_name=False)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.ranges import numbered
+from tesserae.sources import bam
 
 #: Splits of input files whose places are broadcast, counted first; beyond it lines are sorted into their splits.
 SPLITS = 500_000
@@ -117,11 +118,14 @@ def _spent(cigar: Column, kinds: str) -> Column:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text: line_no, the raw fields, and what alignment tables need of them.
+    """Records of SAM text or of a BAM file: line_no, the raw fields, and what alignment tables need of them.
 
     read_start and read_end count on the stored sequence, so hard clips are outside; read_length includes them.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where(~F.col("value").startswith("@") & (F.length("value") > 0))
+    if bam.is_bam(path):
+        lines = bam.lines(spark, path)
+    else:
+        lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where(~F.col("value").startswith("@") & (F.length("value") > 0))
     f = F.split("value", "\t")
     base = lines.select("line_no", f.alias("f")).select(
         "line_no", "f", F.col("f")[0].alias("qname"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("rname"), F.col("f")[3].cast("long").alias("pos"),
@@ -151,6 +155,8 @@ def sam_lines(records: DataFrame) -> DataFrame:
 
 
 def sam_header(spark: SparkSession, path: str) -> DataFrame:
+    if bam.is_bam(path):
+        return spark.createDataFrame([(x,) for x in bam.header_lines(path)], "value string")
     return spark.read.text(path).where(F.col("value").startswith("@"))
 
 
