@@ -13,9 +13,13 @@ item. A place found in several readings counts once. Windows with more slots tha
 they go by their literal values in lower case. Items with fewer tokens than a window are matched as a whole, if they have
 at least ``SHORTEST``.
 
-Documents meet the distinct windows; what is found is joined to all items that have the window, so a document has one row
-for each item found. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows (counted first), beyond that
-they are shuffled.
+Each window of an item has two anchors, its longest tokens that must be literally equal (ties to the first). A document's
+tokens are hashed into windows only where an item's anchors stand at the right distance, in all readings; everywhere else no
+reading can match. So no window is lost, and of an ordinary text a few tokens in a hundred are looked at twice.
+
+What is found is joined to all items that have the window, so a document has one row for each item found. Anchor words are
+literals of the plan up to ``LITERALS``, anchors are broadcast up to ``BROADCAST_ROWS`` rows (both counted first); beyond that all places
+are looked up by a shuffled join.
 
 Defined cases: null or empty texts and items match nothing; rows with null ids are left out on either side; a repeated
 row adds to its document's counts; an empty table on either side gives an empty result; other columns do not matter.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut
 
 WINDOW, SHORTEST = 8, 5
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, LITERALS = 1_000_000, 100_000
 #: Units of measurement that are slots after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw v a c f k usd eur gbp dollars euros cents percent meters metres miles feet inches grams kilograms pounds liters litres seconds minutes hours days weeks months years degrees".split()
 
@@ -110,36 +114,70 @@ def _coded(df: DataFrame) -> DataFrame:
 
 
 def _item_windows(items: DataFrame, window: int, shortest: int) -> DataFrame:
-    """(size, key, item_id): every window of every item, once."""
+    """(size, key, item_id, own): every window of every item, with its tokens."""
     first = F.slice(tokens(F.concat(F.lit("a "), F.col("text"))), 2, 1 << 30)
     items = items.select("item_id", tokens(F.col("text")).alias("tok"), _without(first, _S).alias("first"))
+    read = cut(items.select("item_id", F.explode(F.array(*_readings("tok"), F.col("first"))).alias("tok")).where(F.size("tok") >= shortest).withColumn("size", F.least(F.size("tok"), F.lit(window))))
+    sizes = [r["size"] for r in read.select("size").distinct().collect()]  # at most window - shortest + 1
     out = None
-    for tok in [*_readings("tok"), F.col("first")]:
-        part = _coded(items.select("item_id", tok.alias("tok"))).where(F.size("tok") >= shortest)
-        part = part.withColumn("size", F.least(F.size("tok"), F.lit(window)))
-        for size in range(shortest, window + 1):
-            own = _with_keys(part.where(F.col("size") == size), size).select("item_id", "size", F.explode_outer("keys").alias("key"))
-            out = own if out is None else out.unionByName(own)
-    return out.select("size", "key", "item_id").distinct()
+    for size in sorted(sizes) or [window]:
+        own = _with_keys(_coded(read.where(F.col("size") == size)), size).select("item_id", "size", "tok", F.posexplode("keys").alias("at", "key"))
+        own = own.select("size", "key", "item_id", F.slice("tok", F.col("at") + 1, size).alias("own"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _bare(x: Column) -> Column:
+    return F.translate(x, _N + _U + _S, "")
+
+
+def _anchors(windows: DataFrame) -> DataFrame:
+    """(size, word, off, word2, off2): the two longest tokens of every window that any match has at these places."""
+    slots = F.size(F.filter("own", _is_slot))
+    ranked = F.transform("own", lambda x, i: F.struct((-F.length(_bare(x))).alias("n"), i.alias("off"), _bare(x).alias("word"), _is_slot(x).alias("slot")))
+    literal = F.when(slots * 2 <= F.col("size"), F.filter(ranked, lambda r: ~r.slot)).otherwise(ranked)
+    best = windows.select("size", F.array_sort(literal).alias("r")).select("size", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
+    return best.select("size", "a.word", "a.off", F.col("b.word").alias("word2"), F.col("b.off").alias("off2")).distinct()
+
+
+def _candidates(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """(id, row, at, size, reading, tok and how it was found): windows of documents (id, row, tok) where anchors stand, in each reading."""
+    words = [r.word for r in anchors.select("word").distinct().limit(LITERALS + 1).collect()]
+    places = F.transform("tok", lambda x, i: F.struct(i.alias("i"), _bare(x).alias("word")))
+    if len(words) <= LITERALS:
+        places = F.filter(places, lambda p: p.word.isin(words))
+    begin = lambda i: F.greatest(i - window, F.lit(0))
+    near = F.transform(places, lambda p: F.struct(p.i.alias("i"), p.word.alias("word"), begin(p.i).alias("from"), F.slice("tok", begin(p.i) + 1, p.i - begin(p.i) + window).alias("near")))
+    found = docs.select("id", "row", F.explode(near).alias("p")).select("id", "row", "p.*")
+    few = anchors.count() <= BROADCAST_ROWS
+    met = found.join(F.broadcast(anchors) if few else anchors, "word").withColumn("at", F.col("i") - F.col("off"))
+    start = F.col("at") - F.col("from")
+    fits = (F.col("at") >= 0) & (start + F.col("size") <= F.size("near"))
+    met = met.where(fits & (F.col("word2").isNull() | (_bare(F.get("near", start + F.col("off2"))) == F.col("word2"))))
+    # with the token before, on which a unit depends
+    lead = F.when(start > 0, 1).otherwise(0)
+    met = met.select("id", "row", "at", "size", "off", "word2", "off2", lead.alias("lead"), F.slice("near", start + 1 - lead, F.col("size") + lead).alias("tok"))
+    read = met.select("id", "row", "at", "size", "off", "word2", "off2", "lead", F.posexplode(F.array(*_readings("tok"))).alias("reading", "tok")).where("tok is not null")
+    return read.withColumn("tok", F.slice(_marked("tok"), F.col("lead") + 1, F.col("size"))).drop("lead")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """(id, item_id, n_windows, first_token, last_token) for every document and item found in it."""
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    keys = cut(_item_windows(items, window, shortest))
-    sizes = {r["size"]: r["n"] for r in keys.groupBy("size").agg(F.count_distinct("key").alias("n")).collect()}  # at most a few sizes
+    windows = cut(_item_windows(items, window, shortest))
+    keys, anchors = cut(windows.select("size", "key", "item_id").distinct()), cut(_anchors(windows))
+    sizes = [r["size"] for r in keys.select("size").distinct().collect()]  # at most a few sizes
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     docs = docs.select("id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("tok"))
-    # outer: else Spark infers a filter on the arrays' size and evaluates all of the above once more for it
-    coded = _coded(docs.select("id", "row", F.posexplode_outer(F.array(*_readings("tok"))).alias("reading", "tok")))
+    found = cut(_candidates(docs, anchors, window))  # few; keys are made for every size
     hits = None
-    for size, n in sorted(sizes.items()) or [(window, 0)]:
-        own = keys.where(F.col("size") == size).select("key").distinct()
-        seen = _with_keys(coded, size).select("id", "row", "reading", F.posexplode_outer("keys").alias("at", "key"))
-        part = seen.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, "key").select("id", "row", "reading", "at", F.lit(size).alias("size"), "key")
-        hits = part if hits is None else hits.unionByName(part)
-    places = hits.groupBy("id", "row", "reading", "at", "size", "key").agg(F.count("*").alias("n")).join(keys, ["size", "key"])
-    # a repeated row has a place as often as it occurs, in each reading that finds it
+    for size in sorted(sizes) or [window]:
+        own = _with_keys(_coded(found.where(F.col("size") == size)), size).select("id", "row", "reading", "at", "size", "off", "word2", "off2", F.get("keys", F.lit(0)).alias("key"))
+        hits = own if hits is None else hits.unionByName(own)
+    # each copy of a row finds a place once by each pair of anchors
+    places = hits.groupBy("id", "row", "reading", "at", "size", "key", "off", "word2", "off2").agg(F.count("*").alias("n"))
+    few = keys.count() <= BROADCAST_ROWS
+    places = places.join(F.broadcast(keys) if few else keys, ["size", "key"])
     once = places.groupBy("id", "row", "item_id", "at", "size").agg(F.max("n").alias("n"))
     out = once.groupBy("id", "item_id").agg(F.sum("n").alias("n_windows"), F.min("at").cast("long").alias("first_token"), F.max(F.col("at") + F.col("size")).cast("long").alias("last_token"))
     return out.withColumnRenamed("id", id_col)
