@@ -27,6 +27,8 @@ def components(edges: DataFrame, *, hot: int = HOT) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
     both = cut(both)
+    if both.isEmpty():
+        return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
     hubs, n = _counted(both.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts")).where("salts > 1"))
     spread = lambda df, node: df.join(hubs.select(F.col("b").alias(node), "salts"), node, "left").withColumn("salts", F.coalesce("salts", F.lit(1))) if n else df.withColumn("salts", F.lit(1))
     sent = cut(spread(both, "b").select("a", "b", F.pmod(F.hash("a"), "salts").alias("salt"))) if n else both.withColumn("salt", F.lit(0))

@@ -18,6 +18,7 @@ compared further, small ones by a join, large ones, each family of them once, bl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,6 +180,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, width: int, pe
     return cut(both.where(F.expr(f"100 * common >= {percent} * (size(ia) + size(ib) - common)")).select("a", "b"))
 
 
+def _left_apart(open_: DataFrame, star: DataFrame, docs: DataFrame, sigs: DataFrame, width: int, percent: int, agree: int) -> DataFrame:
+    """Links (a, b) between the groups of buckets (key, id, n, size, comp) that hold several."""
+    ratio = "100 * least(n, m) >= %d * greatest(n, m)" % percent
+    other = open_.where(f"size <= {SMALL_BUCKET}").select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    small = open_.where(f"size <= {SMALL_BUCKET}").join(other, "key").where("id < id2 and comp <> comp2").where(ratio).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    # large buckets that share members form families; each document is in one family, however many buckets it shares
+    large = open_.where(f"size > {SMALL_BUCKET}")
+    found = []
+    if not large.isEmpty():
+        lead = large.groupBy("key").agg(F.min("id").alias("b"))
+        family = components(large.join(lead, "key").select(F.col("id").alias("a"), "b").where("a <> b")).withColumnRenamed("component", "family")
+        member = cut(large.select("id", "n", "comp").distinct().join(family, "id"))
+        crowd = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        sets = _texts_of(member.select("id"), docs).mapInArrow(_sets(width), "id long, items array<long>")
+        dealt = member.join(crowd, "family").withColumn("block", F.pmod(F.hash("id"), "blocks")).join(sets, "id").withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("family", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "block", "id", "n", "comp", "items")
+        found.append(cut(dealt.groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long")))
+    rest = cut(small.join(star, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        found.append(_verified(rest, docs, sigs, width, percent, agree))
+    return reduce(DataFrame.union, found, star.limit(0))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: groups under 100 * intersection >= percent * union.
 
@@ -207,23 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = shared.join(label, "id", "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = cut(member.join(mixed, "key", "left_semi"))
-    other = open_.where(f"size <= {SMALL_BUCKET}").select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    small = open_.where(f"size <= {SMALL_BUCKET}").join(other, "key").where("id < id2 and comp <> comp2").where(ratio).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
-    # large buckets that share members form families; each document is in one family, however many buckets it shares
-    large = open_.where(f"size > {SMALL_BUCKET}")
-    lead = large.groupBy("key").agg(F.min("id").alias("b"))
-    family = components(large.join(lead, "key").select(F.col("id").alias("a"), "b").where("a <> b")).withColumnRenamed("component", "family")
-    member = cut(large.select("id", "n", "comp").distinct().join(family, "id"))
-    crowd = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sets = _texts_of(member.select("id"), docs).mapInArrow(_sets(width), "id long, items array<long>")
-    dealt = member.join(crowd, "family").withColumn("block", F.pmod(F.hash("id"), "blocks")).join(sets, "id").withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("family", F.least("block", "j").alias("p"), F.greatest("block", "j").alias("q"), "block", "id", "n", "comp", "items")
-    across = cut(dealt.groupBy("family", "p", "q").applyInPandas(_block_links(percent), "a long, b long"))
-    rest = small.join(star, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    more = across if rest.isEmpty() else across.union(_verified(rest, docs, sigs, width, percent, agree))
-    if not more.isEmpty():
-        label = components(links.union(more))
+    if not open_.isEmpty():
+        more = _left_apart(open_, star, docs, sigs, width, percent, agree)
+        if not more.isEmpty():
+            label = components(links.union(more))
 
     group = classes.join(label, classes["rep"] == label["id"], "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = feats.select("id", "n", "d1", "d2").join(group, ["d1", "d2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
