@@ -14,12 +14,24 @@ from tesserae.operators.ranges import running_total
 
 #: Recognition sites of common restriction enzymes, and where they cut the upper strand.
 ENZYMES = {
-    "AluI": ("AGCT", 2), "ApoI": ("RAATTY", 1), "BamHI": ("GGATCC", 1), "BglII": ("AGATCT", 1), "ClaI": ("ATCGAT", 2), "Csp6I": ("GTAC", 1),
-    "DdeI": ("CTNAG", 1), "DpnII": ("GATC", 0), "EcoRI": ("GAATTC", 1), "EcoRV": ("GATATC", 3), "HaeIII": ("GGCC", 2), "HhaI": ("GCGC", 3),
-    "HindIII": ("AAGCTT", 1), "HinfI": ("GANTC", 1), "HpaII": ("CCGG", 1), "KpnI": ("GGTACC", 5), "MboI": ("GATC", 0), "MseI": ("TTAA", 1),
-    "MspI": ("CCGG", 1), "NcoI": ("CCATGG", 1), "NdeI": ("CATATG", 2), "NheI": ("GCTAGC", 1), "NlaIII": ("CATG", 4), "NotI": ("GCGGCCGC", 2),
-    "PstI": ("CTGCAG", 5), "PvuII": ("CAGCTG", 3), "RsaI": ("GTAC", 2), "SacI": ("GAGCTC", 5), "SalI": ("GTCGAC", 1), "Sau3AI": ("GATC", 0),
-    "SmaI": ("CCCGGG", 3), "SpeI": ("ACTAGT", 1), "TaqI": ("TCGA", 1), "XbaI": ("TCTAGA", 1), "XhoI": ("CTCGAG", 1),
+    "AatII": ("GACGTC", 5), "AfeI": ("AGCGCT", 3), "AflII": ("CTTAAG", 1), "AgeI": ("ACCGGT", 1), "AluI": ("AGCT", 2), "ApaI": ("GGGCCC", 5),
+    "ApaLI": ("GTGCAC", 1), "ApeKI": ("GCWGC", 1), "ApoI": ("RAATTY", 1), "AscI": ("GGCGCGCC", 2), "AseI": ("ATTAAT", 2), "AvaI": ("CYCGRG", 1),
+    "AvaII": ("GGWCC", 1), "AvrII": ("CCTAGG", 1), "BamHI": ("GGATCC", 1), "BclI": ("TGATCA", 1), "BfaI": ("CTAG", 1), "BglII": ("AGATCT", 1),
+    "BsaJI": ("CCNNGG", 1), "BsiWI": ("CGTACG", 1), "BspHI": ("TCATGA", 1), "BsrGI": ("TGTACA", 1), "BssHII": ("GCGCGC", 1), "BstBI": ("TTCGAA", 2),
+    "BstEII": ("GGTNACC", 1), "BstNI": ("CCWGG", 2), "BstUI": ("CGCG", 2), "ClaI": ("ATCGAT", 2), "Csp6I": ("GTAC", 1), "CviAII": ("CATG", 1),
+    "CviQI": ("GTAC", 1), "DdeI": ("CTNAG", 1), "DpnI": ("GATC", 2), "DpnII": ("GATC", 0), "DraI": ("TTTAAA", 3), "EagI": ("CGGCCG", 1),
+    "EcoRI": ("GAATTC", 1), "EcoRII": ("CCWGG", 0), "EcoRV": ("GATATC", 3), "FatI": ("CATG", 0), "Fnu4HI": ("GCNGC", 2), "FseI": ("GGCCGGCC", 6),
+    "HaeII": ("RGCGCY", 5), "HaeIII": ("GGCC", 2), "HhaI": ("GCGC", 3), "HinP1I": ("GCGC", 1), "HincII": ("GTYRAC", 3), "HindIII": ("AAGCTT", 1),
+    "HinfI": ("GANTC", 1), "HpaI": ("GTTAAC", 3), "HpaII": ("CCGG", 1), "HpyCH4IV": ("ACGT", 1), "HpyCH4V": ("TGCA", 2), "KasI": ("GGCGCC", 1),
+    "KpnI": ("GGTACC", 5), "MaeII": ("ACGT", 1), "MboI": ("GATC", 0), "MfeI": ("CAATTG", 1), "MluI": ("ACGCGT", 1), "MseI": ("TTAA", 1),
+    "MspI": ("CCGG", 1), "NarI": ("GGCGCC", 2), "NciI": ("CCSGG", 2), "NcoI": ("CCATGG", 1), "NdeI": ("CATATG", 2), "NheI": ("GCTAGC", 1),
+    "NlaIII": ("CATG", 4), "NotI": ("GCGGCCGC", 2), "NruI": ("TCGCGA", 3), "NsiI": ("ATGCAT", 5), "PacI": ("TTAATTAA", 5), "PciI": ("ACATGT", 1),
+    "PmeI": ("GTTTAAAC", 4), "PmlI": ("CACGTG", 3), "PspGI": ("CCWGG", 0), "PstI": ("CTGCAG", 5), "PvuI": ("CGATCG", 4), "PvuII": ("CAGCTG", 3),
+    "RsaI": ("GTAC", 2), "SacI": ("GAGCTC", 5), "SacII": ("CCGCGG", 4), "SalI": ("GTCGAC", 1), "Sau3AI": ("GATC", 0), "Sau96I": ("GGNCC", 1),
+    "SbfI": ("CCTGCAGG", 6), "ScaI": ("AGTACT", 3), "ScrFI": ("CCNGG", 2), "SfcI": ("CTRYAG", 1), "SmaI": ("CCCGGG", 3), "SnaBI": ("TACGTA", 3),
+    "SpeI": ("ACTAGT", 1), "SphI": ("GCATGC", 5), "SspI": ("AATATT", 3), "StuI": ("AGGCCT", 3), "StyI": ("CCWWGG", 1), "SwaI": ("ATTTAAAT", 4),
+    "TaiI": ("ACGT", 4), "TaqI": ("TCGA", 1), "TfiI": ("GAWTC", 1), "Tsp45I": ("GTSAC", 0), "XbaI": ("TCTAGA", 1), "XhoI": ("CTCGAG", 1),
+    "XmaI": ("CCCGGG", 1), "XmnI": ("GAANNNNTTC", 5), "ZraI": ("GACGTC", 3),
 }
 
 
