@@ -65,3 +65,10 @@ def numbered(rows: DataFrame, by: str, name: str, *, parts: int | None = None) -
     """Numbers rows from 0 in the order of ``by``, whose values must differ; equal ones are numbered in any order."""
     one = running_total(rows.withColumn("_one", F.lit(1).cast("long")), [by], "_one", name, parts=parts)
     return one.withColumn(name, F.col(name) - 1).drop("_one")
+
+
+def part_sizes(rows: DataFrame) -> DataFrame:
+    """(part, n, before): the rows of each partition as they lie, and of those before it; for logs and checks."""
+    own = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    return own.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))

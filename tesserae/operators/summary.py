@@ -31,7 +31,7 @@ def concatemers(contacts: DataFrame, *, short_range: int = SHORT_RANGE) -> DataF
 
 def _long(section: str, rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     levels = [F.lit("")] * (3 - len(keys)) + [F.col(k).cast("string") for k in keys]
-    return rows.select(F.lit(section).alias("section"), *[x.alias(f"level_{i}") for i, x in enumerate(levels)], display(F.col(value)).alias("value"))
+    return rows.select(F.monotonically_increasing_id().alias("_pos"), F.lit(section).alias("section"), *[x.alias(f"level_{i}") for i, x in enumerate(levels)], display(F.col(value)).alias("value"))
 
 
 def _stack(rows: DataFrame, items: list[tuple]) -> DataFrame:
@@ -95,9 +95,11 @@ def long_summary(reads: DataFrame, read_summary: DataFrame, user_metadata: dict[
         _long("concatemer_order", tall(orders, ["bin"]), ["variable", "bin"]),
     ]
     if user_metadata:
-        rows = [("user_metadata", "", "", k, v) for k, v in user_metadata.items()]
-        parts.insert(0, spark.createDataFrame(rows, "section string, level_0 string, level_1 string, level_2 string, value string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = [(i, "user_metadata", "", "", str(k), str(v)) for i, (k, v) in enumerate(user_metadata.items())]
+        parts.insert(0, spark.createDataFrame(rows, "_pos long, section string, level_0 string, level_1 string, level_2 string, value string"))
+    # a few dozen rows, in the order of the sections and of what each lists
+    out = None
+    for i, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(i))
+        out = p if out is None else out.unionByName(p)
+    return out.orderBy("_part", "_pos").drop("_part", "_pos")

@@ -188,6 +188,18 @@ def parquet(spark: SparkSession, paths: str | list[str], columns: list[str] | No
     return df.select(*columns) if columns else df
 
 
+def append_parquet(rows: DataFrame, path: str) -> None:
+    """Adds rows to a table; the first call fixes its columns and types, and later ones must have them."""
+    from tesserae.operators.metadata import exists
+
+    if exists(path):
+        present = rows.sparkSession.read.parquet(path).schema
+        kinds = lambda s: [(f.name, f.dataType) for f in s]
+        if kinds(present) != kinds(rows.schema):
+            raise ValueError(f"the table has {present.simpleString()}, the rows have {rows.schema.simpleString()}")
+    rows.write.mode("append").parquet(path)
+
+
 def row_counts(spark: SparkSession, paths: list[str]) -> dict[str, int]:
     """Rows of every table; Spark answers from the files' footers."""
     return {p: spark.read.parquet(p).count() for p in paths}
