@@ -128,8 +128,8 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes start..end."""
+def span_value(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomials of the bytes start..end modulo the prime, with the powers that they have in place."""
 
     def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         hi, lo = prefix[0][b], prefix[1][b]
@@ -144,7 +144,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     for i in np.flatnonzero(end - start > _EXACT):
         for a in range(int(start[i]) + _EXACT, int(end[i]), _EXACT):
             out[i] = _reduced(out[i : i + 1] + value(np.array([a]), np.array([min(a + _EXACT, int(end[i]))])))[0]
-    return mix(times(out, _power(_INV, np.asarray(start))) + (end - start).astype(np.uint64) * GOLD)
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes start..end."""
+    return mix(times(span_value(prefix, start, end), _power(_INV, np.asarray(start))) + (end - start).astype(np.uint64) * GOLD)
+
+
+def deletion_hash(prefix: np.ndarray, start: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes that the bytes start..end have without the one at ``at``."""
+    rest = times(span_value(prefix, at + 1, end), np.array([_INV], dtype=np.uint64))
+    value = times(_reduced(span_value(prefix, start, at) + rest), _power(_INV, np.asarray(start)))
+    return mix(value + (end - start - 1).astype(np.uint64) * GOLD)
 
 
 def rows_at_a_time(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
