@@ -5,7 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,22 +102,53 @@ def _json(text: str | None) -> dict:
     return found
 
 
+def _staged(spark: SparkSession, path: str, suffix: str = "") -> str:
+    """``-`` stands for standard input: its bytes are copied, a block at a time, to a file that all tasks can read."""
+    if path != "-":
+        return path
+    own = f"{_scratch(spark)}/stdin-{uuid.uuid4().hex}{suffix}"
+    store, place = bam.opened(own)
+    store.create_dir(os.path.dirname(place), recursive=True)
+    with store.open_output_stream(place) as f:
+        shutil.copyfileobj(sys.stdin.buffer, f, 1 << 20)
+    return own
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The shared folder that the session names; a temporary one only where none is named, on one machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-")
+
+
+def _to_stdout(path: str) -> None:
+    """A finished file to standard output, a block at a time; the file goes."""
+    store, own = bam.opened(path)
+    with store.open_input_stream(own) as f:
+        shutil.copyfileobj(f, sys.stdout.buffer, 1 << 20)
+    sys.stdout.buffer.flush()
+    store.delete_file(own)
+
+
 def _write_alignments(spark: SparkSession, records: DataFrame, a: argparse.Namespace, as_bam: bool) -> None:
     """SAM text, or BAM if asked for or if the output's name says so."""
     head, out = files.sam_header(spark, a.input), files.sam_lines(records)
-    if as_bam or a.output.endswith(".bam"):
-        bam.write(out, a.output, [r.value for r in head.collect()])
+    path = f"{_scratch(spark)}/stdout-{uuid.uuid4().hex}" if a.output == "-" else a.output
+    if as_bam or path.endswith(".bam"):
+        bam.write(out, path, [r.value for r in head.collect()])
     else:
-        text_file(out, a.output, ["line_no"], head, a.parts)
+        text_file(out, path, ["line_no"], head, a.parts and a.output != "-")
+    if a.output == "-":
+        _to_stdout(path)
 
 
 def reformat_bam(spark: SparkSession, a: argparse.Namespace) -> None:
+    a.input = _staged(spark, a.input)
     if a.input_is_bam and not bam.is_bam(a.input):
         raise ValueError(f"not a BAM file: {a.input}")
     _write_alignments(spark, align.reformat(files.sam(spark, a.input), set_bx=a.set_bx_flag), a, a.output_is_bam)
 
 
 def create_table(spark: SparkSession, a: argparse.Namespace) -> None:
+    a.input = _staged(spark, a.input)
     table = align.create_table(files.sam(spark, a.input))
     if a.alignment_haplotypes:
         table = haplotype.apply_tags(table, files.haplotags(spark, a.alignment_haplotypes))
@@ -128,6 +162,7 @@ def assign_fragments(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def filter_bam(spark: SparkSession, a: argparse.Namespace) -> None:
+    a.input = _staged(spark, a.input)
     kept = align.select_passing(files.sam(spark, a.input), spark.read.parquet(a.table), clean_read_name=a.clean_read_name)
     _write_alignments(spark, kept, a, bam.is_bam(a.input))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -38,12 +39,18 @@ def write_text(path: str, text: str) -> None:
         out.close()
 
 
+def part_number(name: str) -> tuple[int, str]:
+    """Parts in the order of their numbers, however many digits these have; the header comes first, the end last."""
+    found = re.match(r"part-(\d+)", name)
+    return (int(found[1]) if found else -1 if name == "part-header" else 1 << 62), name
+
+
 def join_parts(folder: str, path: str) -> None:
     """Puts the parts of a text folder into one file, the header's first, and removes the folder; bytes are copied as they are."""
     store, own = _store(folder)
     jvm = SparkSession.getActiveSession().sparkContext._jvm
-    names = sorted(str(f.getPath().getName()) for f in store.listStatus(own))
-    parts = [n for n in names if n == "part-header"] + [n for n in names if n.startswith("part-") and n != "part-header"]
+    names = sorted((str(f.getPath().getName()) for f in store.listStatus(own)), key=part_number)
+    parts = [n for n in names if n.startswith("part-")]
     out = store.create(_store(path)[1], True)
     try:
         for n in parts:

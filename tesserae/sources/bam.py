@@ -1,8 +1,9 @@
 """BAM files: a splittable source that gives SAM lines, and parts of a BAM file from SAM lines.
 
 A BAM file is a row of gzip members of at most 64 KB. A split begins at the first member after its start whose successor is a
-member too, and in it at the first place from which a chain of records makes sense; it ends with the last record that begins before
-its end. So splits need nothing from each other, and every record is in one of them.
+member too, and from there at the first place from which a chain of whole records holds: fixed fields, name, operations that add up to the bases,
+qualities, and tags to the last byte. The search ends only with the split, so records of any length may lie across its start, or hold all of it.
+A split ends with the last record that begins before its end. So splits need nothing from each other, and every record is in one of them.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,15 @@ BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 LAST_MEMBER = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 #: Types of tags and how they are packed.
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-SPLIT, MEMBER, CHAIN = 32 << 20, 0xFF00, 4
+SPLIT, MEMBER, CHAIN, SEARCH = 32 << 20, 0xFF00, 4, 1 << 20
+#: Folder of files that are not parts yet.
+ATTEMPTS = "_attempts"
+#: Operations that a record's own field can count.
+OPS = 0xFFFF
+#: Two bases for each byte, the code of each letter (unknown ones as N), and qualities as letters and back.
+PAIRS = [a + b for a in BASES for b in BASES]
+CODE = bytes(BASES.find(c) if (c := chr(k).upper()) in BASES else 15 for k in range(256))
+UP, DOWN = (bytes((k + d) % 256 for k in range(256)) for d in (33, -33))
 
 
 def opened(path: str):
@@ -74,26 +86,116 @@ def _at(f, at: int, n: int) -> bytes:
     return f.read(n)
 
 
-def plausible(data: bytes, at: int, n_refs: int) -> int:
-    """The size of the record that may begin here, 0 if none does."""
-    if at + 36 > len(data):
+class Unpacked:
+    """The content of a file's members from one of them on, read as far as it is asked for."""
+
+    def __init__(self, f, start: int, size: int) -> None:
+        self.members, self.data = members(f, start, size), bytearray()
+        #: (place in data, member) of every member that data still has bytes of
+        self.begins: list[tuple[int, int]] = []
+        self.ended = False
+
+    def has(self, n: int) -> bool:
+        """Whether there are ``n`` bytes."""
+        while len(self.data) < n and not self.ended:
+            found = next(self.members, None)
+            if found is None:
+                self.ended = True
+            else:
+                self.begins.append((len(self.data), found[0]))
+                self.data += found[1]
+        return len(self.data) >= n
+
+    def member_of(self, at: int) -> tuple[int, int]:
+        """(place, member) of the byte ``at``; of members that begin at one place the last, as empty ones hold nothing."""
+        k = bisect_right(self.begins, (at, 1 << 62)) - 1
+        return self.begins[k]
+
+    def drop(self, n: int) -> None:
+        """Forgets the first ``n`` bytes."""
+        del self.data[:n]
+        k = max(0, bisect_right(self.begins, (n, 1 << 62)) - 1)
+        self.begins = [(at - n, m) for at, m in self.begins[k:]]
+
+
+def candidates(data: np.ndarray, n_refs: int) -> np.ndarray:
+    """Places whose fixed fields may be a record's; the last 36 bytes are looked at by the next block."""
+    n = len(data) - 35
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    byte = lambda at: data[at : at + n]
+    number = lambda at: sum(byte(at + k).astype(np.int64) << 8 * k for k in range(4)).astype(np.uint32).view(np.int32)
+    keep = np.flatnonzero((number(0) >= 32) & (number(0) < 1 << 28) & (byte(12) > 0))
+    of = lambda at: (data[keep[:, None] + at + np.arange(4)].astype(np.int64) << (8 * np.arange(4))).sum(axis=1).astype(np.uint32).view(np.int32)
+    for at, low, high in ((4, -1, n_refs - 1), (24, -1, n_refs - 1), (8, -1, 1 << 31), (28, -1, 1 << 31), (20, 0, 1 << 28)):
+        x = of(at)
+        keep = keep[(x >= low) & (x <= high)]
+    return keep
+
+
+def record_size(held: Unpacked, at: int, n_refs: int) -> int:
+    """The size of the record that begins here, with its own four bytes; 0 if none does: all its parts must fit."""
+    if not held.has(at + 36):
         return 0
-    size, ref, pos, name, _, _, ops, _, bases, ref2, pos2 = struct.unpack_from("<iiiBBHHHiii", data, at)
+    size, ref, pos, name, _, _, ops, _, bases, ref2, pos2 = struct.unpack_from("<iiiBBHHHiii", held.data, at)
     ok = 32 <= size < 1 << 28 and -1 <= ref < n_refs and pos >= -1 and -1 <= ref2 < n_refs and pos2 >= -1 and name > 0 and 0 <= bases < 1 << 28
-    if not ok or 32 + name + 4 * ops + (bases + 1) // 2 + bases > size:
+    packed = (bases + 1) // 2
+    if not ok or 32 + name + 4 * ops + packed + bases > size or not held.has(at + 36 + name + 4 * ops):
         return 0
-    text = data[at + 36 : at + 36 + name]
-    return size + 4 if len(text) < name or (text[-1] == 0 and all(33 <= c <= 126 for c in text[:-1])) else 0
-
-
-def first_record(data: bytes, n_refs: int) -> int:
-    """The first place from which a chain of records makes sense, -1 if none."""
-    for at in range(len(data) - 36):
-        to, n = at, 0
-        while n < CHAIN and to + 36 <= len(data) and (size := plausible(data, to, n_refs)):
-            to, n = to + size, n + 1
-        if n and (n == CHAIN or to + 36 > len(data)):
-            return at
+    text = held.data[at + 36 : at + 36 + name]
+    if text[-1] or not all(33 <= c <= 126 for c in text[:-1]):
+        return 0
+    cigar = np.frombuffer(bytes(held.data[at + 36 + name : at + 36 + name + 4 * ops]), dtype="<u4")
+    if (cigar & 15 > 8).any() or (bases and ops and int((cigar >> 4)[np.isin(cigar & 15, (0, 1, 4, 7, 8))].sum()) != bases):
+        return 0
+    if not held.has(at + 4 + size):
+        return 0
+    begin = at + 36 + name + 4 * ops + packed
+    qual = np.frombuffer(bytes(held.data[begin : begin + bases]), dtype=np.uint8)
+    if bases and not (qual <= 93).all() and not (qual == 255).all():
+        return 0
+    return size + 4 if tags_fit(bytes(held.data[begin + bases : at + 4 + size])) else 0
+
+
+def tags_fit(raw: bytes) -> bool:
+    """Whether the bytes are a row of tags, to the last one."""
+    at = 0
+    while at < len(raw):
+        if at + 4 > len(raw) or not chr(raw[at]).isalpha() or not chr(raw[at + 1]).isalnum():
+            return False
+        kind, at = chr(raw[at + 2]), at + 3
+        if kind in "ZH":
+            at = raw.find(0, at) + 1
+            if not at:
+                return False
+        elif kind == "B":
+            if at + 5 > len(raw) or chr(raw[at]) not in NUMBERS:
+                return False
+            at += 5 + struct.unpack_from("<I", raw, at + 1)[0] * struct.calcsize(NUMBERS[chr(raw[at])])
+        elif kind == "A" or kind in NUMBERS:
+            at += 1 if kind == "A" else struct.calcsize(NUMBERS[kind])
+        else:
+            return False
+    return at == len(raw)
+
+
+def first_record(held: Unpacked, end: int, n_refs: int) -> int:
+    """The first place from which a chain of records holds, among places in members before ``end``; -1 if there is none.
+
+    The search goes on to the end of the split, over records of any size; what follows a place is read as far as its chain needs.
+    """
+    at = 0
+    while held.has(at + 36) and held.member_of(at)[1] < end:
+        held.has(at + SEARCH + 36)
+        for place in candidates(np.frombuffer(bytes(held.data[at : at + SEARCH + 35]), dtype=np.uint8), n_refs):
+            to, n = at + int(place), 0
+            if held.member_of(to)[1] >= end:
+                return -1
+            while n < CHAIN and (size := record_size(held, to, n_refs)):
+                to, n = to + size, n + 1
+            if n == CHAIN or (n and to == len(held.data) and not held.has(to + 1)):
+                return at + int(place)
+        at += min(SEARCH, len(held.data) - 35 - at)
     return -1
 
 
@@ -124,16 +226,22 @@ def line_of(record: bytes, refs: list[str]) -> str:
     """The SAM line of a record without its size."""
     ref, pos, name, mapq, _, ops, flag, bases, ref2, pos2, length = struct.unpack_from("<iiBBHHHiiii", record, 0)
     at = 32 + name
-    cigar = "".join(f"{v >> 4}{OPERATIONS[v & 15]}" for v in struct.unpack_from(f"<{ops}I", record, at)) or "*"
+    found = struct.unpack_from(f"<{ops}I", record, at)
     at += 4 * ops
     packed = record[at : at + (bases + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:bases] or "*"
+    more = tags(record[at + len(packed) + bases :])
+    # operations that do not fit their 16-bit count stand in a tag, and a clip of the whole read in their place
+    if ops == 2 and found[0] == bases << 4 | 4 and found[1] & 15 == 3 and (own := next((x for x in more if x.startswith("CG:B:I,")), "")):
+        found = tuple(map(int, own[7:].split(",")))
+        more.remove(own)
+    cigar = "".join([f"{v >> 4}{OPERATIONS[v & 15]}" for v in found]) or "*"
+    seq = "".join(map(PAIRS.__getitem__, packed))[:bases] or "*"
     at += len(packed)
     qual = record[at : at + bases]
-    text = "*" if not bases or qual[0] == 0xFF else bytes(q + 33 for q in qual).decode()
+    text = "*" if not bases or qual[0] == 0xFF else qual.translate(UP).decode()
     chrom = lambda r: refs[r] if r >= 0 else "*"
     mate = "=" if ref2 >= 0 and ref2 == ref else chrom(ref2)
-    fields = [record[32 : 31 + name].decode(), flag, chrom(ref), pos + 1, mapq, cigar, mate, pos2 + 1, length, seq, text, *tags(record[at + bases :])]
+    fields = [record[32 : 31 + name].decode(), flag, chrom(ref), pos + 1, mapq, cigar, mate, pos2 + 1, length, seq, text, *more]
     return "\t".join(map(str, fields))
 
 
@@ -164,16 +272,20 @@ def record_of(line: str, refs: dict[str, int]) -> bytes:
     qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *more = line.split("\t")
     ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
     seq = "" if seq == "*" else seq
-    code = [max(BASES.find(c), 0) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True))
-    quals = b"\xff" * len(seq) if qual == "*" else bytes(ord(c) - 33 for c in qual)
+    code = np.frombuffer(seq.encode("latin-1", "replace").translate(CODE) + b"\0" * (len(seq) % 2), dtype=np.uint8)
+    packed = (code[::2] << 4 | code[1::2]).tobytes()
+    quals = b"\xff" * len(seq) if qual == "*" else qual.encode().translate(DOWN)
     start = int(pos) - 1
     ref = refs[rname] if rname != "*" else -1
     ref2 = ref if rnext == "=" else refs[rnext] if rnext != "*" else -1
     end = start + max(1, sum(n for n, o in ops if OPERATIONS[o] in "MDN=X"))
     name = qname.encode() + b"\0"
+    own = b"".join(map(_tag, more))
+    if len(ops) > OPS:  # the count has 16 bits: a clip of the whole read stands for them, and a tag holds them
+        own += b"CGBI" + struct.pack(f"<i{len(ops)}I", len(ops), *(n << 4 | o for n, o in ops))
+        ops = [(len(seq), OPERATIONS.index("S")), (end - start, OPERATIONS.index("N"))]
     head = struct.pack("<iiBBHHHiiii", ref, start, len(name), int(mapq), _bin(max(start, 0), max(end, 1)) if start >= 0 else 4680, len(ops), int(flag), len(seq), ref2, int(pnext) - 1, int(tlen))
-    body = head + name + struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)) + packed + quals + b"".join(map(_tag, more))
+    body = head + name + struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)) + packed + quals + own
     return struct.pack("<i", len(body)) + body
 
 
@@ -267,43 +379,38 @@ def _batch(rows: list[tuple[int, str]]) -> pa.RecordBatch:
 
 def _records(f, start: int, end: int, size: int, refs: list[str], skip: int | None) -> Iterator[tuple[int, str]]:
     """Records that begin in members of start..end, the first one at ``skip`` or where a chain of records begins."""
-    held, begins = b"", []  # begins: (place in held, member) of every member that held still has bytes of
-    for member, content in members(f, start, size):
-        if member >= end and not held:
+    held = Unpacked(f, start, size)
+    at = first_record(held, end, len(refs)) if skip is None else skip
+    if at < 0:
+        return
+    while held.has(at + 4):
+        n = 4 + struct.unpack_from("<i", held.data, at)[0]
+        begin, of = held.member_of(at)
+        if of >= end:
             return
-        begins.append((len(held), member))
-        held += content
-        if skip is None:
-            # enough for a chain, unless the file ends before
-            if len(held) < 1 << 18 and member + member_size(_at(f, member, 64)) < size:
-                continue
-            skip = first_record(held, len(refs))
-            if skip < 0:
-                return
-        at, skip = skip, 0
-        while at + 4 <= len(held):
-            n = 4 + struct.unpack_from("<i", held, at)[0]
-            begin, of = [b for b in begins if b[0] <= at][-1]
-            if of >= end:
-                return
-            if at + n > len(held):
-                break
-            yield of << 16 | at - begin, line_of(held[at + 4 : at + n], refs)
-            at += n
-        if at == len(held):
-            held, begins = b"", []
-        else:
-            keep = [b for b in begins if b[0] <= at][-1]
-            begins = [(max(b - at, keep[0] - at), m) for b, m in begins if b >= keep[0]]
-            held = held[at:]
+        if not held.has(at + n):
+            raise ValueError(f"a record is cut off in the member at byte {of}")
+        yield of << 16 | at - begin, line_of(bytes(held.data[at + 4 : at + n]), refs)
+        at += n
+        if at >= SEARCH:
+            held.drop(at)
+            at = 0
 
 
+@dataclass
 class Written(WriterCommitMessage):
-    pass
+    """The file of one attempt, and the part that it is to be."""
+
+    attempt: str
+    part: str
 
 
 class BamWriter(DataSourceWriter):
-    """Each task writes its lines, in their order, as a part of members; parts follow one another by the number of their task."""
+    """Each task writes its lines, in their order, as a part of members; parts follow one another by the number of their task.
+
+    In two phases: an attempt writes a file of its own, and only the files of attempts that Spark has accepted become parts. What
+    failed or repeated attempts leave behind goes with their folder.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path, self.refs = options["path"], {r: i for i, r in enumerate(options["refs"].split("\t"))} if options.get("refs") else {}
@@ -311,18 +418,38 @@ class BamWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
+        context = TaskContext.get()
+        part = f"part-{context.partitionId():08d}"
         store, own = opened(self.path)
-        store.create_dir(own, recursive=True)
-        with store.open_output_stream(f"{own}/part-{TaskContext.get().partitionId():08d}") as f:
-            held = b""
+        attempt = f"{own}/{ATTEMPTS}/{part}-{context.taskAttemptId()}"
+        store.create_dir(f"{own}/{ATTEMPTS}", recursive=True)
+        with store.open_output_stream(attempt) as f:
+            held = bytearray()
             for row in rows:
                 held += record_of(row.value, self.refs)
-                while len(held) >= MEMBER:
-                    f.write(member_of(held[:MEMBER]))
-                    held = held[MEMBER:]
+                at = 0
+                while len(held) - at >= MEMBER:
+                    f.write(member_of(bytes(held[at : at + MEMBER])))
+                    at += MEMBER
+                del held[:at]
             if held:
-                f.write(member_of(held))
-        return Written()
+                f.write(member_of(bytes(held)))
+        return Written(attempt, part)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, own = opened(self.path)
+        for m in messages:
+            if m is not None:
+                store.move(m.attempt, f"{own}/{m.part}")
+        self._clear()
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, own = opened(self.path)
+        if store.get_file_info(f"{own}/{ATTEMPTS}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{own}/{ATTEMPTS}")
 
 
 def lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
