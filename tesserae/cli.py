@@ -7,7 +7,6 @@ import json
 import os
 import shutil
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from tesserae.functions.scalars import bases
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, metadata, reads, summary
 from tesserae.operators.intervals import bins
 from tesserae.operators.ranges import numbered
-from tesserae.sources import bam, files
+from tesserae.sources import bam, files, genome
 
 
 def session(args: argparse.Namespace) -> SparkSession:
@@ -106,7 +105,7 @@ def _staged(spark: SparkSession, path: str, suffix: str = "") -> str:
     """``-`` stands for standard input: its bytes are copied, a block at a time, to a file that all tasks can read."""
     if path != "-":
         return path
-    own = f"{_scratch(spark)}/stdin-{uuid.uuid4().hex}{suffix}"
+    own = f"{genome.scratch(spark)}/stdin-{uuid.uuid4().hex}{suffix}"
     store, place = bam.opened(own)
     store.create_dir(os.path.dirname(place), recursive=True)
     with store.open_output_stream(place) as f:
@@ -114,11 +113,6 @@ def _staged(spark: SparkSession, path: str, suffix: str = "") -> str:
     return own
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is named, on one machine."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-")
-
-
 def _to_stdout(path: str) -> None:
     """A finished file to standard output, a block at a time; the file goes."""
     store, own = bam.opened(path)
@@ -131,7 +125,7 @@ def _to_stdout(path: str) -> None:
 def _write_alignments(spark: SparkSession, records: DataFrame, a: argparse.Namespace, as_bam: bool) -> None:
     """SAM text, or BAM if asked for or if the output's name says so."""
     head, out = files.sam_header(spark, a.input), files.sam_lines(records)
-    path = f"{_scratch(spark)}/stdout-{uuid.uuid4().hex}" if a.output == "-" else a.output
+    path = f"{genome.scratch(spark)}/stdout-{uuid.uuid4().hex}" if a.output == "-" else a.output
     if as_bam or path.endswith(".bam"):
         bam.write(out, path, [r.value for r in head.collect()])
     else:
@@ -214,12 +208,12 @@ def export_contacts(spark: SparkSession, a: argparse.Namespace) -> None:
         sizes = [(r.chrom, r["size"]) for r in files.chromsizes(spark, a.chromsizes).orderBy("chrom_idx").collect()]
         text_file(_tsv(export.pairs_rows(own)), f"{a.prefix}.pairs", ["readID"], export.pairs_header(sizes), a.parts)
     elif a.format == "paired_end_fastq":
-        ends = export.paired_reads(own, files.fasta(spark, a.fasta), a.read_length).persist()
+        ends = export.paired_reads(own, genome.genome(spark, a.fasta), a.read_length).persist()
         for n in (1, 2):
             text_file(export.fastq_lines(ends, n), f"{a.prefix}.{n}.fastq", ["pair_id"], parts=a.parts)
         ends.unpersist()
     elif a.format == "merged_no_dups":
-        text_file(export.merged_no_dups(own, files.fasta(spark, a.fasta), a.read_length), f"{a.prefix}.mnd.txt", ["value"], parts=a.parts)
+        text_file(export.merged_no_dups(own, genome.genome(spark, a.fasta), a.read_length), f"{a.prefix}.mnd.txt", ["value"], parts=a.parts)
     else:
         sizes = files.chromsizes(spark, a.chromsizes)
         bins(sizes, bases(a.resolution)).write.parquet(f"{a.prefix}.cool/bins")

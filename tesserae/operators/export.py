@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import hap_key, junction_symbol, midpoint, revcomp, strand_symbol
 from tesserae.operators.contacts import contact_order, no_self_ligation
 from tesserae.operators.intervals import bin_of, bin_offsets
+from tesserae.sources.genome import Indexed, fetch, stored
 
 
 def fragment_bins(fragments: DataFrame, chromsizes: DataFrame, resolution: int) -> DataFrame:
@@ -73,33 +74,16 @@ def _positions(contacts: DataFrame, read_length: int) -> DataFrame:
     return c.withColumn("pair_id", F.concat_ws(":", "read_name", text))
 
 
-def chunked(genome: DataFrame, size: int = 1 << 20, overlap: int = 1024) -> DataFrame:
-    """(chrom, chunk, seq): pieces that overlap by the longest look-up, so that a look-up moves a piece and not a chromosome."""
-    at = genome.where(F.length("seq") > 0).select("chrom", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))).alias("chunk"))
-    return at.select("chrom", "chunk", F.substring(F.col("seq"), F.col("chunk") * size + 1, F.lit(size + overlap)).alias("seq"))
+def _with_ends(contacts: DataFrame, genome: DataFrame | Indexed, read_length: int) -> DataFrame:
+    """Adds the bases before both positions, from an indexed genome; contigs that are rows are stored as one first."""
+    found = genome if isinstance(genome, Indexed) else stored(genome)
+    return fetch(_positions(contacts, read_length), found, {f"seq{n}": (f"align{n}_chrom", F.col(f"pos{n}") - read_length, read_length) for n in (1, 2)})
 
 
-def fetch(rows: DataFrame, genome_chunks: DataFrame, *, chrom: str, start: Column, length: int, name: str, size: int = 1 << 20) -> DataFrame:
-    """Adds the ``length`` bases from 0-based ``start`` of a chromosome, from pieces that overlap by ``length`` at least.
-
-    Fewer bases come back at a chromosome's end; a chromosome that the genome lacks is an error, as no row may vanish.
-    """
-    own = genome_chunks.select(F.col("chrom").alias("_c"), F.col("chunk").alias("_k"), F.col("seq").alias("_seq"))
-    at = rows.withColumn("_at", start.cast("long")).withColumn("_chunk", F.floor(F.col("_at") / size).cast("int"))
-    both = at.join(own, (F.col(chrom) == F.col("_c")) & (F.col("_chunk") == F.col("_k")), "left")
-    names = genome_chunks.select(F.col("chrom").alias("_n")).distinct()
-    both = both.join(names, F.col(chrom) == F.col("_n"), "left")
-    absent = F.raise_error(F.concat(F.lit("chromosome not in the genome: "), F.col(chrom)))
-    seq = F.when(F.col("_n").isNull(), absent).otherwise(F.coalesce(F.col("_seq"), F.lit("")))
-    both = both.withColumn("_seq", seq).drop("_n")
-    return both.withColumn(name, F.substring(F.col("_seq"), (F.col("_at") - F.col("_chunk") * size + 1).cast("int"), F.lit(length))).drop("_at", "_chunk", "_c", "_k", "_seq")
-
-
-def paired_reads(contacts: DataFrame, genome: DataFrame, read_length: int = 50) -> DataFrame:
+def paired_reads(contacts: DataFrame, genome: DataFrame | Indexed, read_length: int = 50) -> DataFrame:
     """(pair_id, seq1, seq2): pseudo paired ends; the reverse strand is complemented."""
-    c, pieces = _positions(contacts, read_length), chunked(genome, overlap=read_length)
+    c = _with_ends(contacts, genome, read_length)
     for n in (1, 2):
-        c = fetch(c, pieces, chrom=f"align{n}_chrom", start=F.col(f"pos{n}") - read_length, length=read_length, name=f"seq{n}")
         c = c.withColumn(f"seq{n}", F.when(F.col(f"align{n}_strand"), F.col(f"seq{n}")).otherwise(revcomp(F.col(f"seq{n}"))))
     return c.select("pair_id", "seq1", "seq2")
 
@@ -110,11 +94,10 @@ def fastq_lines(reads: DataFrame, n: int) -> DataFrame:
     return reads.select(F.concat(F.lit("@"), F.col("pair_id"), F.lit(f" {n}:N:0:1\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(seq))).alias("value"))
 
 
-def merged_no_dups(contacts: DataFrame, genome: DataFrame, read_length: int = 50) -> DataFrame:
+def merged_no_dups(contacts: DataFrame, genome: DataFrame | Indexed, read_length: int = 50) -> DataFrame:
     """Lines of 16 fields; here the forward strand is the one that is complemented."""
-    c, pieces = _positions(contacts, read_length), chunked(genome, overlap=read_length)
+    c = _with_ends(contacts, genome, read_length)
     for n in (1, 2):
-        c = fetch(c, pieces, chrom=f"align{n}_chrom", start=F.col(f"pos{n}") - read_length, length=read_length, name=f"seq{n}")
         c = c.withColumn(f"seq{n}", F.when(F.col(f"align{n}_strand"), revcomp(F.col(f"seq{n}"))).otherwise(F.col(f"seq{n}")))
     side = lambda n: [F.col(f"align{n}_strand").cast("int").cast("string"), F.col(f"align{n}_chrom"), F.col(f"pos{n}").cast("string"), F.col(f"align{n}_fragment_id").cast("string")]
     mapped = lambda n: [F.lit("60"), F.lit(f"{read_length}M"), F.col(f"seq{n}")]

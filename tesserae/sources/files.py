@@ -95,12 +95,87 @@ def quality_scores(qual: Column) -> Column:
     return F.when(F.length(qual) > 0, F.transform(F.split(qual, ""), lambda c: (F.ascii(c) - 33).cast("short"))).otherwise(F.array().cast("array<short>"))
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
+#: Bases of a row of fasta_pieces, at most.
+PIECE = 1 << 20
+
+
+def _contigs(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of contigs in every split: number 0 goes on from the split before. Without ``whole`` a row for each split: names and bases only."""
+    kinds = {"file": pa.string(), "block": pa.int64(), "h": pa.int32(), "name": pa.string(), "at": pa.int64(), "seq": pa.string()}
+    key, h, name, at, held, size, out = None, 0, None, 0, [], 0, []
+
+    def close() -> None:
+        nonlocal at, size
+        if whole and (held or (h and not at)):
+            out.append((*key, h, name, at, "".join(held)))
+        at, size = at + size, 0
+        held.clear()
+
+    def end_of_split() -> None:
+        close()
+        if not whole:
+            out.append((*key, h, name, at, None))
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
+        out.clear()
+        return made
+
+    for batch in batches:
+        for place, line in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), batch.column("value").to_pylist(), strict=True):
+            if place != key:
+                if key is not None:
+                    end_of_split()
+                key, h, name, at = place, 0, None, 0
+            if line.startswith(">"):
+                close()
+                words = line[1:].split()
+                h, name, at = h + 1, words[0] if words else "", 0
+            else:
+                line = "".join(line.split())
+                size += len(line)
+                if whole and line:
+                    held.append(line)
+                    if size >= PIECE:
+                        close()
+        if len(out) > 64 or (whole and sum(len(r[5]) for r in out) > 8 * PIECE):
+            yield batch_of()
+    if key is not None:
+        end_of_split()
+    yield batch_of()
+
+
+def fasta_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chrom, chrom_idx, at, seq) of FASTA files: pieces of contigs from base ``at`` on, in the order of files and lines.
+
+    A header is a line that begins with ``>``. One scan counts the headers of every split and the bases after the last one, a second
+    cuts pieces inside the splits, so a contig is the work of as many tasks as it has splits and nothing is shuffled. Lines before a file's first
+    header are left out; a contig without bases has one empty piece.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    edges = lines.mapInArrow(lambda x: _contigs(x, False), "file string, block long, h int, name string, at long, seq string").select("file", "block", "h", "name", "at")
+    order = Window.partitionBy("file").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    base = edges.withColumn("heads", F.coalesce(F.sum("h").over(before), F.lit(0))).withColumn("last", F.last("name", True).over(before))
+    # bases since the last header before the split: those of its own split and of the splits without one since then
+    since = Window.partitionBy("file", "era").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    eras = base.withColumn("era", F.col("heads") + F.col("h")).withColumn("own", F.col("at"))
+    running = eras.select("file", "block", "heads", "last", "h", (F.coalesce(F.sum("own").over(since), F.lit(0))).alias("in_era"), F.lag("era").over(order).alias("era_before"), F.lag("at").over(order).alias("at_before"), F.lag("h").over(order).alias("h_before"))
+    # a split with headers begins in the era of the one before
+    totals = eras.groupBy("file", F.col("era").alias("era_before")).agg(F.sum("own").alias("all"))
+    placed = running.join(totals, ["file", "era_before"], "left").select("file", "block", "heads", "last", F.when(F.col("h") == 0, F.col("in_era")).otherwise(F.coalesce("all", F.lit(0))).alias("from"))
+    counts = edges.groupBy("file").agg(F.sum("h").alias("n")).select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # a row for each file
+    splits = placed.join(counts, "file")
+    few = splits.count() <= SPLITS
+    pieces = lines.mapInArrow(lambda x: _contigs(x, True), "file string, block long, h int, name string, at long, seq string")
+    both = pieces.join(F.broadcast(splits) if few else splits, ["file", "block"]).where("heads + h > 0")
+    return both.select(F.when(F.col("h") == 0, F.col("last")).otherwise(F.col("name")).alias("chrom"), (F.col("first") + F.col("heads") + F.col("h") - 1).alias("chrom_idx"), (F.col("at") + F.when(F.col("h") == 0, F.col("from")).otherwise(0)).alias("at"), "seq")
+
+
+def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(chrom, chrom_idx, seq): one row for each contig, numbered in file order."""
-    whole = spark.read.option("lineSep", ">").text(path).select("value", F.monotonically_increasing_id().alias("at")).where(F.length(F.trim("value")) > 0)
-    head = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), r"\s")[0]
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
-    return numbered(whole.select("at", head.alias("chrom"), seq.alias("seq")), "at", "chrom_idx").select("chrom", "chrom_idx", "seq")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda p: p["seq"]), "")
+    return fasta_pieces(spark, path).groupBy("chrom_idx", "chrom").agg(whole.alias("seq")).select("chrom", "chrom_idx", "seq")
 
 
 def _tag(fields: Column, name: str) -> Column:

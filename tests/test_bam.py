@@ -173,7 +173,7 @@ def test_parts_follow_their_numbers():
 
 
 def test_standard_input_and_output(spark, tmp_path, monkeypatch):
-    lines = [x for i, x in enumerate(sam_lines(99, 8)) if i % 11]
+    lines = [x for i, x in enumerate(sam_lines(99, 8)) if i % 11 and i % 8]
     text = "".join(x + "\n" for x in [*HEAD, *lines]).encode()
 
     def run(data, *args):
@@ -185,8 +185,8 @@ def test_standard_input_and_output(spark, tmp_path, monkeypatch):
 
     packed = run(text, "alignments", "reformat-bam", "-", "-", "--output-is-bam")
     (tmp_path / "a.bam").write_bytes(packed)
-    assert bam.is_bam(str(tmp_path / "a.bam")) and bam.lines(spark, str(tmp_path / "a.bam")).count() == 90
+    assert bam.is_bam(str(tmp_path / "a.bam")) and bam.lines(spark, str(tmp_path / "a.bam")).count() == len(lines)
     plain = run(packed, "alignments", "reformat-bam", "-", "-", "--input-is-bam").decode().splitlines()
     assert plain[: len(HEAD)] == HEAD and [x.split("\t")[1:] for x in plain[len(HEAD) :]] == [x.split("\t")[1:] for x in lines]
     run(packed, "alignments", "create-table", "-", tmp_path / "t.parquet")
-    assert spark.read.parquet(str(tmp_path / "t.parquet")).count() == 90
+    assert spark.read.parquet(str(tmp_path / "t.parquet")).count() == len(lines)
