@@ -22,6 +22,7 @@ their length; an empty table gives an empty result; other columns do not matter.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, rows_at_a_time, small_batches
+from tesserae.llm.common import rows_at_a_time, shared_folder, small_batches
 
 
 class Rule(NamedTuple):
@@ -68,9 +69,14 @@ def _scan(rules: tuple[Rule, ...]) -> Callable:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a repeated row lies beside its copies
         for batch in rows_at_a_time(batches, 1):
             out: list[tuple] = []
-            for blob, text, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for blob, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if blob in seen:
+                    continue
+                seen.add(blob)
+                text, blob = text.as_py(), blob.hex()
                 low = text.lower()
                 for key in todo:
                     rule, compiled = own[key["kind"], key["version"]]
@@ -93,6 +99,11 @@ def _name() -> Column:
     return F.concat(F.coalesce(F.col("path").cast("string"), F.lit("\0")), F.lit("\0"), F.col("revision"))
 
 
+def _key() -> Column:
+    """The address as bytes, which are half of its letters wherever rows are shuffled by it."""
+    return F.unhex("blob").alias("key")
+
+
 def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger's rows; an empty ledger where the folder is not there yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -101,22 +112,24 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unseen(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, name, todo): one row for each blob that some rules have not scanned in their present version."""
+    """(key, name, todo): one row for each blob, by the bytes of its address, that some rules have not scanned in their present version."""
     spark = rows.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int"))
-    blobs = rows.select("blob", _name().alias("name")).groupBy("blob").agg(F.min("name").alias("name"))
-    done = ledger.join(wanted, ["kind", "version"], "left_semi").groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done"))
+    blobs = rows.select(_key(), _name().alias("name")).groupBy("key").agg(F.min("name").alias("name"))
+    done = ledger.join(wanted, ["kind", "version"], "left_semi").groupBy(_key()).agg(F.collect_set(F.struct("kind", "version")).alias("done"))
     every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     todo = F.when(F.col("done").isNull(), every).otherwise(F.array_except(every, "done"))
-    return blobs.join(done, "blob", "left").select("blob", "name", todo.alias("todo")).where(F.size("todo") > 0)
+    return blobs.join(done, "key", "left").select("key", "name", todo.alias("todo")).where(F.size("todo") > 0)
 
 
 def scan(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New rows of the ledger for rows (path, revision, blob, text)."""
-    new = unseen(rows, ledger, rules).select(F.col("blob").alias("b"), F.col("name").alias("m"), "todo").hint("shuffle_hash")
-    texts = rows.select("blob", "text", _name().alias("name"))
-    todo = texts.join(new, (F.col("blob") == F.col("b")) & (F.col("name") == F.col("m"))).select("blob", "text", "todo")
-    return todo.mapInArrow(_scan(rules), LEDGER).dropDuplicates(["blob", "kind", "version"])
+    """New rows of the ledger for rows (path, revision, blob, text).
+
+    Where repeated rows of one path are so many that Spark splits their key, a blob may be scanned, and stand in the ledger, twice.
+    """
+    new = unseen(rows, ledger, rules).hint("shuffle_hash")
+    texts = rows.select(_key(), "text", _name().alias("name"))
+    return texts.join(new, ["key", "name"]).select("key", "text", "todo").mapInArrow(_scan(rules), LEDGER)
 
 
 def update(rows: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -128,18 +141,19 @@ def update(rows: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> Dat
 
 
 def of_blobs(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, spans): what the rules, as they are, found in each blob that holds anything, by start, then by the rules' order."""
+    """(key, spans): what the rules, as they are, found in each blob that holds anything, by start, then by the rules' order."""
     wanted = F.broadcast(ledger.sparkSession.createDataFrame([(r.kind, r.version, i) for i, r in enumerate(rules)], "kind string, version int, place int"))
     one = F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), s["end"].alias("end"), F.col("kind").alias("kind")))
-    spans = ledger.where(F.size("found") > 0).join(wanted, ["kind", "version"]).dropDuplicates(["blob", "kind"]).select("blob", one.alias("spans"))
-    return spans.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = ledger.where(F.size("found") > 0).join(wanted, ["kind", "version"]).dropDuplicates(["blob", "kind"]).select(_key(), one.alias("spans"))
+    return spans.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def findings(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, revision, blob, spans) of all paths and versions; spans are empty where nothing was found."""
     held = of_blobs(ledger, rules)
     none = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
-    return rows.select("path", "revision", "blob").join(held, "blob", "left").withColumn("spans", F.coalesce("spans", none)).select("path", "revision", "blob", "spans")
+    found = rows.select("path", "revision", _key()).join(held, "key", "left")
+    return found.select("path", "revision", F.lower(F.hex("key")).alias("blob"), F.coalesce("spans", none).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -149,4 +163,4 @@ def joined(spans: Column) -> Column:
 
 def ledger_in(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A ledger of this run alone, in the shared folder."""
-    return cut(scan(rows, rows.sparkSession.createDataFrame([], LEDGER), rules))
+    return update(rows, f"{shared_folder(rows.sparkSession)}/ledger-{uuid.uuid4().hex}", rules)
