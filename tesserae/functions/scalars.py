@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,15 @@ def gap_score(length: Column, aligner: str = "minimap2") -> Column:
     return F.least(4 + 2 * length, 24 + length)
 
 
+def gap_of(aligner: str = "minimap2") -> Callable:
+    """The same penalty for arrays of numbers."""
+    if aligner == "bwa":
+        return lambda d: 5 + 2 * d
+    if aligner != "minimap2":
+        raise ValueError(f"unknown aligner: {aligner}")
+    return lambda d: np.minimum(4 + 2 * d, 24 + d)
+
+
 def midpoint(start: Column, end: Column) -> Column:
     """Half-way point; halves go to the even neighbour."""
     return F.rint((start + end) * 0.5).cast("long")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import gap_score
+from tesserae.functions.scalars import gap_of
 from tesserae.operators.intervals import interval_join
 from tesserae.schemas import ASSIGNED, conform
 
@@ -33,31 +37,109 @@ def best_overlap(pairs: DataFrame) -> DataFrame:
     return one.select("align_idx", (-F.col("b.minus")).alias("fragment_id"), "num_contained_fragments", "num_overlapping_fragments", "b.overlap_length", "b.fragment_start", "b.fragment_end", "b.perc_of_alignment", "b.perc_of_fragment", "b.is_contained")
 
 
-def _edge(length: Column, aligner: str) -> Column:
-    return gap_score(length, aligner)
+class Ways:
+    """Cheapest ways to the rows of a read, as back pointers; node 0 is the read's start.
+
+    ``above`` holds for each node its ancestors 1, 2, 4, .. steps up, so two ways are compared where they part, without being written out.
+    """
+
+    def __init__(self) -> None:
+        self.idx, self.depth, self.above = [0], [0], [[0]]
+
+    def add(self, before: int, align_idx: int) -> None:
+        up = [before]
+        while up[-1] and len(self.above[up[-1]]) >= len(up):
+            up.append(self.above[up[-1]][len(up) - 1])
+        self.idx.append(align_idx)
+        self.depth.append(self.depth[before] + 1)
+        self.above.append(up)
+
+    def _lift(self, node: int, depth: int) -> int:
+        while self.depth[node] > depth:
+            node = self.above[node][(self.depth[node] - depth).bit_length() - 1]
+        return node
+
+    def smaller(self, x: int, y: int, then: int | None) -> bool:
+        """Whether the way to ``x`` comes before that to ``y``, both followed by the row ``then``, if any."""
+        if x == y:
+            return False
+        d = min(self.depth[x], self.depth[y])
+        a, b = self._lift(x, d), self._lift(y, d)
+        if a == b:  # one goes on where the other ends
+            on = self.idx[self._lift(x if self.depth[x] > d else y, d + 1)]
+            if then is None:
+                return self.depth[x] == d
+            return then < on if self.depth[x] == d else on < then
+        k = self.depth[a].bit_length()
+        while k >= 0:
+            if k < len(self.above[a]) and k < len(self.above[b]) and self.above[a][k] != self.above[b][k]:
+                a, b = self.above[a][k], self.above[b][k]
+            k -= 1
+        return self.idx[a] < self.idx[b]
+
+    def path(self, node: int) -> list[int]:
+        out = []
+        while node:
+            out.append(self.idx[node])
+            node = self.above[node][0]
+        return out[::-1]
+
+
+def cheapest_way(end: np.ndarray, idx: list[int], start: list[int], score: list[int], length: int, gap: Callable) -> tuple[int, list[int]]:
+    """(cost, align_idx values) of the cheapest way through rows in the order of their ends; ties go to the smaller path.
+
+    Costs of all ways to a row are one array expression. Each row keeps a pointer to the row before it, and paths are compared, at ties
+    only, by their ancestors: no path is copied.
+    """
+    ways, n = Ways(), len(idx)
+    ends, costs = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    ends[1:] = end
+
+    def least(found: np.ndarray, then: int | None, first: int) -> tuple[int, int]:
+        low = found.min()
+        best = -1
+        for i in (np.flatnonzero(found == low) + first).tolist():
+            if best < 0 or ways.smaller(i, best, then):
+                best = i
+        return int(low), best
+
+    for j in range(n):
+        low, before = least(costs[: j + 1] + gap(np.abs(start[j] - ends[: j + 1])), idx[j], 0)
+        costs[j + 1] = low - score[j]
+        ways.add(before, idx[j])
+    low, last = least(costs[1:] + gap(length - ends[1:]), None, 1)
+    return low, ways.path(last)
+
+
+def _paths(aligner: str) -> Callable:
+    gap = gap_of(aligner)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows, lengths in batches:
+            out: list[dict | None] = []
+            offsets, fields = rows.offsets.to_numpy(), rows.values
+            end, idx, start, score = (fields.field(x).to_numpy(zero_copy_only=False) for x in ("read_end", "align_idx", "read_start", "align_score"))
+            valid, read_length = rows.is_valid().to_pylist(), lengths.to_pylist()
+            for i, ok in enumerate(valid):
+                a, b = offsets[i], offsets[i + 1]
+                if ok and b > a:
+                    cost, path = cheapest_way(end[a:b], idx[a:b].tolist(), start[a:b].tolist(), score[a:b].tolist(), read_length[i], gap)
+                    out.append({"cost": cost, "path": path})
+                else:
+                    out.append(None)
+            yield pa.array(out, pa.struct([("cost", pa.int64()), ("path", pa.list_(pa.int64()))]))
+
+    return run
 
 
 def on_shortest_path(rows: Column, read_length: Column, aligner: str = "minimap2") -> Column:
-    """The align_idx values on a cheapest path through a read.
+    """The cost and the align_idx values of a cheapest path through a read; null for no rows.
 
     ``rows`` is the array of (read_end, align_idx, read_start, align_score) of one read. In the order of read_end every
     row may follow any earlier one at the price of the gap between them less its own score; the path must end at the
-    read's end. A fold keeps for each row the cheapest way to it; ties go to the smaller path.
+    read's end. Ties go to the smaller path.
     """
-    rows = F.array_sort(rows)
-    empty = F.array().cast("array<struct<cost: bigint, path: array<bigint>, read_end: bigint>>")
-
-    def step(ways: Column, r: Column) -> Column:
-        first = F.struct((_edge(r.read_start, aligner) - r.align_score).alias("cost"), F.array(r.align_idx).alias("path"))
-        later = F.transform(ways, lambda w: F.struct((w.cost + _edge(F.abs(r.read_start - w.read_end), aligner) - r.align_score).alias("cost"), F.array_append(w.path, r.align_idx).alias("path")))
-        best = F.array_min(F.concat(F.array(first), later))
-        return F.array_append(ways, F.struct(best.cost.alias("cost"), best.path.alias("path"), r.read_end.alias("read_end")))
-
-    def finish(ways: Column) -> Column:
-        ends = F.transform(ways, lambda w: F.struct((w.cost + _edge(read_length - w.read_end, aligner)).alias("cost"), w.path.alias("path")))
-        return F.array_min(ends)
-
-    return F.aggregate(rows, empty, step, finish)
+    return F.arrow_udf(_paths(aligner), "cost long, path array<long>")(F.array_sort(rows), read_length)
 
 
 def path_of_reads(rows: DataFrame, aligner: str = "minimap2") -> DataFrame:

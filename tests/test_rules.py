@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,71 @@ def test_shortest_path_brute_force(spark):
     assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in best.items()}
 
 
+def folded(rows, length, then):
+    """The cheapest way by whole paths: (cost, path) of a fold that keeps every row's best path."""
+    ways = []
+    for end, idx, start, score in sorted(rows):
+        ways.append((*min([(then(start) - score, [idx]), *((c + then(abs(start - e)) - score, [*p, idx]) for c, p, e in ways)]), end))
+    return min((c + then(length - e), p) for c, p, e in ways)
+
+
+@pytest.mark.parametrize("aligner", ["minimap2", "bwa"])
+def test_shortest_path_with_ties(spark, aligner):
+    rnd = random.Random(4)
+    then = gap if aligner == "minimap2" else lambda n: 5 + 2 * n
+    rows, best = [], {}
+    for read in range(250):
+        size, top = rnd.choice([(2, 3), (8, 4), (25, 6), (60, 40)])  # few places and scores: many ways cost the same
+        ids = rnd.sample(range(1000), size)
+        own = [(e, i, max(0, e - rnd.randint(0, top)), rnd.randint(0, top) * rnd.choice([1, 2, 4])) for i in ids for e in [rnd.randint(0, top)]]
+        rows += [(read, i, s, e, score, top) for e, i, s, score in own]
+        best[read] = folded(own, top, then)
+    frame = spark.createDataFrame(rows, "read_idx long, align_idx long, read_start long, read_end long, align_score long, read_length long").repartition(5)
+    assert {r.read_idx: (r.cost, r.path) for r in assign.path_of_reads(frame, aligner).collect()} == best
+
+
+def test_shortest_path_of_ten_thousand_rows():
+    from tesserae.functions.scalars import gap_of
+
+    rnd = random.Random(2)
+    rows = sorted((e, i, max(0, e - rnd.randint(0, 3000)), rnd.randint(0, 3000)) for i in range(10_000) for e in [rnd.randint(1, 4_000_000)])
+    began = time.perf_counter()
+    cost, path = assign.cheapest_way(np.array([r[0] for r in rows]), *([r[k] for r in rows] for k in (1, 2, 3)), 4_000_000, gap_of())
+    assert time.perf_counter() - began < 30 and len(path) > 100
+    own = {r[1]: r for r in rows}
+    at, total = 0, 0
+    for i in path:
+        total += gap(abs(own[i][2] - at)) - own[i][3]
+        at = own[i][0]
+    assert total + gap(4_000_000 - at) == cost
+
+
+def test_interval_join_of_short_and_long_intervals(spark):
+    rnd = random.Random(6)
+    sizes = [1, 50, 50, 50, 399, 400, 401, 3200, 30_000, 900_000]
+    make = lambda n: [(i, rnd.choice("xy"), s, s + rnd.choice(sizes)) for i in range(n) for s in [rnd.choice([rnd.randint(-50, 5000), rnd.randint(0, 2_000_000)])]]
+    a, b = make(300), make(300)
+    left = spark.createDataFrame(a, "a long, chrom string, start long, end long")
+    right = spark.createDataFrame(b, "b long, chrom string, b_start long, b_end long")
+    for x, y in ((left, right), (left, right.where("b_end - b_start <= 50")), (left.where("end - start <= 50"), right), (left.where("end - start > 5000"), right.where("b_end - b_start = 50"))):
+        for width in (50, 400):
+            found = sorted((r.a, r.b) for r in intervals.interval_join(x, y, width=width).collect())
+            i, j = ({r[0] for r in d.select(n).collect()} for d, n in ((x, "a"), (y, "b")))
+            assert found == sorted((p[0], q[0]) for p in a for q in b if p[0] in i and q[0] in j and p[1] == q[1] and p[2] < q[3] and q[2] < p[3])
+    assert intervals.interval_join(left.limit(0), right, width=50).count() == 0
+
+
+def test_long_intervals_stay_few_rows(spark):
+    """5 Mb beside 50 bases: rows are repeated for each level, not for each 50 bases."""
+    long = spark.range(40).selectExpr("id as a", "'c' as chrom", "id * 1000000 as start", "id * 1000000 + 5000000 as end")
+    short = spark.range(20_000).selectExpr("id as b", "'c' as chrom", "id * 2000 as b_start", "id * 2000 + 50 as b_end")
+    for rows, names in ((long, ("start", "end")), (short, ("b_start", "b_end"))):
+        rows = rows.withColumn("level", intervals._level(*names, 50))
+        assert intervals._cells(rows, *names, F.array("level"), 50).count() <= 2 * rows.count()
+    n = intervals.interval_join(long, short, width=50).count()
+    assert n == sum(1 for i in range(40) for j in range(20_000) if i * 10**6 < j * 2000 + 50 and j * 2000 < i * 10**6 + 5 * 10**6)
+
+
 def alignment(i, read=0, chrom="c", start=0, end=100, **more):
     row = {"read_idx": read, "align_idx": i, "align_type": "primary", "chrom": chrom, "start": start, "end": end, "strand": True, "read_name": f"r{read}", "read_length": 1000, "read_start": 100 * i, "read_end": 100 * i + 90, "mapping_quality": 60, "align_score": 100, "align_base_qscore": 20, "phase_set": 0, "phase_qual": 0, "haplotype": -1}
     return row | more
