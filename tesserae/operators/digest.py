@@ -35,12 +35,57 @@ ENZYMES = {
 }
 
 
-def _scan(pattern: str, offset: int) -> Callable:
-    found = re.compile(pattern)
+#: Enzymes whose sites read differently on the two strands, or that cut outside of them, as ``SITE(upper/lower)``: bases from the
+#: site's end to the cut of each strand, negative ones inside it; a pair in front counts from the site's start, for those that cut on both sides.
+STRANDED = {
+    "AciI": "CCGC(-3/-1)", "AcuI": "CTGAAG(16/14)", "AlwI": "GGATC(4/5)", "BaeI": "(10/15)ACNNNNGTAYC(12/7)", "BbsI": "GAAGAC(2/6)", "BbvCI": "CCTCAGC(-5/-2)",
+    "BbvI": "GCAGC(8/12)", "BccI": "CCATC(4/5)", "BceAI": "ACGGC(12/14)", "BcgI": "(10/12)CGANNNNNNTGC(12/10)", "BciVI": "GTATCC(6/5)", "BfuAI": "ACCTGC(4/8)",
+    "BmrI": "ACTGGG(5/4)", "BpmI": "CTGGAG(16/14)", "BpuEI": "CTTGAG(16/14)", "BsaI": "GGTCTC(1/5)", "BsaXI": "(9/12)ACNNNNNCTCC(10/7)", "BseRI": "GAGGAG(10/8)",
+    "BsgI": "GTGCAG(16/14)", "BsmAI": "GTCTC(1/5)", "BsmBI": "CGTCTC(1/5)", "BsmFI": "GGGAC(10/14)", "BsmI": "GAATGC(1/-1)", "BspCNI": "CTCAG(9/7)",
+    "BspMI": "ACCTGC(4/8)", "BspQI": "GCTCTTC(1/4)", "BsrBI": "CCGCTC(-3/-3)", "BsrDI": "GCAATG(2/0)", "BsrI": "ACTGG(1/-1)", "BssSI": "CACGAG(-5/-1)",
+    "BtgZI": "GCGATG(10/14)", "BtsCI": "GGATG(2/0)", "BtsI": "GCAGTG(2/0)", "EarI": "CTCTTC(1/4)", "EciI": "GGCGGA(11/9)", "FauI": "CCCGC(4/6)",
+    "FokI": "GGATG(9/13)", "HgaI": "GACGC(5/10)", "HphI": "GGTGA(8/7)", "HpyAV": "CCTTC(6/5)", "MboII": "GAAGA(8/7)", "MlyI": "GAGTC(5/5)",
+    "MmeI": "TCCRAC(20/18)", "MnlI": "CCTC(7/6)", "NmeAIII": "GCCGAG(21/19)", "PleI": "GAGTC(4/5)", "SapI": "GCTCTTC(1/4)", "SfaNI": "GCATC(5/9)",
+}
+_NOTATION = re.compile(r"(?:\((-?\d+)/(-?\d+)\))?([A-Z]+)(?:\((-?\d+)/(-?\d+)\))?")
+
+
+def cuts(enzyme: str) -> list[tuple[str, int]]:
+    """(site on the upper strand, place of the upper strand's cut from the site's first base) for every way in which an enzyme cuts.
+
+    An enzyme is a name, or its notation: ``G^AATTC`` for a site that both strands read alike, ``GGTCTC(1/5)`` and ``(10/12)CGANNNNNNTGC(12/10)``
+    for others. Where the lower strand reads the site, the upper one is cut where the enzyme cuts its other strand, counted backwards.
+    """
+    if enzyme in ENZYMES:
+        return [ENZYMES[enzyme]]
+    text = STRANDED.get(enzyme, enzyme)
+    site, caret, rest = text.partition("^")
+    if caret and re.fullmatch("[A-Z]*", site + rest) and site + rest:
+        if revcomp_text(site + rest) != site + rest:
+            raise ValueError(f"a site that its strands read differently needs the cut of each: {enzyme}")
+        return [(site + rest, len(site))]
+    found = _NOTATION.fullmatch(text)
+    if not found or (found[1] is None and found[4] is None):
+        raise ValueError(f"unknown enzyme: {enzyme}")
+    site, n = found[3], len(found[3])
+    # (upper, lower) cuts from the site's first base, on the strand that reads it
+    pairs = [(-int(found[1]), -int(found[2]))] if found[1] is not None else []
+    pairs += [(n + int(found[4]), n + int(found[5]))] if found[4] is not None else []
+    other = revcomp_text(site)
+    return sorted({(site, upper) for upper, _ in pairs} | {(other, n - lower) for _, lower in pairs})
+
+
+def _scan(ways: list[tuple[str, int]], overlapping: bool) -> Callable:
+    """Ascending ends of a sequence: its own and the cuts inside it, of every (pattern, offset)."""
+    wrap = "(?=({}))" if overlapping else "{}"
+    offsets: dict[str, list[int]] = {}
+    for pattern, offset in ways:
+        offsets.setdefault(pattern, []).append(offset)
+    found = [(re.compile(wrap.format(p)), own) for p, own in offsets.items()]
 
     def ends(seq: str) -> list[int]:
-        n = len(seq)
-        return sorted({0, n, *(p for m in found.finditer(seq.upper()) if 0 < (p := m.start() + offset) < n)}) if n else []
+        n, upper = len(seq), seq.upper()
+        return sorted({0, n, *(p for own, shifts in found for m in own.finditer(upper) for k in shifts if 0 < (p := m.start() + k) < n)}) if n else []
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -52,7 +97,8 @@ def _scan(pattern: str, offset: int) -> Callable:
 def endpoints(seq: Column, cut_on: str | int, digest_type: str = "enzyme") -> Column:
     """Ascending array from 0 to the sequence's length, with the cuts between: an enzyme's cuts, a motif's match starts, or every so many bases.
 
-    A chromosome is one string, scanned once by a compiled expression in an Arrow function; an empty one has no ends.
+    A chromosome is one string, scanned by a compiled expression for each way to read the site in an Arrow function; sites may overlap, cuts beyond
+    the sequence are none, and an empty sequence has no ends.
     """
     if digest_type == "bin":
         width = bases(cut_on)
@@ -60,16 +106,12 @@ def endpoints(seq: Column, cut_on: str | int, digest_type: str = "enzyme") -> Co
         zero = F.lit(0).cast("long")
         return F.when(n >= width, F.concat(F.sequence(zero, n - 1, F.lit(width).cast("long")), F.array(n))).when(n > 0, F.array(zero, n)).otherwise(F.array().cast("array<bigint>"))
     if digest_type == "regex":
-        pattern, offset = site_regex(str(cut_on)), 0
+        scan = _scan([(site_regex(str(cut_on)), 0)], False)
     elif digest_type == "enzyme":
-        if cut_on not in ENZYMES:
-            raise ValueError(f"unknown enzyme: {cut_on}")
-        site, offset = ENZYMES[cut_on]
-        both = {replace_degenerate(site), replace_degenerate(revcomp_text(site))}
-        pattern = f"(?=({'|'.join(sorted(both))}))"  # sites may overlap
+        scan = _scan([(replace_degenerate(site), at) for site, at in cuts(str(cut_on))], True)
     else:
         raise ValueError(f"unknown digest type: {digest_type}")
-    return F.arrow_udf(_scan(pattern, offset), "array<long>")(seq)
+    return F.arrow_udf(scan, "array<long>")(seq)
 
 
 def intervals(ends: Column) -> Column:

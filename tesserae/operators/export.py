@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import hap_key, junction_symbol, midpoint, revcomp, strand_symbol
 from tesserae.operators.contacts import contact_order, no_self_ligation
 from tesserae.operators.intervals import bin_of, bin_offsets
-from tesserae.sources.genome import Indexed, fetch, stored
+from tesserae.operators.ranges import running_total
+from tesserae.sources.genome import Indexed, fetch, scratch, stored
 
 
 def fragment_bins(fragments: DataFrame, chromsizes: DataFrame, resolution: int) -> DataFrame:
@@ -36,6 +40,58 @@ def pixels(contacts: DataFrame, fragment_bin: DataFrame, *, by_haplotype: bool =
     return out.agg(F.sum("n").cast("int").alias("count"))
 
 
+class Matrix(NamedTuple):
+    """A stored matrix: pixels in the order of their bins with their numbers, and where rows and chromosomes begin."""
+
+    pixels: DataFrame
+    first_pixel: DataFrame
+    chroms: DataFrame
+    resolution: int
+
+
+def matrix_index(found: DataFrame, chromsizes: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
+    """((bin_id, first), (chrom_idx, first)): the number of the first pixel of every bin's row, and of the first bin of every chromosome.
+
+    Both are running sums, over counts by row and by chromosome, and have one entry more for the end. Rows without pixels begin where the next one does.
+    """
+    sized = bin_offsets(chromsizes, resolution).withColumn("bins", F.ceil(F.col("size") / resolution).cast("long"))
+    # a row for each chromosome; one more entry stands for the end
+    ends = sized.agg(F.count("*").alias("chrom_idx"), F.coalesce(F.sum("bins"), F.lit(0)).alias("first"))
+    first_bin = sized.select(F.col("chrom_idx").cast("long").alias("chrom_idx"), F.col("first_bin").cast("long").alias("first")).union(ends)
+    every = sized.where("bins > 0").select(F.explode(F.sequence(F.col("first_bin").cast("long"), (F.col("first_bin") + F.col("bins") - 1).cast("long"))).alias("bin_id")).union(ends.select("first"))
+    counts = found.groupBy(F.col("bin1_id").cast("long").alias("bin_id")).agg(F.count("*").alias("n"))
+    rows = every.join(counts, "bin_id", "left").select("bin_id", F.coalesce("n", F.lit(0)).alias("n"))
+    first_pixel = running_total(rows, ["bin_id"], "n", "to").select("bin_id", (F.col("to") - F.col("n")).cast("long").alias("first"))
+    return first_pixel, first_bin
+
+
+def store_matrix(found: DataFrame, chromsizes: DataFrame, resolution: int, path: str | None = None) -> Matrix:
+    """Writes pixels, sorted and numbered, and their index as Parquet tables under ``path``, or in the shared folder."""
+    spark = found.sparkSession
+    path = path or f"{scratch(spark)}/matrix-{uuid.uuid4().hex}"
+    found.sort("bin1_id", "bin2_id").write.parquet(f"{path}/sorted")
+    own = spark.read.parquet(f"{path}/sorted")
+    first_pixel, _ = matrix_index(own, chromsizes, resolution)
+    first_pixel.sort("bin_id").write.parquet(f"{path}/first_pixel")
+    starts = spark.read.parquet(f"{path}/first_pixel")
+    place = F.row_number().over(Window.partitionBy("bin1_id").orderBy("bin2_id")) - 1  # within a row of the matrix
+    numbered = own.withColumn("k", place).join(starts, own["bin1_id"] == starts["bin_id"]).select(*own.columns, (F.col("first") + F.col("k")).alias("pixel"))
+    numbered.sort("pixel").write.parquet(f"{path}/pixels")
+    bin_offsets(chromsizes, resolution).select("chrom", "chrom_idx", "size", "first_bin").write.parquet(f"{path}/chroms")
+    return Matrix(*(spark.read.parquet(f"{path}/{x}") for x in ("pixels", "first_pixel", "chroms")), resolution)
+
+
+def read_range(matrix: Matrix, chrom: str, start: int, end: int) -> DataFrame:
+    """The rows of the matrix for the bins that begin in start..end of a chromosome: one contiguous range of pixels, which the scan is pruned to."""
+    own = matrix.chroms.where(F.col("chrom") == chrom).first()
+    if own is None:
+        raise ValueError(f"no chromosome in the matrix: {chrom}")
+    last = -(-own["size"] // matrix.resolution)
+    low, high = (own["first_bin"] + min(max(0, -(-x // matrix.resolution)), last) for x in (start, end))
+    bounds = {r.bin_id: r["first"] for r in matrix.first_pixel.where(F.col("bin_id").isin(low, high)).collect()}
+    return matrix.pixels.where((F.col("pixel") >= bounds[low]) & (F.col("pixel") < bounds[high]))
+
+
 def salsa_rows(contacts: DataFrame) -> DataFrame:
     """Two BED rows for each contact."""
     c = contact_order(contacts)

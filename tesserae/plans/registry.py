@@ -175,6 +175,31 @@ def J2_fragment_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.fragment_bins(b.fragments(spark, sf_dir), b.chromsizes(spark, sf_dir), RESOLUTION)
 
 
+_INDEX = (
+    _PIXELS.format(key="").replace(" select least(", ", pix as (select least(", 1)
+    + "), nbins as (select cast(sum(cast(ceil(size / " + str(RESOLUTION) + ") as bigint)) as bigint) as n from sizes), rows_ as (select bin1_id, count(*) as n from pix group by bin1_id) "
+    + "select 'bin' as kind, cast(k as bigint) as id, cast(coalesce((select sum(n) from rows_ where bin1_id < k), 0) as bigint) as first from nbins, generate_series(0, n) g(k) "
+    + "union all select 'chrom', chrom_idx, cast(first_bin as bigint) from offsets union all select 'chrom', (select count(*) from sizes), n from nbins"
+)
+
+
+@query(_INDEX)
+def K10_matrix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pixel of every bin and first bin of every chromosome of the flagship's matrix, each with the total at its end."""
+    sizes = b.chromsizes(spark, sf_dir)
+    first_pixel, first_bin = export.matrix_index(flagship_pixels(spark, sf_dir), sizes, RESOLUTION)
+    kind = lambda k, df, i: df.select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), F.col("first").cast("long").alias("first"))
+    return kind("bin", first_pixel, "bin_id").union(kind("chrom", first_bin, "chrom_idx"))
+
+
+@query(_PIXELS.format(key="").replace(" select least(", ", pix as (select least(", 1) + ") select p.* from pix p join offsets o on o.chrom_idx = 1 where bin1_id >= first_bin + 2 and bin1_id < first_bin + least(9, ceil(size / " + str(RESOLUTION) + "))")
+def K10_matrix_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the matrix for a range of the second chromosome, read by the index."""
+    stored = export.store_matrix(flagship_pixels(spark, sf_dir), b.chromsizes(spark, sf_dir), RESOLUTION)
+    chrom = stored.chroms.where("chrom_idx = 1").first()["chrom"]
+    return export.read_range(stored, chrom, 2 * RESOLUTION, 9 * RESOLUTION).drop("pixel")
+
+
 _NUMBERED = _CONTACTS + ", c as (select *, row_number() over (partition by read_name order by a.align_idx, b.align_idx) - 1 as contact_idx from contacts)"
 
 
@@ -293,7 +318,7 @@ _LONG = (
         "select 'contacts', subset, 'count', kind, cast(count as double) from sums", "select 'contacts', subset, 'perc', kind, perc from sums",
         "select 'density', '', 'contacts_per_gb', 'all', 1e9 * c.n / w.b from c, w", "select 'density', '', 'contacts_per_gb', 'concatemer', 1e9 * c.n / o.b from c, o",
         "select 'concatemer_order', '', 'count', bin, cast(count as double) from orders", "select 'concatemer_order', '', 'perc', bin, perc from orders",
-    ]) + ") select section, level_0, level_1, level_2, cast(null as varchar) as label, round(number, 4) as number from t union all select 'user_metadata', '', '', 'sample', 'events', null"
+    ]) + ") select section, level_0, level_1, level_2, cast(null as varchar) as label, number from t union all select 'user_metadata', '', '', 'sample', 'events', null"
 )
 
 
@@ -303,7 +328,7 @@ def A19_long_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     metadata = reads.with_pass_flag(b.reads(spark, sf_dir), min_read_length=500, max_read_length=5000, min_qscore=6, max_qscore=12)
     out = summary.long_summary(summary.concatemers(_contacts(spark, sf_dir)), reads.read_summary(metadata), {"sample": "events"})
     number = F.expr("try_cast(value as double)")
-    return out.select("section", "level_0", "level_1", "level_2", F.when(number.isNull(), F.col("value")).alias("label"), F.round(number, 4).alias("number"))
+    return out.select("section", "level_0", "level_1", "level_2", F.when(number.isNull(), F.col("value")).alias("label"), number.alias("number"))
 
 
 _READS = "with reads as (select cast(doc_id as varchar) as read_id, n_chars as read_length, cast(doc_id % 20 as float) as qscore, n_chars >= 500 and n_chars < 5000 and doc_id % 20 >= 6 and doc_id % 20 < 12 as pass_filter from documents)"
@@ -413,6 +438,21 @@ def X5_bin_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fragments(b.sequences(spark, sf_dir), "0.5k", "bin").select("chrom", "start", "end")
 
 
+def _stranded(site: str, upper: int, lower: int) -> str:
+    """Cuts of ``site(upper/lower)`` in DuckDB: the site on either strand, by every place of a sequence."""
+    n, other = len(site), scalars.revcomp_text(site)
+    here = "select doc_id, {0} as cut, seq from (select doc_id, seq, unnest(range(length(seq) - {1})) as i from s where length(seq) >= {2}) where substr(seq, i + 1, {2}) = '{3}'"
+    both = " union all ".join([here.format(f"i + {n + upper}", n - 1, n, site), here.format(f"i - {lower}", n - 1, n, other)])
+    return f"with s as ({b.SEQ_SQL}), c as (select distinct doc_id, cut from ({both}) where cut > 0 and cut < length(seq)) select cast(doc_id as varchar) as chrom, cast(cut as bigint) as cut from c"
+
+
+@query(_stranded("CCTC", 7, 6))
+def X6_stranded_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of an enzyme that reads its site on either strand and cuts outside of it."""
+    ends = b.sequences(spark, sf_dir).select("chrom", digest.endpoints(F.col("seq"), "MnlI").alias("ends"))
+    return ends.select("chrom", F.explode(F.slice("ends", 2, F.greatest(F.size("ends") - 2, F.lit(0)))).alias("cut"))
+
+
 @query(f"with s as ({b.SEQ_SQL}) select doc_id, translate(reverse(seq), 'ACGT', 'TGCA') as rc from s")
 def X1_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.sequences(spark, sf_dir).select(F.col("chrom_idx").alias("doc_id"), scalars.revcomp(F.col("seq")).alias("rc"))

@@ -45,6 +45,55 @@ def test_digest_errors():
             digest.endpoints(F.col("seq"), *args)
 
 
+COMPLEMENTS = str.maketrans("ACGT", "TGCA")
+CODES = {"N": "ACGT", "R": "AG", "Y": "CT", **{c: c for c in "ACGT"}}
+
+
+def brute_cuts(seq, site, cuts):
+    """Cuts of the upper strand by reading both strands letter by letter. cuts: (upper, lower) from the site's first base."""
+    n, out = len(seq), set()
+    for strand, text in ((0, seq), (1, seq.translate(COMPLEMENTS)[::-1])):
+        for i in range(n - len(site) + 1):
+            if all(text[i + k] in CODES[c] for k, c in enumerate(site)):
+                out |= {i + upper if strand == 0 else n - (i + lower) for upper, lower in cuts}
+    return sorted({0, n, *(p for p in out if 0 < p < n)})
+
+
+@pytest.mark.parametrize(("enzyme", "site", "pairs"), [
+    ("BsaI", "GGTCTC", [(7, 11)]), ("MnlI", "CCTC", [(11, 10)]), ("AciI", "CCGC", [(1, 3)]), ("BcgI", "CGANNNNNNTGC", [(-10, -12), (24, 22)]), ("BaeI", "ACNNNNGTAYC", [(-10, -15), (23, 18)]),
+    ("BsmI", "GAATGC", [(7, 5)]), ("CAR(2/0)", "CAR", [(5, 3)]), ("(1/2)ACT(3/4)", "ACT", [(-1, -2), (6, 7)]), ("G^AATTC", "GAATTC", [(1, 5)]), ("NlaIII", "CATG", [(4, 0)]), ("EcoRI", "GAATTC", [(1, 5)]),
+])
+def test_cuts_of_both_strands(spark, enzyme, site, pairs):
+    rnd = random.Random(enzyme)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(n)) for n in (1, 5, 40, 3000)]
+    fixed = "".join(rnd.choice(CODES[c]) for c in site)
+    seqs += ["".join(rnd.choice([fixed, fixed.translate(COMPLEMENTS)[::-1], "ACGTT", "C"]) for _ in range(80)), fixed, ""]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "i long, seq string").select("i", digest.endpoints(F.col("seq"), enzyme).alias("ends")).collect()
+    assert {r.i: r.ends for r in rows} == {i: brute_cuts(s, site, pairs) if s else [] for i, s in enumerate(seqs)}
+
+
+def test_notation_errors():
+    for text in ("G^AATTA", "GATC", "GATC(1)", "(1/2)", "gatc(1/2)", "^"):
+        with pytest.raises(ValueError, match="enzyme|strand"):
+            digest.cuts(text)
+
+
+def test_matrix_ranges(spark, tmp_path):
+    rnd = random.Random(9)
+    sizes = spark.createDataFrame([("b", 0, 2500), ("a", 1, 0), ("c", 2, 6000)], "chrom string, chrom_idx long, size long")
+    pixels = sorted({(x, y) for _ in range(40) for x, y in [sorted((rnd.randrange(9), rnd.randrange(9)))] if x != 4})
+    found = spark.createDataFrame([(x, y, x + y) for x, y in pixels], "bin1_id long, bin2_id long, count int").repartition(3)
+    stored = export.store_matrix(found, sizes, 1000, str(tmp_path / "m"))
+    assert [(r.bin_id, r["first"]) for r in stored.first_pixel.orderBy("bin_id").collect()] == [(k, sum(x < k for x, _ in pixels)) for k in range(10)]
+    assert sorted((r.chrom_idx, r["first"]) for r in export.matrix_index(found, sizes, 1000)[1].collect()) == [(0, 0), (1, 3), (2, 3), (3, 9)]
+    assert [(r.bin1_id, r.bin2_id) for r in stored.pixels.orderBy("pixel").collect()] == pixels and [r.pixel for r in stored.pixels.orderBy("pixel").collect()] == list(range(len(pixels)))
+    for chrom, first, start, end in (("b", 0, 0, 2500), ("b", 0, 1000, 2000), ("c", 3, 1, 3001), ("c", 3, 0, 10**6), ("a", 3, 0, 5)):
+        low, high = first + -(-start // 1000), first + min(-(-end // 1000), {"b": 3, "a": 0, "c": 6}[chrom])
+        assert sorted((r.bin1_id, r.bin2_id) for r in export.read_range(stored, chrom, start, end).collect()) == [p for p in pixels if low <= p[0] < high]
+    with pytest.raises(ValueError, match="no chromosome"):
+        export.read_range(stored, "x", 0, 1)
+
+
 def test_interval_join_brute_force(spark):
     rnd = random.Random(5)
     make = lambda n: [(i, rnd.choice("xy"), s, s + rnd.randint(1, 90)) for i in range(n) for s in [rnd.randint(0, 500)]]
