@@ -16,7 +16,7 @@ from tesserae.functions.scalars import bases
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, metadata, reads, summary
 from tesserae.operators.intervals import bins
 from tesserae.operators.ranges import numbered
-from tesserae.sources import bam, files, genome
+from tesserae.sources import bam, bgzf, files, genome
 
 
 def session(args: argparse.Namespace) -> SparkSession:
@@ -87,9 +87,13 @@ def prepare_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     passed = flagged.where("pass_filter").withColumn("chunk", F.floor(F.col("record_no") / a.batch_size))
     number = numbered(passed.select("chunk").distinct(), "chunk", "batch").withColumn("batch", F.col("batch") + 1)  # a row for each output file
     batches = passed.join(number, "chunk").select("batch", "record_no", record).repartition("batch").sortWithinPartitions("batch", "record_no").drop("record_no")
-    batches.write.option("compression", "gzip").partitionBy("batch").text(paths["batches"])
+    bgzf.write(batches, paths["batches"], ".fq.gz")
     if not (failed := flagged.where("not pass_filter")).isEmpty():
-        failed.select(record).write.option("compression", "gzip").text(paths["fail"])
+        bgzf.write(failed.sort("record_no").select(record), f"{paths['fail']}.parts", ".fq.gz")
+        if a.parts:
+            metadata.rename(f"{paths['fail']}.parts", paths["fail"])
+        else:
+            metadata.join_parts(f"{paths['fail']}.parts", paths["fail"], ".fq.gz")
     metadata.write_catalog("reads", paths, {"batches": number.count(), **_json(a.user_metadata)})
     flagged.unpersist()
 
@@ -108,7 +112,7 @@ def _staged(spark: SparkSession, path: str, suffix: str = "") -> str:
     own = f"{genome.scratch(spark)}/stdin-{uuid.uuid4().hex}{suffix}"
     store, place = bam.opened(own)
     store.create_dir(os.path.dirname(place), recursive=True)
-    with store.open_output_stream(place) as f:
+    with store.open_output_stream(place, compression=None) as f:
         shutil.copyfileobj(sys.stdin.buffer, f, 1 << 20)
     return own
 
@@ -116,7 +120,7 @@ def _staged(spark: SparkSession, path: str, suffix: str = "") -> str:
 def _to_stdout(path: str) -> None:
     """A finished file to standard output, a block at a time; the file goes."""
     store, own = bam.opened(path)
-    with store.open_input_stream(own) as f:
+    with store.open_input_stream(own, compression=None) as f:
         shutil.copyfileobj(f, sys.stdout.buffer, 1 << 20)
     sys.stdout.buffer.flush()
     store.delete_file(own)

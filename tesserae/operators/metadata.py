@@ -45,12 +45,17 @@ def part_number(name: str) -> tuple[int, str]:
     return (int(found[1]) if found else -1 if name == "part-header" else 1 << 62), name
 
 
-def join_parts(folder: str, path: str) -> None:
-    """Puts the parts of a text folder into one file, the header's first, and removes the folder; bytes are copied as they are."""
+def rename(path: str, to: str) -> None:
+    store, own = _store(path)
+    store.rename(own, _store(to)[1])
+
+
+def join_parts(folder: str, path: str, suffix: str = "") -> None:
+    """Puts the parts of a folder with this ending into one file, the header's first, and removes the folder; bytes are copied as they are."""
     store, own = _store(folder)
     jvm = SparkSession.getActiveSession().sparkContext._jvm
     names = sorted((str(f.getPath().getName()) for f in store.listStatus(own)), key=part_number)
-    parts = [n for n in names if n.startswith("part-")]
+    parts = [n for n in names if n.startswith("part-") and n.endswith(suffix)]
     out = store.create(_store(path)[1], True)
     try:
         for n in parts:

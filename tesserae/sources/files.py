@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.ranges import numbered
-from tesserae.sources import bam
+from tesserae.sources import bam, bgzf
 
 #: Splits of input files whose places are broadcast, counted first; beyond it lines are sorted into their splits.
 SPLITS = 500_000
@@ -58,6 +58,13 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_RECORD)], schema=_RECORD)
 
 
+def _split_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, value): lines in order within each block; block gzip files are split, too."""
+    if packed := bgzf.found([path] if isinstance(path, str) else path):
+        return bgzf.lines(spark, packed)
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
 def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(record_no, read_id, sequence, qual, quals) of FASTQ files of four lines a record, files in the order of their names.
 
@@ -65,7 +72,7 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     One scan counts the lines of every split and keeps its outermost ones; a second puts records together inside the
     splits, without a shuffle. Only records that lie across splits, one for each border, are gathered by their number.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = _split_lines(spark, path)
     edges = lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>").persist()
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = edges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -152,7 +159,7 @@ def fasta_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     cuts pieces inside the splits, so a contig is the work of as many tasks as it has splits and nothing is shuffled. Lines before a file's first
     header are left out; a contig without bases has one empty piece.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = _split_lines(spark, path)
     edges = lines.mapInArrow(lambda x: _contigs(x, False), "file string, block long, h int, name string, at long, seq string").select("file", "block", "h", "name", "at")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
