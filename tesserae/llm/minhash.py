@@ -214,6 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = feats.where("n > 0")
     classes = cut(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
     reps = feats.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+    # repeated rows are one from here on: r and s copies of two documents would be r * s rows where these meet
+    if not feats.groupBy("id", "d1", "d2").count().where("count > 1").isEmpty():
+        reps, docs = cut(reps.dropDuplicates(["id", "d1", "d2"])), cut(docs.dropDuplicates(["id", "text"]))
     sigs = reps.select("id", "sig")
 
     buckets = reps.select("id", "n", F.explode("keys").alias("key"))

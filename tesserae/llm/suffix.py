@@ -108,7 +108,7 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np
             yield at, piece, np.array([0, len(piece)]), s
 
 
-_PACKED = "id long, k int, h long, wide long, pack long"
+_PACKED = "id long, k long, h long, wide long, pack long"
 
 
 def _scan(length: int, gram: int) -> Callable:
@@ -153,9 +153,9 @@ def _contexts(length: int) -> Callable:
                         out[x].append(v)
                     size += len(piece)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("id", pa.int64()), ("k", pa.int32()), ("pack", pa.int64()), ("bytes", pa.binary())]))
+                    yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("id", pa.int64()), ("k", pa.int64()), ("pack", pa.int64()), ("bytes", pa.binary())]))
                     out, size = {x: [] for x in names}, 0
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("id", pa.int64()), ("k", pa.int32()), ("pack", pa.int64()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("h", pa.int64()), ("id", pa.int64()), ("k", pa.int64()), ("pack", pa.int64()), ("bytes", pa.binary())]))
 
     return run
 
@@ -225,7 +225,7 @@ def repeated_windows(h: np.ndarray, pack: np.ndarray, pieces: list[bytes], lengt
     return np.concatenate(rows or [none]), np.concatenate(wins or [none])
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("k", pa.int32()), ("run", pa.int64())])
+_FOUND = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("run", pa.int64())])
 
 
 def _runs(ids: np.ndarray, keys: np.ndarray, pack: np.ndarray, rows: np.ndarray, wins: np.ndarray) -> pa.RecordBatch:
@@ -237,7 +237,7 @@ def _runs(ids: np.ndarray, keys: np.ndarray, pack: np.ndarray, rows: np.ndarray,
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(rows))[: len(first)] - 1
     r = rows[first]
-    return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r].astype(np.int32)), pa.array(((pack[r] >> 24) + wins[first]) << 8 | (wins[last] - wins[first]))], schema=_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[r].astype(np.int64)), pa.array(((pack[r] >> 24) + wins[first]) << 8 | (wins[last] - wins[first]))], schema=_FOUND)
 
 
 def _resolve(length: int, gram: int) -> Callable:
@@ -359,7 +359,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not gram < length <= gram + 255:
         raise ValueError("length must exceed gram by 1 to 255")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*carry or [F.lit(0).alias("none")]).alias("row")).where("id is not null")
-    docs = docs.select("id", F.hash("text").alias("k"), "text", "row")
+    again = cut(docs.groupBy("id", F.unhex(F.sha2("text", 256)).alias("sha")).count().where("count > 1").select("id", "sha"))
+    if not again.isEmpty():
+        # each string of a row that is repeated also starts in its copy: all of it goes, and for other rows one copy says as much as many
+        named, key = docs.withColumn("sha", F.unhex(F.sha2("text", 256))), ["id", "sha"]
+        twice = named.join(again, key, "left_semi").select("id", "text", F.lit(True).alias("again"), "row")
+        once = named.join(again, key, "left_anti").select("id", "text", F.lit(False).alias("again"), "row")
+        kept = once.unionByName(twice.dropDuplicates(["id", "text"]).select("id", "text", "again", "row"))
+        out = _remove_repeats(kept.withColumn("row", F.struct("again", F.col("row").alias("own"))), length, gram, hot, heavy, sample, whole_characters)
+        out = out.where("not row.again").select("id", "n_bytes", "spans", "kept", F.col("row.own").alias("row"))
+        raw = F.encode("text", "UTF-8")
+        n = F.octet_length("text").cast("long")
+        span = F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))
+        whole = twice.select("id", n.alias("n_bytes"), F.when(n >= length, span).otherwise(F.slice(span, 1, 0)).alias("spans"), F.when(n >= length, F.lit(b"")).otherwise(raw).alias("kept"), "row")
+        out = out.unionByName(whole)
+    else:
+        out = _remove_repeats(docs, length, gram, hot, heavy, sample, whole_characters)
+    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
+
+
+def _remove_repeats(docs: DataFrame, length: int, gram: int, hot: int, heavy: int, sample: int, whole_characters: bool) -> DataFrame:
+    """The same for distinct rows (id, text, row)."""
+    docs = docs.select("id", F.xxhash64("text").alias("k"), "text", "row")
     anchors = docs.select("id", "k", "text").mapInArrow(_scan(length, gram), _PACKED)
     # a row stands for itself, or where its lowest bit is set for two or more
     recs = anchors.where("h is not null").withColumn("c", F.expr("1 + (pack & 1)"))
@@ -381,15 +402,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def contexts(h: str, p: str) -> DataFrame:
         # all columns of docs, so that the texts are shuffled once for this and for the last join
         open_ = docs.join(marks.where(F.size(h) > 0).select("id", "k", h, p), ["id", "k"])
-        return open_.select("id", "k", "text", h, p, "row").mapInArrow(_contexts(length), "h long, id long, k int, pack long, bytes binary")
+        return open_.select("id", "k", "text", h, p, "row").mapInArrow(_contexts(length), "h long, id long, k long, pack long, bytes binary")
 
-    found = contexts("h", "p").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), "id long, k int, run long")
+    found = contexts("h", "p").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), "id long, k long, run long")
     if not marks.where(F.size("hot_h") > 0).isEmpty():
-        wins = cut(contexts("hot_h", "hot_p").mapInArrow(_window_hashes(length), "h long, id long, k int, run long, need boolean, w long"))
+        wins = cut(contexts("hot_h", "hot_p").mapInArrow(_window_hashes(length), "h long, id long, k long, run long, need boolean, w long"))
         twice = wins.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
         found = found.unionByName(wins.where("need").join(twice, ["h", "w"], "left_semi").select("id", "k", "run"))
     found = found.groupBy("id", "k").agg(F.collect_list("run").alias("found"))
     whole = docs.join(marks.select("id", "k", "cov"), ["id", "k"], "left").join(found, ["id", "k"], "left").select("id", "text", "cov", "found", "row")
     kind = docs.schema["row"].dataType.simpleString()
-    out = whole.mapInArrow(_apply(length, whole_characters), f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {kind}")
-    return (out if carry else out.drop("row")).withColumnRenamed("id", id_col)
+    return whole.mapInArrow(_apply(length, whole_characters), f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, row {kind}")

@@ -58,7 +58,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("nav header footer aside form button dialog menu title head".split())
 MAIN = frozenset("article main".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption figcaption address summary".split())
-_CUE = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|ads?|advert(?:isement|s)?|adverts?|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|form|search|login|pagination|skip)(?=$|[\s_-])", re.I)
+#: Words of class names and ids that tell boilerplate, and words that say where or what shape a thing is only.
+_CUES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertisements sponsor sponsored promo banner cookie cookies consent notice popup modal newsletter subscribe share sharing social related comment comments disqus replies reply form search login pagination skip".split())
+_NEUTRAL = frozenset("site page main global top bottom left right primary secondary upper lower inner outer sub wide small big mini list lists item items entry box boxes wrap wrapper container content contents body area block blocks section widget widgets slot unit bar row col column group panel inline sticky fixed floating link links button buttons icon icons text title thread tree author meta count post posts article articles story user reader readers guest signup bottom modal overlay wide js id".split())
 _MAIN_CUE = re.compile(r"(?:^|[\s_-])(?:article(?:[_-]?body)?|post[_-]?(?:body|content)|entry[_-]?content|main[_-]?content|story[_-]?body)(?=$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -66,15 +68,27 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^
 _WHITE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
 
+def _is_boilerplate(names: str) -> bool:
+    """Whether a class name or id tells boilerplate: all its parts are cues or neutral, and one is a cue.
+
+    ``site-header``, ``comment-list`` and ``comment-12`` do, ``promo-code-guide``, ``job-search`` and ``with-sidebar`` speak of something else.
+    """
+    for name in names.split():
+        parts = [x for x in re.split(r"[_\W\d]+", name.lower()) if x]
+        if any(x in _CUES for x in parts) and all(x in _CUES or x in _NEUTRAL for x in parts):
+            return True
+    return False
+
+
 def _mark(tag: str, attrs: str) -> str:
-    """A tag with what tells its purpose: '-' for boilerplate, '+' for main content."""
+    """A tag with what tells its purpose: '-' for boilerplate, '+' for main content. Attributes count before the tag: comments and adverts may be articles."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)} if attrs and "=" in attrs or "hidden" in attrs else {}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    if tag in MAIN or found.get("role", "").lower() == "main" or _MAIN_CUE.search(names):
+    names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
+    if role == "main" or (_MAIN_CUE.search(names) and role not in _ROLES):
         return f"{tag}+"
-    if tag in DROPPED or found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (tag not in ("body", "html") and _CUE.search(names)):
+    if tag not in ("body", "html") and (role in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" or _is_boilerplate(names)):
         return f"{tag}-"
-    return tag
+    return f"{tag}+" if tag in MAIN else f"{tag}-" if tag in DROPPED else tag
 
 
 Block = tuple[tuple[str, ...], str, int, tuple[int, ...]]
