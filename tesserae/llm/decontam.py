@@ -10,8 +10,8 @@ Items and documents enter in several readings: as written, in lower case, and wi
 name, also where it begins a sentence; items also with their first word alone taken for a name (it may stand inside a
 sentence of the document). So a passage in capitals, where every word looks like a name, meets the lower case of its
 item. A place found in several readings counts once. Windows with more slots than words would match tables of numbers;
-they go by their literal values in lower case. Items with fewer tokens than a window are matched as a whole, if they have
-at least ``SHORTEST``.
+they go by their literal values in lower case. Items with fewer tokens than a window are matched as a whole; those with fewer than
+``LITERAL`` by their literal values, as so few words say little once a slot is among them. In scripts without blanks each letter is a token.
 
 Each window of an item has two anchors, its longest tokens that must be literally equal (ties to the first). A document's
 tokens are hashed into windows only where an item's anchors stand at the right distance, in all readings; everywhere else no
@@ -21,7 +21,7 @@ What is found is joined to all items that have the window, so a document has one
 literals of the plan up to ``LITERALS``, anchors are broadcast up to ``BROADCAST_ROWS`` rows (both counted first); beyond that all places
 are looked up by a shuffled join.
 
-Defined cases: null or empty texts and items match nothing; rows with null ids are left out on either side; a repeated
+Defined cases: null or empty texts and items match nothing, nor does an item of one token, which is a word and no passage; rows with null ids are left out on either side; a repeated
 row adds to its document's counts; an empty table on either side gives an empty result; other columns do not matter.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut
 
-WINDOW, SHORTEST = 8, 5
+WINDOW, SHORTEST, LITERAL = 8, 2, 5
 BROADCAST_ROWS, LITERALS = 1_000_000, 100_000
 #: Units of measurement that are slots after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw v a c f k usd eur gbp dollars euros cents percent meters metres miles feet inches grams kilograms pounds liters litres seconds minutes hours days weeks months years degrees".split()
@@ -41,7 +41,10 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs
 _N, _U, _S = "\ue000", "\ue001", "\ue002"
 _NAME = r"\p{Lu}(?<=[\p{L}\p{N},]\s.)"
 _START = r"(?<![\p{L}\p{M}" + _N + r"])\p{Lu}"
-_TOKEN = r"[\p{L}\p{M}" + _N + _S + r"]++|[0-9]++(?:[.,][0-9]++)*+"
+#: Scripts that are written without blanks.
+SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+_DENSE = "".join(r"\p{Is%s}" % x for x in SCRIPTS)
+_TOKEN = rf"[{_DENSE}][\p{{M}}]*+|(?:[^\P{{L}}{_DENSE}]|[^\P{{M}}{_DENSE}]|[{_N}{_S}])++|[0-9]++(?:[.,][0-9]++)*+"
 
 
 def tokens(text: Column) -> Column:
@@ -87,6 +90,9 @@ def _with_keys(df: DataFrame, size: int) -> DataFrame:
     Template hashes double: those of 2, 4, .. tokens come from two of half the length, each in one pass.
     """
     wide, n = 1, F.greatest(F.size("tok") - size + 1, F.lit(0))
+    if size < LITERAL:
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return df.withColumn("keys", F.transform(at, lambda i: F.xxhash64(F.lit("="), _without(F.slice("tok", i, size), _N + _U))))
 
     def joined(step: int) -> Column:
         return F.zip_with("keys", F.slice("keys", step + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
@@ -135,7 +141,7 @@ def _anchors(windows: DataFrame) -> DataFrame:
     """(size, word, off, word2, off2): the two longest tokens of every window that any match has at these places."""
     slots = F.size(F.filter("own", _is_slot))
     ranked = F.transform("own", lambda x, i: F.struct((-F.length(_bare(x))).alias("n"), i.alias("off"), _bare(x).alias("word"), _is_slot(x).alias("slot")))
-    literal = F.when(slots * 2 <= F.col("size"), F.filter(ranked, lambda r: ~r.slot)).otherwise(ranked)
+    literal = F.when((slots * 2 <= F.col("size")) & (F.col("size") >= LITERAL), F.filter(ranked, lambda r: ~r.slot)).otherwise(ranked)
     best = windows.select("size", F.array_sort(literal).alias("r")).select("size", F.get("r", F.lit(0)).alias("a"), F.get("r", F.lit(1)).alias("b"))
     return best.select("size", "a.word", "a.off", F.col("b.word").alias("word2"), F.col("b.off").alias("off2")).distinct()
 

@@ -131,19 +131,28 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id"""
 
-_MARKED = "regexp_replace(regexp_replace({0}, '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g'), '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g')"
-_TOKENS = "regexp_extract_all(lower(" + _MARKED + "), '[\\p{{L}}\\p{{M}}\ue000]+|[0-9]+(?:[.,][0-9]+)*')"
+_N, _U, _S = "\ue000", "\ue001", "\ue002"
+_NAMED = "regexp_replace(regexp_replace({0}, '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g'), '([\\p{{L}}\\p{{N}},]\\s)(\\p{{Lu}})', '\\1\ue000\\2', 'g')"
+_MARKED = "regexp_replace(" + _NAMED + ", '(^|[^\\p{{L}}\\p{{M}}\ue000])(\\p{{Lu}})', '\\1\ue002\\2', 'g')"
+_DENSE = "".join(f"\\p{{{{{x}}}}}" for x in decontam.SCRIPTS)
+_TOKENS = "regexp_extract_all(lower(" + _MARKED + "), '[" + _DENSE + "]\\p{{M}}*|(?:[^\\P{{L}}" + _DENSE + "]|[^\\P{{M}}" + _DENSE + "]|[\ue000\ue002])+|[0-9]+(?:[.,][0-9]+)*')"
+_READ = "list_transform(tok, lambda x: replace(x, '\ue002', '')), list_transform(tok, lambda x: translate(x, '\ue000\ue002', '')), list_transform(tok, lambda x: replace(x, '\ue002', '\ue000'))"
 _UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
 _WINDOWS = """{0}_m as (select id, list_transform(tok, lambda x, i: case when x in ({1}) and i > 1 and left(tok[i - 1], 1) between '0' and '9' then '\ue001' || x else x end) as tok from {0}_t),
 {0}_w as (select id, size, i - 1 as place, tok[i:i + size - 1] as win from (select id, tok, size, unnest(range(1, len(tok) - size + 2)) as i from {0}_m, {2})),
-{0}_k as (select id, size, place, list_transform(win, lambda x: case when left(x, 1) in ('\ue000', '\ue001') then left(x, 1) when left(x, 1) between '0' and '9' then '#' else x end) as template,
-  list_filter(win, lambda x: left(x, 1) in ('\ue000', '\ue001') or left(x, 1) between '0' and '9') as slots, list_transform(slots, lambda s: list_position(win, s)) as pattern from {0}_w)"""
+{0}_s as (select *, list_filter(win, lambda x: left(x, 1) in ('\ue000', '\ue001') or left(x, 1) between '0' and '9') as slots from {0}_w),
+{0}_k as (select distinct id, size, place, case when size < {3} or 2 * len(slots) > size then list_transform(win, lambda x: translate(x, '\ue000\ue001', ''))
+  else list_transform(win, lambda x: case when left(x, 1) in ('\ue000', '\ue001') then left(x, 1) when left(x, 1) between '0' and '9' then '#' else x end) end as template,
+  case when size < {3} or 2 * len(slots) > size then [-1] else list_transform(slots, lambda s: list_position(win, s)) end as pattern from {0}_s)"""
 
 ORACLES["op3_decontaminate"] = (
-    "with i_t as (select item_id as id, unnest(["
-    + ", ".join([_TOKENS.format("text"), _TOKENS.format("'a ' || text") + "[2:]", _TOKENS.format("lower(text)")])
-    + f"]) as tok from benchmark where item_id is not null and text is not null),\n{_WINDOWS.format('i', _UNITS, '(select unnest(range(5, 9)) as size) z where size = least(len(tok), 8)')},\n"
-    + "keys as (select size, template, pattern, min(id) as item_id from i_k where 2 * len(slots) <= size group by all), sizes as (select distinct size from keys),\n"
-    + f"d_t as (select doc_id as id, {_TOKENS.format('text')} as tok from documents where doc_id is not null and text is not null),\n{_WINDOWS.format('d', _UNITS, 'sizes')}\n"
-    + "select id as doc_id, item_id, count(*) as n_windows, min(place) as first_token, max(place + size) as last_token from d_k join keys using (size, template, pattern) group by id, item_id"
+    "with i_r as (select item_id as id, "
+    + ", ".join([_TOKENS.format("text") + " as tok", "list_transform(" + _TOKENS.format("'a ' || text") + "[2:], lambda x: replace(x, '\ue002', '')) as first_"])
+    + f" from benchmark where item_id is not null and text is not null),\ni_t as (select distinct id, unnest([{_READ}, first_]) as tok from i_r),\n"
+    + _WINDOWS.format("i", _UNITS, f"(select unnest(range({decontam.SHORTEST}, 9)) as size) z where size = least(len(tok), 8)", decontam.LITERAL)
+    + ",\nkeys as (select distinct size, template, pattern, id as item_id from i_k), sizes as (select distinct size from keys),\n"
+    + f"d_r as (select doc_id as id, {_TOKENS.format('text')} as tok from documents where doc_id is not null and text is not null), d_t as (select distinct id, unnest([{_READ}]) as tok from d_r),\n"
+    + _WINDOWS.format("d", _UNITS, "sizes", decontam.LITERAL)
+    + ",\nfound as (select distinct d_k.id, item_id, place, size from d_k join keys using (size, template, pattern))\n"
+    + "select id as doc_id, item_id, count(*) as n_windows, min(place) as first_token, max(place + size) as last_token from found group by id, item_id"
 )

@@ -155,12 +155,25 @@ def test_contaminated(spark):
     items = spark.createDataFrame([(i, t, 0) for i, t in ITEMS], "item_id long, text string, doc_id long")
     found = {(r.doc_id, r.item_id): r.n_windows for r in decontam.contaminated(docs_of(spark, rows + rows[:1]), items).collect()}
     # the window of eight tokens in row 4 that ends before Erin is consistent, so the row is found by it
-    assert set(found) - {(4, 3)} == {(1, 2), (2, 1), (3, 3), (7, 5)}
+    assert set(found) - {(4, 3)} == {(1, 2), (2, 1), (3, 3), (7, 5), (8, 4)}
     assert found[1, 2] == 2 * (len(re.findall(r"\w+", ITEMS[1][1])) - 7)
     plan = decontam.contaminated(docs_of(spark, rows), items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    """Items of two to four tokens go by their literal values; of scripts without blanks each letter is a token."""
+    items = spark.createDataFrame([(1, "capital of France? Paris"), (2, "日本の首都はどこですか"), (3, "cost 12 km"), (4, "word"), (5, "東京"), (6, "กรุงเทพมหานครอยู่ที่ไหน")], "item_id long, text string")
+    rows = [(1, "The capital of France? Paris."), (2, "THE CAPITAL OF FRANCE? PARIS."), (3, "the capital of Spain? Madrid"), (4, "問い:日本の首都はどこですか。東京です"), (5, "日本の首都はどこにあるか"), (6, "Cost 12 km"), (7, "cost 13 km"), (8, "a word"), (9, "abc東京xyz"), (10, "xกรุงเทพมหานครอยู่ที่ไหนx")]
+    found = {(r.doc_id, r.item_id): (r.n_windows, r.first_token, r.last_token) for r in decontam.contaminated(docs_of(spark, rows), items).collect()}
+    assert {k: v for k, v in found.items() if k[1] not in (2, 6)} == {(1, 1): (1, 1, 5), (2, 1): (1, 1, 5), (4, 5): (1, 13, 15), (6, 3): (1, 0, 3), (9, 5): (1, 1, 3)}
+    # the first eight letters of row 5 are a window of the item
+    assert {k for k in found if k[1] in (2, 6)} == {(4, 2), (5, 2), (10, 6)} and found[4, 2] == (len(ITEM_JA) - 7, 2, 2 + len(ITEM_JA))
+
+
+ITEM_JA = "日本の首都はどこですか"
+
+
 def test_slots_must_be_consistent(spark):
     items = spark.createDataFrame([(1, "add 5 and 5 then take 7 away")], "item_id long, text string")
     rows = [(1, "add 3 and 3 then take 9 away"), (2, "add 3 and 4 then take 9 away"), (3, "add 3 and 3 then take 3 away")]
