@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import scalars
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, intervals, reads, summary
 from tesserae.plans import bindings as b
+from tesserae.sources import genome
 from tesserae.streaming import reads as streams
+from tesserae.streaming.fastq import fastq_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -492,3 +496,20 @@ def T4_streaming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     own = stream.select(F.col("n_chars").alias("read_length"), (F.col("doc_id") % 20).cast("float").alias("qscore"))
     return streams.to_memory(streams.running_totals(own, min_read_length=500, max_read_length=5000, min_qscore=6, max_qscore=12), f"totals_{abs(hash(sf_dir))}")
+
+
+@query(
+    f"with s as ({b.SEQ_SQL}), r as (select length(seq) as n, 5 + doc_id % 20 as q from s where length(seq) > 0), f as (select *, n >= 500 and n < 5000 and q >= 9.5 and q < 17.5 as ok from r) "
+    "select count(*) as reads, cast(sum(n) as bigint) as bases, count_if(ok) as passing, cast(sum(case when ok then n else 0 end) as bigint) as passing_bases from f"
+)
+def T1_fastq_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences that arrive as FASTQ files in three steps while a stream reads them; the totals are its state."""
+    folder = f"{genome.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    own = b.sequences(spark, sf_dir).where(F.length("seq") > 0)
+    quality = F.repeat(F.expr("char(38 + chrom_idx % 20)"), F.length("seq").cast("int"))
+    record = F.concat(F.lit("@"), "chrom", F.lit(" x\n"), "seq", F.lit("\n+\n"), quality)
+    rows = own.select(record.alias("value"), F.pmod(F.hash("chrom"), F.lit(3)).alias("step"))  # together all of them
+    arrivals = [lambda k=k: rows.where(F.col("step") == k).select("value").write.mode("append").text(f"{folder}/in") for k in range(3)]
+    flagged = reads.read_metadata(fastq_stream(spark, f"{folder}/in"), min_read_length=500, max_read_length=5000, min_qscore=9.5, max_qscore=17.5)
+    totals = streams.running_totals(flagged.select("read_length", "qscore"), min_read_length=500, max_read_length=5000, min_qscore=9.5, max_qscore=17.5)
+    return streams.in_batches(totals, f"fastq_{uuid.uuid4().hex}", f"{folder}/state", arrivals)

@@ -6,7 +6,7 @@ a batch that is repeated after a failure overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,18 @@ def parquet_stream(spark: SparkSession, folder: str, schema: T.StructType, *, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def in_batches(stream: DataFrame, name: str, checkpoint: str, arrivals: Iterable[Callable[[], object]], mode: str = "complete") -> DataFrame:
+    """Runs a stream while data arrive, a batch or more after each arrival, and gives the table that its sink has then."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).start()
+    try:
+        for arrive in arrivals:
+            arrive()
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return stream.sparkSession.table(name)
+
+
 def to_memory(stream: DataFrame, name: str, mode: str = "complete", then: Callable | None = None) -> DataFrame:
     """Runs a stream to its end into an in-memory table, for totals and tests."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
