@@ -156,3 +156,73 @@ ORACLES["op3_decontaminate"] = (
     + ",\nfound as (select distinct d_k.id, item_id, place, size from d_k join keys using (size, template, pattern))\n"
     + "select id as doc_id, item_id, count(*) as n_windows, min(place) as first_token, max(place + size) as last_token from found group by id, item_id"
 )
+
+#: Letters of either case, without the further letters that folding case brings in.
+_EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_ASSIGN = "(" + "|".join(map(_EITHER, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SPANS = """select doc_id, {0} as place, '{1}' as kind, cast(upto - length(m) as bigint) as a, cast(upto as bigint) as b, length(g) as size from (select doc_id, m, g,
+  sum(length(p) + length(m)) over (partition by doc_id order by k) as upto from (select doc_id, unnest(m) as m, unnest(g) as g, unnest(p[1:len(m)]) as p, generate_subscripts(m, 1) as k from
+  (select doc_id, regexp_extract_all(text, '{2}') as m, regexp_extract_all(text, '{2}', {3}) as g, string_split_regex(text, '{2}') as p from d) where len(m) > 0)) where size >= {4}"""
+_COUNT_OF = "count(*) filter (kind = '{0}') as n_{0}"
+
+ORACLES["op12_secret_scan"] = (
+    "with d as (select doc_id, coalesce(text, '') as text from documents),\nspans as ("
+    + " union all ".join(_SPANS.format(i, r.kind, _ASSIGN if r.kind == "assign" else r.pattern, r.group, r.least) for i, r in enumerate(secrets.RULES))
+    + "),\nf as (select doc_id, "
+    + ", ".join(_COUNT_OF.format(k) for k in ("assign", "access", "hex"))
+    + ", string_agg(kind || ':' || a || ':' || b, ',' order by a, place) filter (place < 3) as base, string_agg(kind || ':' || a || ':' || b, ',' order by a, place) as spans from spans group by doc_id)\n"
+    + "select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join f on d.doc_id = f.doc_id"
+)
+
+#: CRC-32 by the rule of its table; letters up to U+00FF are one or two bytes.
+_CRC = """crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select cast(unnest(range(256)) as bigint) as i))"""
+_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: case when ord(x) < 128 then [ord(x)] else [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] end))"
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::bigint, " + _BYTES + "), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)"
+
+ORACLES["op11_spelling_variants"] = (
+    f"with recursive {_CRC},\nr as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents),\n"
+    + "g as (select doc_id, w, count(*) as c from r where length(w) >= 6 group by all),\n"
+    + f"h as (select w, c, cast({_CRC_OF.format('doc_id || chr(58) || w')} as bigint) as h from g, crc where doc_id is not null union all select w, c, 1 from g where doc_id is null),\n"
+    + "v as (select case when h % 199 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end as w, c from h),\n"
+    + "words as (select w, cast(sum(c) as bigint) as n from v where length(w) >= 6 group by w having sum(c) >= 5),\n"
+    + "gone as (select w, n, i, left(w, i) || substr(w, i + 2) as d from (select w, n, unnest(range(length(w))) as i from words)),\n"
+    + "pairs as (select a.w as a, b.w as b from gone a join gone b on a.d = b.d and a.i = b.i and a.w <> b.w union select w, d from gone join words using_ on using_.w = d union select d, gone.w from gone join words using_ on using_.w = d),\n".replace("select w, d from gone join", "select gone.w, d from gone join")
+    + "near as (select a, b, x.n as n, y.n as m, row_number() over (partition by a order by y.n desc, b) as k, count(*) over (partition by a) as n_near from pairs join words x on x.w = a join words y on y.w = b),\n"
+    + "form as (select a, b, m, n_near, m >= 5 * n as has from near where k = 1),\n"
+    + "walk as (select w, w as root, 0 as step from words union all select walk.w, form.b, step + 1 from walk join form on form.a = walk.root where has),\n"
+    + "ends as (select w, arg_max(root, step) as root from walk group by w)\n"
+    + "select words.w as word, n, coalesce(n_near, 0) as n_near, case when has then b end as form, case when has then m end as form_n, root from words left join form on form.a = words.w join ends on ends.w = words.w"
+)
+
+#: The cheapest edits from the back: for each state (nothing yet, after s, u, a) a struct of cost, initials and lines, of which the least is taken.
+_WAY = "{{'c': {0}.c + {1}, 'a': '{2}' || {0}.a, 'r': {3} || {0}.r}}"
+
+
+def _ways(q: str) -> str:
+    """What may be done with a row in state ``q``; an insert comes right before the row that is retained after it."""
+    up = {"n": "u", "s": "u", "u": "a", "a": "u"}
+    role = {"u": "user", "a": "assistant"}
+
+    def retained(state: str, cost: int, initials: str, line: str) -> list[str]:
+        next_ = up[state]
+        own = [("u" if state in "ns" else next_, next_)] + ([("s", "s")] if state == "n" else [])
+        keep = [f"case when i.initial = '{x}' then {_WAY.format('n.' + y, f'{cost} + open', initials + 'K', line + 'i.role || chr(58) || i.text || chr(10)')} end" for x, y in own]
+        return [*keep, _WAY.format("n." + next_, f"{cost + 2} + open", initials + "R", line + f"'{role[next_]}:' || i.text || chr(10)")]
+
+    free = [*retained(q, 0, "", ""), *retained(up[q], 2, "I", f"'{role[up[q]]}:' || chr(10) || ")]
+    return "list_min(list_filter([" + _WAY.format("n." + q, 3, "D", "''") + ", " + ", ".join(f"case when not gone then {w} end" for w in free) + "], lambda x: x is not null))"
+
+
+ORACLES["op13_structure_repair"] = (
+    f"with recursive {_CRC},\nk as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC_OF.format("coalesce(conv_id::varchar, ' ') || chr(58) || coalesce(turn::varchar, ' ')")} % 20 as k from conversations, crc),\n"
+    + "d as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when k = 3 then 2 else 1 end)) as copy from k where k > 0),\n"
+    + "o as (select conv_id, turn, role, text, left(role, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as i, not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) not in ('.', '!', '?') as unended from d),\n"
+    + "p as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as later, coalesce(lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au'), false) as bad, count(*) over (partition by conv_id) as total from o),\n"
+    + "f as (select *, blank or later as gone, cast(unended as bigint) as open from p),\n"
+    + "w as (select conv_id, total + 1 as i, {'c': 0::bigint, 'a': '', 'r': ''} as n, {'c': 4::bigint, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)} as s, {'c': 2::bigint, 'a': 'I', 'r': 'assistant:' || chr(10)} as u, {'c': 0::bigint, 'a': '', 'r': ''} as a from f where i = 1\n"
+    + "  union all select n.conv_id, i.i, " + ", ".join(_ways(q) for q in "nsua") + " from w n join f i on i.conv_id is not distinct from n.conv_id and i.i = n.i - 1),\n"
+    + "c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank, count_if(not blank and later) as duplicate, count_if(not gone and unended) as truncated, count_if(bad) as illegal from f group by conv_id)\n"
+    + "select x.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, " + ", ".join(f"cast(coalesce({y}, 0) as bigint) as {y}" for y in ("blank", "duplicate", "truncated", "illegal")) + ",\n"
+    + "  coalesce(w.n.c, 0) as cost, coalesce(w.n.a, '') as audit, sha256(coalesce(w.n.r[:-2], '')) as repaired_sha256\n"
+    + "from (select distinct conv_id from conversations) x left join c on c.conv_id is not distinct from x.conv_id left join w on w.conv_id is not distinct from x.conv_id and w.i = 1"
+)
