@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tesserae.plans import registry
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, (bool, str)):
         return value
