@@ -19,7 +19,7 @@ Defined cases: vectors that are null or empty or hold null or non-finite compone
 null id; vectors whose length differs from the query's are no candidates of it; a query's own id is no candidate of it;
 a repeated row is one candidate, an id with several vectors counts with its best, as a query with the smallest by its bytes; ties go to the
 smaller id; an empty table gives an empty result; other columns do not matter. Components that are too large for exact sums of
-doubles are multiplied as whole numbers of any size, and scores beyond 64 bits are an error.
+doubles are multiplied as whole numbers of any size; components after scaling, and scores, beyond 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -151,7 +151,10 @@ def _matrix(blobs: list[bytes]) -> np.ndarray:
 
 
 def _packed(v: np.ndarray) -> bytes:
-    width = 4 if np.abs(v).max() < 2**31 else 8
+    most = np.abs(v).max()
+    if most >= 2.0**63:
+        raise OverflowError(f"a component of {most:g} after scaling does not fit 64 bits")
+    width = 4 if most < 2**31 else 8
     return bytes([width]) + v.astype(f"<i{width}").tobytes()
 
 

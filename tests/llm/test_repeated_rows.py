@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import minhash, suffix, wrapper
+from tesserae.llm import minhash, suffix, topk, wrapper
 from tests.llm.test_dedup import removed
 
 
@@ -66,3 +66,11 @@ def test_comments_and_adverts_may_be_articles(spark, body):
 def test_names_that_only_hold_a_cue():
     assert not any(wrapper._is_boilerplate(x) for x in ("promo-code-guide", "job-search", "with-sidebar", "formula", "shareholder-news", "", "post"))
     assert all(wrapper._is_boilerplate(x) for x in ("site-header", "comment-list", "comment-12", "ad", "x cookie-notice", "social_share", "main-nav", "page-footer", "related-posts"))
+
+
+def test_components_beyond_64_bits_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1e17, 0.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(rows, F.col("vec_id") == 2).collect()
+    kept = spark.createDataFrame([(1, [1e13, 0.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(kept, F.col("vec_id") == 2).first().score == 256 * 256 * 10**13
