@@ -6,6 +6,7 @@ file system that Spark reaches. Records of several lines are put together by byt
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.ranges import numbered
 from tesserae.sources import bam, bgzf
+from tesserae.sources.genome import scratch
 
 #: Splits of input files whose places are broadcast, counted first; beyond it lines are sorted into their splits.
 SPLITS = 500_000
@@ -73,7 +75,9 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits, without a shuffle. Only records that lie across splits, one for each border, are gathered by their number.
     """
     lines = _split_lines(spark, path)
-    edges = lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>").persist()
+    kept = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"  # a row for each split, read several times
+    lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>").write.parquet(kept)
+    edges = spark.read.parquet(kept)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = edges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     whole = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
