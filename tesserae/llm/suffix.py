@@ -406,7 +406,8 @@ def _remove_repeats(docs: DataFrame, length: int, gram: int, hot: int, heavy: in
 
     found = contexts("h", "p").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(length, gram), "id long, k long, run long")
     if not marks.where(F.size("hot_h") > 0).isEmpty():
-        wins = cut(contexts("hot_h", "hot_p").mapInArrow(_window_hashes(length), "h long, id long, k long, run long, need boolean, w long"))
+        # not cut: within one query Spark shuffles the texts once for all that reads them, while each further job would do so again
+        wins = contexts("hot_h", "hot_p").mapInArrow(_window_hashes(length), "h long, id long, k long, run long, need boolean, w long")
         twice = wins.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1")
         found = found.unionByName(wins.where("need").join(twice, ["h", "w"], "left_semi").select("id", "k", "run"))
     found = found.groupBy("id", "k").agg(F.collect_list("run").alias("found"))
