@@ -16,8 +16,10 @@ def _level(start: str, end: str, width: int) -> Column:
     return sum(((size > width * GROWTH**k).cast("int") for k in range(LEVELS - 1)), F.lit(0))
 
 
-def _levels(rows: DataFrame) -> list[int]:
-    return sorted(r.level for r in rows.select("level").distinct().collect())  # at most LEVELS
+def _levels(left: DataFrame, right: DataFrame) -> tuple[list[int], list[int]]:
+    """The levels of both sides, in one job; at most LEVELS for each."""
+    both = left.select("level", F.lit(0).alias("side")).union(right.select("level", F.lit(1).alias("side"))).distinct().collect()
+    return tuple(sorted(r.level for r in both if r.side == k) for k in (0, 1))
 
 
 def _cells(rows: DataFrame, start: str, end: str, at: Column, width: int) -> DataFrame:
@@ -38,7 +40,7 @@ def interval_join(a: DataFrame, b: DataFrame, *, width: int) -> DataFrame:
     """
     left = a.where("start < end").withColumn("level", _level("start", "end", width))
     right = b.where("b_start < b_end").withColumn("level", _level("b_start", "b_end", width))
-    of_left, of_right = _levels(left), _levels(right)
+    of_left, of_right = _levels(left, right)
     own = F.array(F.col("level"))
     above = lambda levels: F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > F.col("level"))
     higher = lambda rows, others: rows.where(F.col("level") > min(others))
