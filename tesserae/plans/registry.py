@@ -513,3 +513,6 @@ def T1_fastq_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = reads.read_metadata(fastq_stream(spark, f"{folder}/in"), min_read_length=500, max_read_length=5000, min_qscore=9.5, max_qscore=17.5)
     totals = streams.running_totals(flagged.select("read_length", "qscore"), min_read_length=500, max_read_length=5000, min_qscore=9.5, max_qscore=17.5)
     return streams.in_batches(totals, f"fastq_{uuid.uuid4().hex}", f"{folder}/state", arrivals)
+
+
+from tesserae.plans import storage  # noqa: E402, F401  it registers its queries here
