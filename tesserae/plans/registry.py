@@ -289,13 +289,13 @@ def A20_read_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMS = " union all ".join(
-    f"select '{s}' as subset, '{k}' as kind, coalesce(sum({s}_{k}), 0)::bigint as count, round(100.0::double * sum({s}_{k}) / sum({s}_contacts), 6) as perc from concat_"
+    f"select '{s}' as subset, '{k}' as kind, coalesce(sum({s}_{k}), 0)::bigint as count, 100.0::double * sum({s}_{k}) / sum({s}_contacts) as perc from concat_"
     for s in ("total", "direct", "indirect")
     for k in ("contacts", "cis_contacts", "trans_contacts", "short_range_cis_contacts", "long_range_cis_contacts")
 )
 
 
-@query(_CONCAT + " " + _SUMS)
+@query(_CONCAT + f" select subset, kind, count, round(perc, 6) as perc from ({_SUMS}) s")
 def A17_contact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.contact_sums(summary.concatemers(_contacts(spark, sf_dir))).withColumn("perc", F.round("perc", 6))
 
