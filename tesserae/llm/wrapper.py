@@ -1,9 +1,8 @@
 """Main text of web pages by inferred wrappers.
 
 Pages of a host come from few templates. A page's token stream, with texts as slots, is first folded: a run of equal
-neighbouring elements becomes one repeated group. A page with a main element says itself what its article is: the slots under
-that element. The distinct folded streams of a host's other pages are gathered into templates: a stream joins the template
-whose first stream shares most slots with it, if that is at least ``ALIKE``. The streams of a template are aligned one after
+neighbouring elements becomes one repeated group. The distinct folded streams of a host's pages are gathered into templates: a stream joins the
+template whose first stream shares most slots with it, if that is at least ``ALIKE``. The streams of a template are aligned one after
 the other: equal tokens match, a token that only one side has becomes optional, a group that repeats on either side becomes
 repeated. The result is the template's wrapper, a union-free regular expression: a sequence of text slots, optional and
 repeated groups.
@@ -11,7 +10,8 @@ repeated groups.
 A slot is boilerplate if it lies in markup that says so (navigation, header, footer, aside, form, notices, adverts, comments
 by tag, role, class or id) or if, at its place in the wrapper, over half of the distinct pages show the same text or the texts are
 mostly links. Pages are distinct if their slots outside such markup differ, so copies of an article are one page; texts
-are counted exactly, by an aggregation over (host, template, place, text). Of the slots that remain the article is where most
+are counted exactly, by an aggregation over (host, template, place, text). Landmarks are a prior: slots under a main element are the article unless the
+wrapper is sure, that is if ``SURE`` of the distinct pages, of many lengths, show one text there. Where no such slot remains the article is where most
 text is: each weighs what the texts at its place have on the average of the template's pages, and from the page's root the way leads into a
 container as long as that one holds more than half of the weight. So adverts, footers and comments without any mark stay out.
 
@@ -33,6 +33,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from math import isqrt, log, log1p
 
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +46,9 @@ STREAMS = 500
 BROADCAST_BYTES = 32 << 20
 #: A slot outside a main element whose commonest text covers this share of its distinct pages is boilerplate; from so many pages on.
 CONSTANT, PAGES = 0.5, 3
+#: A slot inside a main element is boilerplate if one text covers this share of its distinct pages, and those have so many classes of
+#: length, each a tenth longer than the one before: near copies of one article share their texts, but also their length.
+SURE, SURE_PAGES, SIZE_CLASS = 0.9, 5, log(1.1)
 #: Streams of a template share this part of their slots with its first stream.
 ALIKE = 0.5
 LINKED = 0.6
@@ -175,20 +179,44 @@ def is_main(path: str) -> bool:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """Places of ``a`` and ``b`` side by side, along their longest common sequence."""
+    """Places of ``a`` and ``b`` side by side, along their longest common sequence; what only ``a`` has comes first.
+
+    Lengths are bits of whole numbers: bit i of ``row(j)`` says that the longest common sequence of a[i:] and b[j:] does not need a[i]. Every
+    ``step``-th row is kept and those between are made again, so memory is n * sqrt(m) bits and time n * m / 64.
+    """
     n, m = len(a), len(b)
     if a == b:
         return [(i, i) for i in range(n)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    full, step, at = (1 << n) - 1, max(1, isqrt(m)), {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << (n - 1 - i)
+
+    def before(row: int, j: int) -> int:
+        same = row & at.get(b[j], 0)
+        return ((row + same) | (row - same)) & full
+
+    kept, row = {m: full}, full
+    for j in range(m - 1, -1, -1):
+        row = before(row, j)
+        if j % step == 0:
+            kept[j] = row
+    rows: dict[int, int] = {m: full}
+
+    def row_of(j: int) -> int:
+        if j not in rows:
+            rows.clear()
+            to = min(m, (j // step + 1) * step)
+            rows[to] = kept[to]
+            for k in range(to - 1, j - 1, -1):
+                rows[k] = before(rows[k + 1], k)
+        return rows[j]
+
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+        elif j >= m or (i < n and row_of(j) >> (n - 1 - i) & 1):
             out.append((i, None))
             i += 1
         else:
@@ -235,7 +263,7 @@ class Wrappers:
     def __init__(self, wrapper: str, found: str | None = None) -> None:
         self.known = [(Counter(first), len(first), Counter(w), w) for first, w in ((first, [s["path"] for s in w]) for first, w in json.loads(wrapper))]
         known = json.loads(found or "[]")
-        self.dropped = {p for p, drop, _ in known if drop}
+        self.dropped = {p: level for p, level, _ in known if level}
         self.weight = {p: w for p, _, w in known}
         self.placed: dict[tuple[str, ...], list[str]] = {}
 
@@ -258,12 +286,12 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct streams of each batch, of pages without a main element."""
+    """Distinct streams of each batch."""
     for batch in batches:
         found: Counter = Counter()
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             paths = [s[0] for s in folded(page)]
-            if paths and not any(map(is_main, paths)):
+            if paths:
                 found[host, "\n".join(paths)] += 1
         rows = [(h, s, n) for (h, s), n in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "stream", "pages"])
@@ -299,19 +327,20 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, place, text, chars, linked) of the slots that a wrapper decides on; page and text are hashes."""
+    """(host, page, size, place, text, chars, linked) of the slots that a wrapper decides on; page and text are hashes, size a class of lengths."""
     known: dict[tuple, Wrappers] = {}
     for batch in batches:
         out: list[tuple] = []
         for host, page, wrapper in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             slots = folded(page)
-            if not slots or any(is_main(s[0]) for s in slots):
+            if not slots:
                 continue
             places = _wrappers(known, wrapper, None).places(tuple(s[0] for s in slots))
             own = [(place, h, n, k) for place, (path, h, n, k) in zip(places, slots, strict=True) if not is_marked(path)]
             of = hashlib.md5(repr([x for x in zip(places, slots, strict=True) if not is_marked(x[1][0])]).encode()).hexdigest()
-            out += [(host, of, *x) for x in own if x[0]]
-        kinds = {"host": pa.string(), "page": pa.string(), "place": pa.string(), "text": pa.string(), "chars": pa.int64(), "linked": pa.int64()}
+            size = int(log1p(sum(x[2] for x in own)) / SIZE_CLASS)
+            out += [(host, of, size, *x) for x in own if x[0]]
+        kinds = {"host": pa.string(), "page": pa.string(), "size": pa.int64(), "place": pa.string(), "text": pa.string(), "chars": pa.int64(), "linked": pa.int64()}
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
 
@@ -326,13 +355,15 @@ def _wrappers(known: dict, wrapper: str, found: str | None) -> Wrappers:
 
 def boilerplate(pages: DataFrame) -> DataFrame:
     """(host, found): JSON of (place, whether it is no main text, mean characters), of pages (host, html, wrapper)."""
-    rows = pages.select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, place string, text string, chars long, linked long")
-    once = rows.groupBy("host", "page", "place").agg(F.first("text").alias("text"), F.first("chars").alias("chars"), F.first("linked").alias("linked"))
-    texts = once.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    slots = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    rows = pages.select("host", "html", "wrapper").mapInArrow(_slots, "host string, page string, size long, place string, text string, chars long, linked long")
+    once = rows.groupBy("host", "page", "place").agg(F.first("text").alias("text"), F.first("size").alias("size"), F.first("chars").alias("chars"), F.first("linked").alias("linked"))
+    texts = once.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.size(F.collect_set("size")).alias("sizes"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    slots = texts.groupBy("host", "place").agg(F.sum("n").alias("pages"), F.max("n").alias("most"), F.max(F.struct("n", "sizes"))["sizes"].alias("sizes"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     constant = (F.col("pages") >= PAGES) & (F.col("most") > CONSTANT * F.col("pages"))
     dropped = constant | (F.col("linked") > LINKED * F.greatest("chars", F.lit(1)))
-    one = F.array(F.concat(F.lit('"'), "place", F.lit('"')), dropped.cast("string"), F.round(F.col("chars") / F.col("pages"), 1).cast("string"))
+    certain = (F.col("sizes") >= SURE_PAGES) & (F.col("most") >= SURE * F.col("pages"))
+    level = F.when(certain, 2).when(dropped, 1).otherwise(0)
+    one = F.array(F.concat(F.lit('"'), "place", F.lit('"')), level.cast("string"), F.round(F.col("chars") / F.col("pages"), 1).cast("string"))
     return slots.select("host", F.concat(F.lit("["), F.array_join(one, ","), F.lit("]")).alias("one")).groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("one")), ","), F.lit("]")).alias("found"))
 
 
@@ -355,18 +386,17 @@ def article(page: str, wrapper: Wrappers) -> str:
     """The main text of a page."""
     found = list(blocks(page))
     paths = ["/".join(b[0]) for b in found]
-    if any(map(is_main, paths)):
-        keep = set(i for i, p in enumerate(paths) if is_main(p))
-    else:
-        new = [i == 0 or p != paths[i - 1] for i, p in enumerate(paths)]
-        places = wrapper.places(tuple(p for p, first in zip(paths, new, strict=True) if first))
-        at = [k - 1 for k in accumulate(new)]
+    new = [i == 0 or p != paths[i - 1] for i, p in enumerate(paths)]
+    places = wrapper.places(tuple(p for p, first in zip(paths, new, strict=True) if first))
+    at = [k - 1 for k in accumulate(new)]
+    keep = set(i for i, p in enumerate(paths) if is_main(p) and wrapper.dropped.get(places[at[i]], 0) < 2)
+    if not keep:
         blocks_of = [0] * len(places)
         for k in at:
             blocks_of[k] += 1
         weights = []
         for p, k, (_, text, _, _) in zip(paths, at, found, strict=True):
-            out = is_marked(p) or places[k] in wrapper.dropped
+            out = is_marked(p) or wrapper.dropped.get(places[k], 0) > 0
             weights.append(0.0 if out else max(wrapper.weight.get(places[k], len(text) * blocks_of[k]) / blocks_of[k], 0.1))
         keep = set(densest([_container(b) for b in found], weights))
     return "\n\n".join(b[1] for i, b in enumerate(found) if i in keep)
