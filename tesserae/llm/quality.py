@@ -68,17 +68,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learn from labelled rows of ``docs`` whose label row satisfies ``train`` (over the id column)."""
+    """Learn from labelled rows of ``docs`` whose label row satisfies ``train`` (over the id column); of an id's texts the least one counts."""
     known = labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     order = F.xxhash64("id")
     picked = {r.id: int(r.y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "id").limit(sample).collect()}
     text = F.col(text_col).cast("string")
     own = docs.where(F.col(id_col).isin(list(picked)) & (F.octet_length(text) > 0))
-    fetched = lambda t, short: [(r.id, r.text) for r in own.where((F.octet_length(text) <= sample_bytes) | F.lit(not short)).select(F.col(id_col).alias("id"), t.alias("text")).limit(4 * sample).collect()]
+    fetched = lambda t, short: [(r.id, r.text) for r in own.where((F.octet_length(text) <= sample_bytes) | F.lit(not short)).groupBy(F.col(id_col).alias("id")).agg(F.min(t).alias("text")).collect()]  # noqa: E731  one text of each picked id
     rows = fetched(text, True) if picked else []
     if {picked[i] for i, _ in rows} != set(picked.values()):  # a label has long texts only: pieces of at most four bytes a character
         rows = fetched(F.substring(text, 1, sample_bytes // 4), False)
-    rows = sorted(set(rows))
+    rows.sort()
     y = np.array([picked[i] for i, _ in rows])
     prior = float((sum(picked.values()) + 1) / (len(picked) + 2))
     texts = [t.encode() for _, t in rows]

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import minhash, suffix, topk, wrapper
+from tesserae.llm import minhash, quality, suffix, topk, wrapper
 from tests.llm.test_dedup import removed
 
 
@@ -74,3 +74,16 @@ def test_components_beyond_64_bits_are_an_error(spark):
         topk.top_k(rows, F.col("vec_id") == 2).collect()
     kept = spark.createDataFrame([(1, [1e13, 0.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(kept, F.col("vec_id") == 2).first().score == 256 * 256 * 10**13
+
+
+def test_fit_does_not_depend_on_how_repeated_ids_lie(spark):
+    """Ids with many texts: one of them counts, the same for every order and number of partitions."""
+    rnd = random.Random(12)
+    stock = [[words(rnd, 1) for _ in range(60)] for _ in range(2)]
+    prose = lambda label: " ".join(rnd.choice(stock[label]) for _ in range(80))
+    docs = [(i, prose(i % 2)) for i in range(400) for _ in range(60 if i < 6 else 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality long")
+    models = [quality.fit(x, labels, F.lit(True), sample=150) for x in (frame.repartition(1), frame.repartition(7), frame.orderBy(F.desc("text")))]
+    learned = [(m.good, m.bad, m.weights, m.prior) for m in models]
+    assert models[0].weights and all(x == learned[0] for x in learned)
