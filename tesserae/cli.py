@@ -79,23 +79,23 @@ def hicref(spark: SparkSession, a: argparse.Namespace) -> None:
 def prepare_reads(spark: SparkSession, a: argparse.Namespace) -> None:
     """Batches follow the input: records k * batch_size and on; those without a passing read have no file."""
     paths = metadata.output_paths("reads", a.prefix)
-    flagged = reads.read_metadata(files.fastq(spark, a.fastq), min_read_length=a.min_read_length, max_read_length=a.max_read_length, min_qscore=a.min_qscore, max_qscore=a.max_qscore).persist()
-    reads.metadata_columns(flagged).write.parquet(paths["read_metadata"])
-    reads.pass_rate(flagged)
-    metadata.write_text(paths["summary"], reads.read_summary(flagged).toPandas().to_csv(index=False))  # three rows
-    record = F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "qual").alias("value")
-    passed = flagged.where("pass_filter").withColumn("chunk", F.floor(F.col("record_no") / a.batch_size))
-    number = numbered(passed.select("chunk").distinct(), "chunk", "batch").withColumn("batch", F.col("batch") + 1)  # a row for each output file
-    batches = passed.join(number, "chunk").select("batch", "record_no", record).repartition("batch").sortWithinPartitions("batch", "record_no").drop("record_no")
-    bgzf.write(batches, paths["batches"], ".fq.gz")
-    if not (failed := flagged.where("not pass_filter")).isEmpty():
-        bgzf.write(failed.sort("record_no").select(record), f"{paths['fail']}.parts", ".fq.gz")
-        if a.parts:
-            metadata.rename(f"{paths['fail']}.parts", paths["fail"])
-        else:
-            metadata.join_parts(f"{paths['fail']}.parts", paths["fail"], ".fq.gz")
-    metadata.write_catalog("reads", paths, {"batches": number.count(), **_json(a.user_metadata)})
-    flagged.unpersist()
+    flags = reads.read_metadata(files.fastq(spark, a.fastq), min_read_length=a.min_read_length, max_read_length=a.max_read_length, min_qscore=a.min_qscore, max_qscore=a.max_qscore)
+    with genome.kept(flags.drop("quals")) as flagged:
+        reads.metadata_columns(flagged).write.parquet(paths["read_metadata"])
+        reads.pass_rate(flagged)
+        metadata.write_text(paths["summary"], reads.read_summary(flagged).toPandas().to_csv(index=False))  # three rows
+        record = F.concat(F.lit("@"), "read_id", F.lit("\n"), "sequence", F.lit("\n+\n"), "qual").alias("value")
+        passed = flagged.where("pass_filter").withColumn("chunk", F.floor(F.col("record_no") / a.batch_size))
+        number = numbered(passed.select("chunk").distinct(), "chunk", "batch").withColumn("batch", F.col("batch") + 1)  # a row for each output file
+        batches = passed.join(number, "chunk").select("batch", "record_no", record).repartition("batch").sortWithinPartitions("batch", "record_no").drop("record_no")
+        bgzf.write(batches, paths["batches"], ".fq.gz")
+        if not (failed := flagged.where("not pass_filter")).isEmpty():
+            bgzf.write(failed.sort("record_no").select(record), f"{paths['fail']}.parts", ".fq.gz")
+            if a.parts:
+                metadata.rename(f"{paths['fail']}.parts", paths["fail"])
+            else:
+                metadata.join_parts(f"{paths['fail']}.parts", paths["fail"], ".fq.gz")
+        metadata.write_catalog("reads", paths, {"batches": number.count(), **_json(a.user_metadata)})
 
 
 def _json(text: str | None) -> dict:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +58,24 @@ def mean_qscore(quals: Column) -> Column:
     return -10 * F.log10(total / F.size(quals))
 
 
+def _mean_qscores(texts: pa.Array) -> pa.Array:
+    """Quality strings to Phred scores of their mean error probability, by counts of each letter; null for empty ones."""
+    chance = 10.0 ** (-(np.arange(256) - 33) / 10)
+    out = []
+    for text in texts:
+        raw = text.as_buffer() if text.is_valid else None
+        if raw is None or not raw.size:
+            out.append(None)
+        else:
+            out.append(float(-10 * np.log10(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ chance / raw.size)))
+    return pa.array(out, pa.float64())
+
+
+def text_qscore(qual: Column) -> Column:
+    """mean_qscore of a quality string without an array of its scores; null if it is empty."""
+    return F.arrow_udf(_mean_qscores, "double")(qual)
+
+
 def hap_key(a: Column, b: Column) -> Column:
     """Both haplotypes in ascending order, "nohap" for unphased."""
     name = lambda h: F.when(h == -1, "nohap").otherwise(h.cast("string"))

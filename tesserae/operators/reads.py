@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import mean_qscore
+from tesserae.functions.scalars import mean_qscore, text_qscore
 from tesserae.schemas import READ_METADATA
 
 
 def read_metadata(records: DataFrame, *, min_read_length: int = 1, max_read_length: int = 150_000, min_qscore: float = 0, max_qscore: float = 266) -> DataFrame:
-    """Adds length, mean quality and the pass flag to records (read_id, sequence, quals); upper bounds are exclusive.
+    """Adds length, mean quality and the pass flag to records (read_id, sequence, quals, best with qual); upper bounds are exclusive.
 
     The quality is compared as the single-precision number that is stored.
     """
-    out = records.withColumn("read_length", F.length("sequence").cast("long")).withColumn("qscore", mean_qscore(F.col("quals")).cast("float"))
+    score = mean_qscore(F.col("quals"))
+    if "qual" in records.columns:
+        score = F.when(F.length("qual") > 0, text_qscore(F.col("qual"))).otherwise(score)
+    out = records.withColumn("read_length", F.length("sequence").cast("long")).withColumn("qscore", score.cast("float"))
     return with_pass_flag(out, min_read_length=min_read_length, max_read_length=max_read_length, min_qscore=min_qscore, max_qscore=max_qscore)
 
 

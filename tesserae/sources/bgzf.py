@@ -8,17 +8,31 @@ compression, in the usual binary form.
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tesserae.sources.bam import ATTEMPTS, LAST_MEMBER, MEMBER, first_member, is_bam, member_of, members, opened
 
-SPLIT = 32 << 20
+#: Packed bytes of a split, and of the small files that one task reads; the most files of a task; letters of a batch of rows, about.
+SPLIT, FILES, HELD = 8 << 20, 256, 1 << 20
+#: Rows that Spark hands to a writing task at a time; of reads these are a few MB.
+WRITTEN = 500
+#: What a reader gives: lines, the number and outermost lines of each split, or FASTQ records of four lines that lie in one split.
+SHAPES = {
+    "lines": "file string, block long, value string",
+    "edges": "file string, block long, n long, head array<string>, tail array<string>",
+    "records": "record_no long, l0 string, l1 string, l3 string",
+}
+_EDGES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("head", pa.list_(pa.string())), ("tail", pa.list_(pa.string()))])
+_RECORDS = pa.schema([("record_no", pa.int64()), ("l0", pa.string()), ("l1", pa.string()), ("l3", pa.string())])
 
 
 def lines_of(f, start: int, end: int, size: int) -> Iterator[str]:
@@ -41,15 +55,60 @@ def lines_of(f, start: int, end: int, size: int) -> Iterator[str]:
         yield held.rstrip(b"\r").decode()
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _line_batches(lines: Iterator[str], path: str, start: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for line in lines:
+        held.append(line)
+        size += len(line)
+        if size >= HELD or len(held) == 10_000:
+            yield _batch(path, start, held)
+            held, size = [], 0
+    if held:
+        yield _batch(path, start, held)
+
+
+def _edges(lines: Iterator[str], path: str, start: int) -> Iterator[tuple]:
+    """The number of a split's lines, its first three and its last three."""
+    n, head, tail = 0, [], deque(maxlen=3)
+    for line in lines:
+        n += 1
+        if n <= 3:
+            head.append(line)
+        tail.append(line)
+    if n:
+        yield path, start, n, head, list(tail)
+
+
+def _record_batches(lines: Iterator[str], base: int, first: int) -> Iterator[pa.RecordBatch]:
+    """Records whose four lines lie in a split that begins with line ``base`` of its file; the file's first record is number ``first``."""
+    out, size, held = [], 0, []
+    for line, value in enumerate(lines, base):
+        if line % 4 == 0:
+            held = []
+        held.append(value)
+        if line % 4 == 3 and len(held) == 4:
+            out.append((first + line // 4, held[0], held[1], held[3]))
+            size += len(held[1]) + len(held[3])
+            if size >= HELD or len(out) == 10_000:
+                yield _rows(out, _RECORDS)
+                out, size = [], 0
+    if out:
+        yield _rows(out, _RECORDS)
+
+
 class BgzfSource(DataSource):
-    """``format("bgzf")``: reads (file, block, value) of ``paths``; writes ``value``, a file for each task or for each ``batch`` of a task."""
+    """``format("bgzf")``: reads ``paths`` in one of SHAPES; writes ``value``, a file for each task or for each ``batch`` of a task."""
 
     @classmethod
     def name(cls) -> str:
         return "bgzf"
 
     def schema(self) -> str:
-        return "file string, block long, value string"
+        return SHAPES[self.options.get("shape", "lines")]
 
     def reader(self, schema) -> BgzfReader:
         return BgzfReader(self.options)
@@ -61,29 +120,42 @@ class BgzfSource(DataSource):
 class BgzfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths, self.split = options["paths"].split("\n"), int(options.get("split", SPLIT))
+        self.shape, self.places = options.get("shape", "lines"), options.get("places")
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        """Splits of large files; small files lie together in one partition."""
+        known = {}
+        if self.places:  # a row for each split, as there are here
+            store, own = opened(self.places)
+            for r in ds.dataset(own, filesystem=store, format="parquet").to_table().to_pylist():
+                known[r["file"], r["block"]] = r["base"], r["first"]
+        out, held, packed = [], [], 0
         for path in self.paths:
             store, own = opened(path)
             size = store.get_file_info(own).size
-            out += [InputPartition((path, at, min(at + self.split, size), size)) for at in range(0, size, self.split)]
-        return out or [InputPartition(("", 0, 0, 0))]
+            for at in range(0, size, self.split):
+                n = min(at + self.split, size) - at
+                if held and (packed + n > self.split or len(held) == FILES):
+                    out.append(InputPartition(held))
+                    held, packed = [], 0
+                held.append((path, at, at + n, size, known.get((path, at))))
+                packed += n
+        return [*out, InputPartition(held)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, start, end, size = partition.value
-        if not size:
-            return
-        store, own = opened(path)
-        with store.open_input_file(own) as f:
-            held: list[str] = []
-            for line in lines_of(f, start, end, size):
-                held.append(line)
-                if len(held) == 10_000:
-                    yield _batch(path, start, held)
-                    held = []
-            if held:
-                yield _batch(path, start, held)
+        edges: list[tuple] = []
+        for path, start, end, size, place in partition.value:
+            store, own = opened(path)
+            with store.open_input_file(own) as f:
+                lines = lines_of(f, start, end, size)
+                if self.shape == "lines":
+                    yield from _line_batches(lines, path, start)
+                elif self.shape == "edges":
+                    edges += _edges(lines, path, start)
+                elif place:
+                    yield from _record_batches(lines, *place)
+        if edges:
+            yield _rows(edges, _EDGES)
 
 
 def _batch(path: str, start: int, held: list[str]) -> pa.RecordBatch:
@@ -176,17 +248,41 @@ class BgzfWriter(DataSourceWriter):
             store.delete_dir(f"{own}/{ATTEMPTS}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = WRITTEN) -> Iterator[None]:
+    """While it lasts, Spark hands ``rows`` rows at a time to Python, as rows of whole reads are long; what was set comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(rows: DataFrame, path: str, suffix: str = ".gz") -> None:
     """Lines (value) in their order within each partition as block gzip parts under ``path``; with a column ``batch``, under a folder for each."""
-    rows.sparkSession.dataSource.register(BgzfSource)
+    spark = rows.sparkSession
+    spark.dataSource.register(BgzfSource)
     names = [x for x in ("batch", "value") if x in rows.columns]
-    rows.select(*names).write.format("bgzf").option("suffix", suffix).mode("append").save(path)
+    with small_batches(spark):
+        rows.select(*names).write.format("bgzf").option("suffix", suffix).mode("append").save(path)
 
 
-def lines(spark: SparkSession, paths: list[str], split: int = SPLIT) -> DataFrame:
-    """(file, block, value): the lines of block gzip files, in order within each block."""
+def lines(spark: SparkSession, paths: list[str], split: int = SPLIT, **options: str) -> DataFrame:
+    """(file, block, value): the lines of block gzip files, in order within each block; other shapes by ``options``."""
     spark.dataSource.register(BgzfSource)
-    return spark.read.format("bgzf").option("paths", "\n".join(paths)).option("split", split).load()
+    return spark.read.format("bgzf").option("paths", "\n".join(paths)).option("split", split).options(**options).load()
+
+
+def edges(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, block, n, head, tail) of every split with lines: their number, the first three and the last three."""
+    return lines(spark, paths, shape="edges")
+
+
+def records(spark: SparkSession, paths: list[str], places: str) -> DataFrame:
+    """(record_no, l0, l1, l3): FASTQ records inside the splits, put together where they are unpacked; the table ``places`` has (file, block, base, first)."""
+    return lines(spark, paths, shape="records", places=places)
 
 
 def found(paths: list[str]) -> list[str]:

@@ -74,9 +74,11 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     One scan counts the lines of every split and keeps its outermost ones; a second puts records together inside the
     splits, without a shuffle. Only records that lie across splits, one for each border, are gathered by their number.
     """
-    lines = _split_lines(spark, path)
+    packed = bgzf.found([path] if isinstance(path, str) else path)
     kept = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"  # a row for each split, read several times
-    lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>").write.parquet(kept)
+    lines = None if packed else _split_lines(spark, path)
+    found = bgzf.edges(spark, packed) if packed else lines.mapInArrow(_edges, "file string, block long, n long, head array<string>, tail array<string>")
+    found.write.parquet(kept)
     edges = spark.read.parquet(kept)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = edges.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -84,12 +86,16 @@ def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     first = edges.groupBy("file").agg((F.floor((F.sum("n") + 3) / 4)).alias("m")).select("file", F.coalesce(F.sum("m").over(whole), F.lit(0)).alias("first"))
     splits = base.join(first, "file")
     known = splits.select("file", "block", "base", "first")
-    if splits.count() <= SPLITS:
-        placed = lines.join(F.broadcast(known), ["file", "block"])  # streams the lines, so their order stays
+    if packed:  # unpacked in Python already, so records are put together there
+        known.write.parquet(f"{kept}-places")
+        inside = bgzf.records(spark, packed, f"{kept}-places")
     else:
-        own = lines.withColumn("at", F.monotonically_increasing_id())
-        placed = own.repartition("file", "block").sortWithinPartitions("file", "block", "at").join(known, ["file", "block"]).sortWithinPartitions("file", "block", "at")
-    inside = placed.select("file", "block", "base", "first", "value").mapInArrow(_records, "record_no long, l0 string, l1 string, l3 string")
+        if splits.count() <= SPLITS:
+            placed = lines.join(F.broadcast(known), ["file", "block"])  # streams the lines, so their order stays
+        else:
+            own = lines.withColumn("at", F.monotonically_increasing_id())
+            placed = own.repartition("file", "block").sortWithinPartitions("file", "block", "at").join(known, ["file", "block"]).sortWithinPartitions("file", "block", "at")
+        inside = placed.select("file", "block", "base", "first", "value").mapInArrow(_records, "record_no long, l0 string, l1 string, l3 string")
     number = lambda k, back: F.col("base") + (F.col("n") - F.size("tail") if back else 0) + k
     both = splits.select("base", "n", "first", F.posexplode("head").alias("k", "value"), F.lit(False).alias("back")).select("base", "n", "first", number(F.col("k"), False).alias("line"), "value")
     last = splits.select("base", "n", "first", "tail", F.posexplode("tail").alias("k", "value")).select("base", "n", "first", number(F.col("k"), True).alias("line"), "value")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +32,19 @@ def scratch(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tesserae-")
 
 
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows that are used several times, computed once: a table in the shared folder, of which each use reads its columns. It goes at the end."""
+    spark = rows.sparkSession
+    path = f"{scratch(spark)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        store, own = opened(path)
+        store.delete_dir(own)
+
+
 class Indexed(NamedTuple):
     """A genome on storage: its index, with a column for the file of each contig."""
 

@@ -93,3 +93,29 @@ def test_an_attempt_that_fails_leaves_nothing(spark, tmp_path):
     assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
     bgzf.write(spark.createDataFrame([], "value string"), str(tmp_path / "none"))
     assert bgzf.found([str(tmp_path / "none")]) == []
+
+
+def test_batches_are_bounded_by_letters_and_small_files_share_a_task(tmp_path):
+    long = tmp_path / "long.gz"
+    long.write_bytes(packed("".join("ACGT" * 25_000 + "\n" for _ in range(60)), [60_000]))
+    reader = bgzf.BgzfReader({"paths": str(long)})
+    sizes = [sum(map(len, b.column("value").to_pylist())) for p in reader.partitions() for b in reader.read(p)]
+    assert sum(sizes) == 6_000_000 and max(sizes) <= bgzf.HELD + 100_000
+    names = []
+    for k in range(600):
+        names.append(str(tmp_path / f"{k:03d}.gz"))
+        (tmp_path / f"{k:03d}.gz").write_bytes(packed(f"line {k}\n", [20]))
+    reader = bgzf.BgzfReader({"paths": "\n".join(names)})
+    assert len(reader.partitions()) == 3
+    assert [x for p in reader.partitions() for b in reader.read(p) for x in b.column("value").to_pylist()] == [f"line {k}" for k in range(600)]
+
+
+def test_mean_quality_of_texts_and_of_scores(spark):
+    from tesserae.functions import scalars
+
+    rnd = random.Random(1)
+    texts = ["".join(chr(33 + rnd.randrange(60)) for _ in range(rnd.choice([1, 7, 300]))) for _ in range(50)] + ["IIII", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "qual string").select("qual", files.quality_scores(F.col("qual")).alias("quals"))
+    for r in rows.select("qual", scalars.text_qscore(F.col("qual")).alias("a"), scalars.mean_qscore(F.col("quals")).alias("b")).where("qual is not null").collect():
+        assert r.a == pytest.approx(r.b, rel=1e-12, abs=1e-12)
+    assert rows.where("qual is null").select(scalars.text_qscore(F.col("qual"))).first()[0] is None
