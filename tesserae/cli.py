@@ -53,22 +53,24 @@ def _tsv(df: DataFrame, sep: str = "\t") -> DataFrame:
 
 def prepare_genome(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = metadata.output_paths("refgenome", a.prefix)
-    contigs = files.fasta(spark, a.fasta)
-    text_file(contigs.select("chrom_idx", F.concat(F.lit(">"), "chrom", F.lit("\n"), "seq").alias("value")), paths["fasta"], ["chrom_idx"], parts=a.parts)
-    text_file(_tsv(digest.fasta_index(contigs)), paths["fai"], ["offset"], parts=a.parts)
-    sizes = digest.chrom_sizes(contigs).orderBy("chrom_idx").select("chrom", "size").collect()  # a row for each chromosome
-    metadata.write_text(paths["chromsizes"], "".join(f"{r.chrom}\t{r['size']}\n" for r in sizes))
-    metadata.write_text(paths["metadata"], "chrom,length\n" + "".join(f"{r.chrom},{r['size']}\n" for r in sizes))
-    metadata.write_catalog("refgenome", paths, {"genome_id": a.genome_id or os.path.basename(a.prefix), "genome_size": sum(r["size"] for r in sizes)})
+    with genome.kept(files.fasta(spark, a.fasta)) as contigs:
+        text_file(contigs.select("chrom_idx", F.concat(F.lit(">"), "chrom", F.lit("\n"), "seq").alias("value")), paths["fasta"], ["chrom_idx"], parts=a.parts)
+        text_file(_tsv(digest.fasta_index(contigs)), paths["fai"], ["offset"], parts=a.parts)
+        sizes = digest.chrom_sizes(contigs)
+        line = lambda sep: sizes.select("chrom_idx", F.concat_ws(sep, "chrom", F.col("size").cast("string")).alias("value"))
+        text_file(line("\t"), paths["chromsizes"], ["chrom_idx"])
+        text_file(line(","), paths["metadata"], ["chrom_idx"], ["chrom,length"])
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+    metadata.write_catalog("refgenome", paths, {"genome_id": a.genome_id or os.path.basename(a.prefix), "genome_size": total})
 
 
 def virtual_digest(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = metadata.output_paths("virtual_digest", a.prefix)
-    contigs = files.fasta(spark, a.fasta)
-    order = contigs.select("chrom", "chrom_idx")
-    digest.fragments(contigs, a.cut_on, a.digest_type).join(order, "chrom").sort("chrom_idx", "start").drop("chrom_idx").write.parquet(paths["fragments"])
-    table = spark.read.parquet(paths["fragments"])
-    metadata.write_text(paths["digest_stats"], digest.digest_stats(table, contigs.select("chrom")).toPandas().to_csv(index=False))  # a row for each chromosome
+    with genome.kept(files.fasta(spark, a.fasta)) as contigs:
+        order = contigs.select("chrom", "chrom_idx")
+        digest.fragments(contigs, a.cut_on, a.digest_type).join(order, "chrom").sort("chrom_idx", "start").drop("chrom_idx").write.parquet(paths["fragments"])
+        stats = digest.digest_stats(spark.read.parquet(paths["fragments"]), contigs.select("chrom"))
+        text_file(stats.select(F.to_csv(F.struct(*stats.columns)).alias("value")), paths["digest_stats"], header=[",".join(stats.columns)])
     metadata.write_catalog("virtual_digest", paths, {"digest_type": a.digest_type, "digest_param": a.cut_on})
 
 

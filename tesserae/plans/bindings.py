@@ -75,10 +75,12 @@ def chromsizes(spark: SparkSession, sf_dir: str, made: DataFrame | None = None)
     return size.select("chrom", (F.row_number().over(Window.orderBy("chrom")) - 1).cast("long").alias("chrom_idx"), "size")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom, chrom_idx, seq) of documents."""
+def sequences(spark: SparkSession, sf_dir: str, *, ordered: bool = False, lettered: bool = False) -> DataFrame:
+    """(chrom, chrom_idx, seq) of documents, or of those with letters; ``ordered`` sorts them before letters are derived, as a sort takes its input twice."""
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.where(F.col("text").rlike("[A-Za-z]")) if lettered else docs
+    docs = docs.orderBy("doc_id") if ordered else docs
     return docs.select(F.col("doc_id").cast("string").alias("chrom"), F.col("doc_id").alias("chrom_idx"), letters.alias("seq"))
 
 

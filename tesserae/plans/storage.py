@@ -54,16 +54,16 @@ _RECORDS = (
 )
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom_idx, value): a FASTQ record for each document with letters, of one quality throughout."""
-    own = b.sequences(spark, sf_dir).where(F.length("seq") > 0)
+def _records(spark: SparkSession, sf_dir: str, *, ordered: bool = False) -> DataFrame:
+    """(chrom_idx, value): a FASTQ record for each document with letters, of one quality throughout, in order if asked."""
+    own = b.sequences(spark, sf_dir, ordered=ordered, lettered=True)
     quality = F.repeat(F.expr("char(38 + chrom_idx % 20)"), F.length("seq").cast("int"))
     return own.select("chrom_idx", F.concat(F.lit("@"), "chrom", F.lit(" of documents\n"), "seq", F.lit("\n+\n"), quality).alias("value"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> str:
     folder = _folder(spark)
-    bgzf.write(_records(spark, sf_dir).orderBy("chrom_idx").select("value"), f"{folder}/in", ".fq.gz")
+    bgzf.write(_records(spark, sf_dir, ordered=True).select("value"), f"{folder}/in", ".fq.gz")
     bounds = [w for name, value in BOUNDS.items() for w in (f"--{name.replace('_', '-')}", str(value))]
     _run(spark, "reads", "prepare", f"{folder}/in", f"{folder}/reads", "--batch-size", str(BATCH), "--user-metadata", SAMPLE, *bounds)
     return f"{folder}/reads"
@@ -134,7 +134,7 @@ def _fasta(spark: SparkSession, sf_dir: str) -> str:
     """Documents as FASTA files with lines of 60 bases."""
     folder = _folder(spark)
     lines = F.regexp_replace("seq", "(.{60})", "$1\n")
-    b.sequences(spark, sf_dir).orderBy("chrom_idx").select(F.concat(F.lit(">"), "chrom", F.lit(" a>b\n"), lines).alias("value")).write.text(f"{folder}/fasta")
+    b.sequences(spark, sf_dir, ordered=True).select(F.concat(F.lit(">"), "chrom", F.lit(" a>b\n"), lines).alias("value")).write.text(f"{folder}/fasta")
     return folder
 
 

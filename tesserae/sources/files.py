@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,15 +117,30 @@ def quality_scores(qual: Column) -> Column:
 PIECE = 1 << 20
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], np.ndarray]]:
+    """((file, block), lines) of the splits in a batch; a split's lines follow one another."""
+    file, block, lines = batch.column("file"), batch.column("block"), batch.column("value").to_numpy(zero_copy_only=False)
+    n = batch.num_rows
+    if not n:
+        return
+    cuts: list[int] = []
+    if file[0] != file[n - 1] or block[0] != block[n - 1]:
+        files_, blocks = file.to_numpy(zero_copy_only=False), block.to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero((files_[1:] != files_[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+        yield (file[a].as_py(), block[a].as_py()), lines[a:b]
+
+
 def _contigs(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of contigs in every split: number 0 goes on from the split before. Without ``whole`` a row for each split: names and bases only."""
     kinds = {"file": pa.string(), "block": pa.int64(), "h": pa.int32(), "name": pa.string(), "at": pa.int64(), "seq": pa.string()}
-    key, h, name, at, held, size, out = None, 0, None, 0, [], 0, []
+    key, h, name, at, held, size, out, letters = None, 0, None, 0, [], 0, [], 0
 
     def close() -> None:
-        nonlocal at, size
+        nonlocal at, size, letters
         if whole and (held or (h and not at)):
             out.append((*key, h, name, at, "".join(held)))
+            letters += size
         at, size = at + size, 0
         held.clear()
 
@@ -134,29 +150,36 @@ def _contigs(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             out.append((*key, h, name, at, None))
 
     def batch_of() -> pa.RecordBatch:
+        nonlocal letters
         made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], list(kinds))
         out.clear()
+        letters = 0
         return made
 
     for batch in batches:
-        for place, line in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), batch.column("value").to_pylist(), strict=True):
+        for place, lines in _runs(batch):
             if place != key:
                 if key is not None:
                     end_of_split()
                 key, h, name, at = place, 0, None, 0
-            if line.startswith(">"):
-                close()
-                words = line[1:].split()
-                h, name, at = h + 1, words[0] if words else "", 0
-            else:
-                line = "".join(line.split())
-                size += len(line)
-                if whole and line:
-                    held.append(line)
-                    if size >= PIECE:
+            begin = 0
+            for head in [*(k for k, line in enumerate(lines) if line[:1] == ">"), len(lines)]:
+                # the lines between two headers at once
+                text = "".join("".join(lines[begin:head]).split())
+                for k in range(0, len(text), PIECE):
+                    part = text[k : k + PIECE]
+                    if size and size + len(part) > PIECE:
                         close()
-        if len(out) > 64 or (whole and sum(len(r[5]) for r in out) > 8 * PIECE):
-            yield batch_of()
+                    size += len(part)
+                    if whole:
+                        held.append(part)
+                if head < len(lines):
+                    close()
+                    words = lines[head][1:].split()
+                    h, name, at = h + 1, words[0] if words else "", 0
+                begin = head + 1
+                if letters > 8 * PIECE or len(out) > 4096:
+                    yield batch_of()
     if key is not None:
         end_of_split()
     yield batch_of()
@@ -170,7 +193,9 @@ def fasta_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     header are left out; a contig without bases has one empty piece.
     """
     lines = _split_lines(spark, path)
-    edges = lines.mapInArrow(lambda x: _contigs(x, False), "file string, block long, h int, name string, at long, seq string").select("file", "block", "h", "name", "at")
+    kept = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"  # a row for each split, read several times
+    lines.mapInArrow(lambda x: _contigs(x, False), "file string, block long, h int, name string, at long, seq string").select("file", "block", "h", "name", "at").write.parquet(kept)
+    edges = spark.read.parquet(kept)
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     base = edges.withColumn("heads", F.coalesce(F.sum("h").over(before), F.lit(0))).withColumn("last", F.last("name", True).over(before))
@@ -255,7 +280,7 @@ def sam_header(spark: SparkSession, path: str) -> DataFrame:
 def chromsizes(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, chrom_idx, size); the file's order is the order of the chromosomes."""
     rows = spark.read.csv(path, sep="\t", schema="chrom string, size long").withColumn("at", F.monotonically_increasing_id())
-    return numbered(rows, "at", "chrom_idx", parts=1).select("chrom", "chrom_idx", "size")
+    return numbered(rows, "at", "chrom_idx").select("chrom", "chrom_idx", "size")
 
 
 def haplotags(spark: SparkSession, path: str) -> DataFrame:
