@@ -144,7 +144,8 @@ def reformat_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     a.input = _staged(spark, a.input)
     if a.input_is_bam and not bam.is_bam(a.input):
         raise ValueError(f"not a BAM file: {a.input}")
-    _write_alignments(spark, align.reformat(files.sam(spark, a.input), set_bx=a.set_bx_flag), a, a.output_is_bam)
+    with genome.kept(files.sam(spark, a.input).select("line_no", "qname", "fields")) as records:
+        _write_alignments(spark, align.reformat(records, set_bx=a.set_bx_flag), a, a.output_is_bam)
 
 
 def create_table(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -152,7 +153,8 @@ def create_table(spark: SparkSession, a: argparse.Namespace) -> None:
     table = align.create_table(files.sam(spark, a.input))
     if a.alignment_haplotypes:
         table = haplotype.apply_tags(table, files.haplotags(spark, a.alignment_haplotypes))
-    table.sort("read_name", "align_idx").write.parquet(a.output)
+    with genome.kept(table) as found:  # a sort takes its input twice
+        found.sort("read_name", "align_idx").write.parquet(a.output)
     align.type_summary(spark.read.parquet(a.output)).show()
 
 
@@ -163,8 +165,9 @@ def assign_fragments(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def filter_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     a.input = _staged(spark, a.input)
-    kept = align.select_passing(files.sam(spark, a.input), spark.read.parquet(a.table), clean_read_name=a.clean_read_name)
-    _write_alignments(spark, kept, a, bam.is_bam(a.input))
+    with genome.kept(files.sam(spark, a.input).select("line_no", "qname", "fields")) as records:
+        kept = align.select_passing(records, spark.read.parquet(a.table), clean_read_name=a.clean_read_name)
+        _write_alignments(spark, kept, a, bam.is_bam(a.input))
 
 
 def consensus(spark: SparkSession, a: argparse.Namespace) -> None:

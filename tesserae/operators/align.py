@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.ranges import numbered
-from tesserae.functions.scalars import align_type, joined_name, mean_qscore, name_parts
+from tesserae.functions.scalars import align_type, joined_name, mean_qscore, name_parts, text_qscore
 from tesserae.schemas import ALIGNMENTS, conform
 
 
@@ -30,7 +30,10 @@ def create_table(records: DataFrame) -> DataFrame:
     mapped = kind != "unmapped"
     need = lambda c, what: F.when(mapped & c.isNull(), F.raise_error(F.concat(F.lit(f"aligned record without {what}: "), F.col("qname")))).otherwise(c)
     score = need(F.col("align_score"), "alignment score")
-    quality = need(F.when(F.size("quals") > 0, F.rint(mean_qscore(F.col("quals")))), "base qualities")
+    score_of = F.when(F.size("quals") > 0, mean_qscore(F.col("quals")))
+    if "qual" in records.columns:
+        score_of = F.when((F.col("qual") != "*") & (F.length("qual") > 0), text_qscore(F.col("qual")))
+    quality = need(F.rint(score_of), "base qualities")
     zero = lambda c: F.when(mapped, c).otherwise(0)
     out = records.select(
         read_idx.alias("read_idx"), align_idx.alias("align_idx"), kind.alias("align_type"), F.when(mapped, F.col("rname")).otherwise("NULL").alias("chrom"),

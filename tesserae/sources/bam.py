@@ -27,14 +27,14 @@ BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 LAST_MEMBER = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 #: Types of tags and how they are packed.
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-SPLIT, MEMBER, CHAIN, SEARCH = 32 << 20, 0xFF00, 4, 1 << 20
+SPLIT, LEAST, MEMBER, CHAIN, SEARCH = 32 << 20, 1 << 19, 0xFF00, 4, 1 << 20
 #: Folder of files that are not parts yet.
 ATTEMPTS = "_attempts"
 #: Operations that a record's own field can count.
 OPS = 0xFFFF
-#: Two bases for each byte, the code of each letter (unknown ones as N), and qualities as letters and back.
-PAIRS = [a + b for a in BASES for b in BASES]
-CODE = bytes(BASES.find(c) if (c := chr(k).upper()) in BASES else 15 for k in range(256))
+#: Bases by the digits of packed bytes in hexadecimal, the digit of each letter (unknown ones as N), and qualities as letters and back.
+LETTERS = str.maketrans("0123456789abcdef", BASES)
+CODE = bytes(ord("0123456789abcdef"[BASES.find(c) if (c := chr(k).upper()) in BASES else 15]) for k in range(256))
 UP, DOWN = (bytes((k + d) % 256 for k in range(256)) for d in (33, -33))
 
 
@@ -235,7 +235,7 @@ def line_of(record: bytes, refs: list[str]) -> str:
         found = tuple(map(int, own[7:].split(",")))
         more.remove(own)
     cigar = "".join([f"{v >> 4}{OPERATIONS[v & 15]}" for v in found]) or "*"
-    seq = "".join(map(PAIRS.__getitem__, packed))[:bases] or "*"
+    seq = packed.hex().translate(LETTERS)[:bases] or "*"
     at += len(packed)
     qual = record[at : at + bases]
     text = "*" if not bases or qual[0] == 0xFF else qual.translate(UP).decode()
@@ -272,8 +272,7 @@ def record_of(line: str, refs: dict[str, int]) -> bytes:
     qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *more = line.split("\t")
     ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
     seq = "" if seq == "*" else seq
-    code = np.frombuffer(seq.encode("latin-1", "replace").translate(CODE) + b"\0" * (len(seq) % 2), dtype=np.uint8)
-    packed = (code[::2] << 4 | code[1::2]).tobytes()
+    packed = bytes.fromhex((seq.encode("latin-1", "replace").translate(CODE) + b"0" * (len(seq) % 2)).decode())
     quals = b"\xff" * len(seq) if qual == "*" else qual.encode().translate(DOWN)
     start = int(pos) - 1
     ref = refs[rname] if rname != "*" else -1
@@ -452,9 +451,17 @@ class BamWriter(DataSourceWriter):
             store.delete_dir(f"{own}/{ATTEMPTS}")
 
 
-def lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+def split_of(size: int, cores: int) -> int:
+    """Packed bytes of a split: a few splits for each core, as a packed MB may hold 30,000 records, but none below LEAST or above SPLIT."""
+    return max(LEAST, min(SPLIT, size // (4 * cores) + 1))
+
+
+def lines(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """(line_no, value): a SAM line for each record, numbered in file order."""
     spark.dataSource.register(BamSource)
+    if split is None:
+        store, own = opened(path)
+        split = split_of(store.get_file_info(own).size, spark.sparkContext.defaultParallelism)
     return spark.read.format("bam").option("split", split).load(path)
 
 
