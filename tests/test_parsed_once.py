@@ -65,3 +65,13 @@ def test_alignment_commands(spark, tmp_path, seen):
 
 def test_small_packed_files_are_many_splits():
     assert bam.split_of(48 << 20, 12) == (1 << 20) + 1 and bam.split_of(1000, 12) == bam.LEAST and bam.split_of(1 << 40, 12) == bam.SPLIT
+
+
+def test_documents_with_letters_by_their_text(spark):
+    from tesserae.plans import bindings
+
+    sf_dir = "/root/testdata/sf0.001"
+    some = bindings.sequences(spark, sf_dir, lettered=True)
+    assert "translate" not in next(x for x in some._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(some) == key(bindings.sequences(spark, sf_dir).where(F.length("seq") > 0)) == key(bindings.sequences(spark, sf_dir, ordered=True, lettered=True))
