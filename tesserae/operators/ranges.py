@@ -7,11 +7,24 @@ often either is computed, as they could if two range exchanges drew their own sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a range, about; and the largest number of ranges. Both only deal the work.
 ROWS, PARTS = 100_000, 4096
+#: Bytes of a part of rows that are dealt by their size, about; and the bytes below which a part is not worth a task.
+PART, LEAST = 32 << 20, 1 << 20
+
+
+def parts_of(spark: SparkSession, size: int | None) -> int:
+    """Parts for rows of ``size`` bytes: as many as keep each near ``PART``, and work for all cores; the session's number of partitions has no say."""
+    size = size or 0
+    return max(size // PART + 1, min(spark.sparkContext.defaultParallelism, size // LEAST + 1))
+
+
+def sorted_by(rows: DataFrame, by: str, size: int | None) -> DataFrame:
+    """Rows of ``size`` bytes in the order of ``by`` over all partitions; a task reads as much of a large table as of a small one."""
+    return rows.repartitionByRange(parts_of(rows.sparkSession, size), by).sortWithinPartitions(by)
 
 
 def borders(rows: DataFrame, by: str, parts: int | None = None) -> list:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.ranges import sorted_by
 from tesserae.schemas import ALIGNMENTS, conform
 
 _ALIGN = """
@@ -80,7 +81,8 @@ def sequences(spark: SparkSession, sf_dir: str, *, ordered: bool = False, letter
     letters = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAC")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.where(F.col("text").rlike("[A-Za-z]")) if lettered else docs
-    docs = docs.orderBy("doc_id") if ordered else docs
+    if ordered:
+        docs = sorted_by(docs, "doc_id", docs.agg(F.sum(F.octet_length("text"))).first()[0])
     return docs.select(F.col("doc_id").cast("string").alias("chrom"), F.col("doc_id").alias("chrom_idx"), letters.alias("seq"))
 
 
