@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import bases
 from tesserae.operators import align, assign, contacts, digest, export, haplotype, metadata, reads, summary
 from tesserae.operators.intervals import bins
-from tesserae.operators.ranges import numbered, parts_of, sorted_by
+from tesserae.operators.ranges import numbered, sorted_by
 from tesserae.sources import bam, bgzf, files, genome
 
 
@@ -90,12 +90,11 @@ def prepare_reads(spark: SparkSession, a: argparse.Namespace) -> None:
         passed = flagged.where("pass_filter").withColumn("chunk", F.floor(F.col("record_no") / a.batch_size))
         number = numbered(passed.select("chunk").distinct(), "chunk", "batch").withColumn("batch", F.col("batch") + 1)  # a row for each output file
         files_out = number.count()
-        size = dict(flagged.groupBy("pass_filter").agg(2 * F.sum("read_length")).collect())  # letters of bases and of qualities, in two rows
-        named = passed.join(F.broadcast(number) if files_out <= genome.BROADCAST_ROWS else number, "chunk").select("batch", "record_no", record)
-        batches = named.repartition(parts_of(spark, size.get(True)), "batch").sortWithinPartitions("batch", "record_no").drop("record_no")
-        bgzf.write(batches, paths["batches"], ".fq.gz")
+        letters = 2 * F.col("read_length")  # of bases and of qualities
+        named = passed.join(F.broadcast(number) if files_out <= genome.BROADCAST_ROWS else number, "chunk").select("batch", "record_no", "read_length", record)
+        bgzf.write(sorted_by(named, "batch", each=letters, then=["record_no"]), paths["batches"], ".fq.gz")
         if not (failed := flagged.where("not pass_filter")).isEmpty():
-            bgzf.write(sorted_by(failed, "record_no", size.get(False)).select(record), f"{paths['fail']}.parts", ".fq.gz")
+            bgzf.write(sorted_by(failed, "record_no", each=letters).select(record), f"{paths['fail']}.parts", ".fq.gz")
             if a.parts:
                 metadata.rename(f"{paths['fail']}.parts", paths["fail"])
             else:

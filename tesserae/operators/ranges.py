@@ -22,9 +22,23 @@ def parts_of(spark: SparkSession, size: int | None) -> int:
     return max(size // PART + 1, min(spark.sparkContext.defaultParallelism, size // LEAST + 1))
 
 
-def sorted_by(rows: DataFrame, by: str, size: int | None) -> DataFrame:
-    """Rows of ``size`` bytes in the order of ``by`` over all partitions; a task reads as much of a large table as of a small one."""
-    return rows.repartitionByRange(parts_of(rows.sparkSession, size), by).sortWithinPartitions(by)
+def sorted_by(rows: DataFrame, by: str, size: int | None = None, *, each: Column | None = None, then: list[str] | None = None) -> DataFrame:
+    """Rows in the order of ``by``, and of ``then`` among equal ones, over all partitions; a task reads as much of a large table as of a small one.
+
+    ``size`` are the bytes of all rows, where these are of about one length; ``each`` those of a row. With ``each`` parts are cut by bytes: one holds ``PART``
+    and a quarter, about, and its last row, however long rows lie together. Equal values of ``by`` stay in one part.
+    """
+    spark, order = rows.sparkSession, [by, *(then or [])]
+    if each is None:
+        return rows.repartitionByRange(parts_of(spark, size), by).sortWithinPartitions(*order)
+    each = F.coalesce(each, F.lit(0))
+    n, size = rows.agg(F.count("*"), F.sum(each)).first()
+    parts = parts_of(spark, size)
+    # a value counts once for each quarter of a mean row, so quantiles of values are quantiles of bytes
+    weight = (1 + F.floor(each / max(1, (size or 0) // (4 * max(1, n))))).cast("int")
+    limits = borders(rows.select(F.explode(F.array_repeat(by, weight)).alias(by)), by, parts)
+    part = F.greatest(range_of(F.col(by), rows.schema[by].dataType.simpleString(), limits), F.lit(0))  # nulls lie in the first part
+    return rows.withColumn("_part", part).repartitionById(parts, "_part").drop("_part").sortWithinPartitions(*order)
 
 
 def borders(rows: DataFrame, by: str, parts: int | None = None) -> list:
@@ -32,13 +46,13 @@ def borders(rows: DataFrame, by: str, parts: int | None = None) -> list:
     parts = parts or min(PARTS, rows.count() // ROWS + 1)
     if parts < 2:
         return []
-    share = [k / parts for k in range(1, parts)]
+    share, near = [k / parts for k in range(1, parts)], max(10_000, 20 * parts)
     kind = rows.schema[by].dataType.simpleString()
     if kind in ("string", "binary"):  # quantiles of numbers: the order of strings is kept by their first six bytes
         number = F.conv(F.rpad(F.substring(F.hex(F.col(by).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("long")
-        found = rows.agg(F.percentile_approx(number, share, 10_000)).first()[0] or []
+        found = rows.agg(F.percentile_approx(number, share, near)).first()[0] or []
         return sorted({int(x).to_bytes(6, "big") for x in found if x is not None})
-    found = rows.agg(F.percentile_approx(by, share, 10_000)).first()[0] or []
+    found = rows.agg(F.percentile_approx(by, share, near)).first()[0] or []
     return sorted({x for x in found if x is not None})
 
 

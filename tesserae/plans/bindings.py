@@ -82,7 +82,7 @@ def sequences(spark: SparkSession, sf_dir: str, *, ordered: bool = False, letter
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.where(F.col("text").rlike("[A-Za-z]")) if lettered else docs
     if ordered:
-        docs = sorted_by(docs, "doc_id", docs.agg(F.sum(F.octet_length("text"))).first()[0])
+        docs = sorted_by(docs, "doc_id", each=F.octet_length("text"))
     return docs.select(F.col("doc_id").cast("string").alias("chrom"), F.col("doc_id").alias("chrom_idx"), letters.alias("seq"))
 
 
