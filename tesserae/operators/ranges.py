@@ -26,7 +26,7 @@ def sorted_by(rows: DataFrame, by: str, size: int | None = None, *, each: Column
     """Rows in the order of ``by``, and of ``then`` among equal ones, over all partitions; a task reads as much of a large table as of a small one.
 
     ``size`` are the bytes of all rows, where these are of about one length; ``each`` those of a row. With ``each`` parts are cut by bytes: one holds ``PART``
-    and a quarter, about, and its last row, however long rows lie together. Equal values of ``by`` stay in one part.
+    and a quarter, about, and the rows of one value, however long rows lie together. Equal values of ``by`` stay in one part.
     """
     spark, order = rows.sparkSession, [by, *(then or [])]
     if each is None:
