@@ -12,11 +12,14 @@ from tesserae.schemas import READ_METADATA
 def read_metadata(records: DataFrame, *, min_read_length: int = 1, max_read_length: int = 150_000, min_qscore: float = 0, max_qscore: float = 266) -> DataFrame:
     """Adds length, mean quality and the pass flag to records (read_id, sequence, quals, best with qual); upper bounds are exclusive.
 
-    The quality is compared as the single-precision number that is stored.
+    The quality is compared as the single-precision number that is stored. With qual alone no array is made of it; an empty one has no quality then.
     """
-    score = mean_qscore(F.col("quals"))
-    if "qual" in records.columns:
-        score = F.when(F.length("qual") > 0, text_qscore(F.col("qual"))).otherwise(score)
+    if "quals" not in records.columns:
+        score = text_qscore(F.col("qual"))
+    else:
+        score = mean_qscore(F.col("quals"))
+        if "qual" in records.columns:
+            score = F.when(F.length("qual") > 0, text_qscore(F.col("qual"))).otherwise(score)
     out = records.withColumn("read_length", F.length("sequence").cast("long")).withColumn("qscore", score.cast("float"))
     return with_pass_flag(out, min_read_length=min_read_length, max_read_length=max_read_length, min_qscore=min_qscore, max_qscore=max_qscore)
 

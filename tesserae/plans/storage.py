@@ -120,7 +120,7 @@ def T3_stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTQ files as a stream whose batches are written three ways: passing reads, failing reads and metadata."""
     folder = _folder(spark)
     _records(spark, sf_dir).select("value").write.text(f"{folder}/in")
-    records = reads.read_metadata(fastq_stream(spark, f"{folder}/in"), **BOUNDS)
+    records = reads.read_metadata(fastq_stream(spark, f"{folder}/in").drop("quals"), **BOUNDS)
     streams.prepare(records, f"{folder}/out", f"{folder}/state", **BOUNDS).awaitTermination()
     parts = [spark.read.parquet(f"{folder}/out/{x}").select("read_id", F.md5("sequence").alias("sequence"), F.lit(x).alias("folder")) for x in ("pass", "fail")]
     known = spark.read.parquet(f"{folder}/out/read_metadata").select("read_id", "read_length", F.round(F.col("qscore").cast("double"), 3).alias("qscore"))

@@ -249,15 +249,18 @@ class BgzfWriter(DataSourceWriter):
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = WRITTEN) -> Iterator[None]:
-    """While it lasts, Spark hands ``rows`` rows at a time to Python, as rows of whole reads are long; what was set comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
+def small_batches(spark: SparkSession, rows: int = WRITTEN, size: int | None = None) -> Iterator[None]:
+    """While it lasts, Spark hands ``rows`` rows, and ``size`` bytes, at a time to Python, as rows of whole reads are long; what was set comes back."""
+    name, bound = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, bound_before = spark.conf.get(name), spark.conf.get(bound)
     spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    if size:
+        spark.conf.set(bound, str(size))
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        spark.conf.set(bound, bound_before)
 
 
 def write(rows: DataFrame, path: str, suffix: str = ".gz") -> None:

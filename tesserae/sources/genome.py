@@ -33,16 +33,19 @@ def scratch(spark: SparkSession) -> str:
 
 
 @contextmanager
-def kept(rows: DataFrame) -> Iterator[DataFrame]:
-    """Rows that are used several times, computed once: a table in the shared folder, of which each use reads its columns. It goes at the end."""
+def kept(rows: DataFrame, path: str | None = None, **options: str) -> Iterator[DataFrame]:
+    """Rows that are used several times, computed once: a table in the shared folder, or at ``path`` over what is there, of which each use reads its columns.
+
+    It goes at the end. ``options`` are those of the writer.
+    """
     spark = rows.sparkSession
-    path = f"{scratch(spark)}/kept-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    path = path or f"{scratch(spark)}/kept-{uuid.uuid4().hex}"
+    rows.write.mode("overwrite").options(**options).parquet(path)
     try:
         yield spark.read.parquet(path)
     finally:
-        store, own = opened(path)
-        store.delete_dir(own)
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # wherever Spark can write
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 class Indexed(NamedTuple):

@@ -19,7 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from tesserae.sources.bam import opened
 from tesserae.sources.files import quality_scores
 
-SPLIT, ROWS = 64 << 20, 2000
+#: Bytes of a split; the most rows of a batch, and its letters, about.
+SPLIT, ROWS, HELD = 64 << 20, 2000, 1 << 20
 NAMES = ["read_id", "sequence", "qual"]
 _BEGIN = {"time": -1, "name": ""}
 
@@ -118,12 +119,13 @@ class FastqStreamReader(DataSourceStreamReader):
         store, own = opened(path)
         with store.open_input_file(own) as raw:
             f = gzip.GzipFile(fileobj=raw) if own.endswith(".gz") else raw
-            held: list[tuple[str, str, str]] = []
+            held, size = [], 0
             for r in records(f, start, end):
                 held.append(r)
-                if len(held) == ROWS:
+                size += len(r[1]) + len(r[2])
+                if size >= HELD or len(held) == ROWS:
                     yield _batch(held)
-                    held = []
+                    held, size = [], 0
             if held:
                 yield _batch(held)
 

@@ -13,17 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators.reads import metadata_columns, with_pass_flag
+from tesserae.schemas import READ_METADATA
+from tesserae.sources.bgzf import HELD, small_batches
+from tesserae.sources.genome import kept
+
+#: Packed bytes of a row group of a kept batch, which bound what its writers and readers hold.
+GROUP = 8 << 20
 
 
 def prepare(records: DataFrame, output: str, checkpoint: str, **bounds: float):
-    """Starts the query over a stream of reads (read_id, sequence, qual, read_length, qscore)."""
+    """Starts the query over a stream of reads (read_id, sequence, qual, read_length, qscore); reads without a quality fail.
+
+    A batch is taken apart once and kept on storage while its three outputs are written, so executors hold no more of a large batch than of a small one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        flagged = with_pass_flag(batch, **bounds).persist()
-        metadata_columns(flagged).write.mode("overwrite").parquet(f"{output}/read_metadata/batch={number}")
-        for name, part in (("pass", F.col("pass_filter")), ("fail", ~F.col("pass_filter"))):
-            flagged.where(part).select("read_id", "sequence", "qual").write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
-        flagged.unpersist()
+        own = with_pass_flag(batch, **bounds).withColumn("pass_filter", F.coalesce("pass_filter", F.lit(False)))
+        own = own.select(*[f.name for f in READ_METADATA], "sequence", "qual")
+        options = {"compression": "zstd", "parquet.block.size": str(GROUP)}
+        with small_batches(batch.sparkSession, size=HELD), kept(own, f"{output}/_kept", **options) as flagged:
+            metadata_columns(flagged).write.mode("overwrite").parquet(f"{output}/read_metadata/batch={number}")
+            for name, part in (("pass", F.col("pass_filter")), ("fail", ~F.col("pass_filter"))):
+                flagged.where(part).select("read_id", "sequence", "qual").write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
